@@ -24,7 +24,7 @@ def points_in(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: s
     """Join points with the half-open spans holding them, on (keys, bucket of ``width``)."""
     p = points.withColumn("_bucket", F.floor(F.col(point) / width).cast("long"))
     s = spans.withColumns({"_s": start, "_e": end}).filter("_e > _s").withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("_s") / width).cast("long"), F.floor((F.col("_e") - 1) / width).cast("long"))))
+        "_bucket", F.explode(F.sequence(F.floor(F.col("_s") / width).cast("long"), F.floor(F.col("_e") / width).cast("long"))))
     joined = p.alias("p").join(
         s.alias("s"),
         [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("p._bucket") == F.col("s._bucket"),

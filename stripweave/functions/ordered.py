@@ -244,31 +244,42 @@ def _empty_state(schema: T.StructType) -> T.StructType:
     return T.StructType([*[T.StructField(f.name, f.dataType, True) for f in schema.fields], T.StructField("_state", T.BinaryType(), True)])
 
 
-def _runner(keys: list[str], columns: list[str], step: Step, fields: list[str], keep_state: bool):
+Finish = Callable[[object], dict[str, list]]
+
+
+def _runner(keys: list[str], columns: list[str], step: Step | None, finish: Finish | None, fields: list[str], keep_state: bool):
     """Walk sorted batches, hand each whole group to ``step``, emit the rows in bulk."""
 
     def run(batches):
         held: list[pd.DataFrame] = []
         held_key = None
 
+        def put(out, key, rows):
+            n = len(next(iter(rows.values()))) if rows else 0
+            for f in fields:
+                out[f].extend([key[f]] * n if f in key and f not in rows else rows.get(f, []))
+            return n
+
         def close(frames, out):
             pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+            key = {k: frames[0][k].iloc[0] for k in keys}
             state = None
-            if keep_state:
+            if "_state" in pdf.columns:
                 marks = pdf["_state"].notna().to_numpy()
                 if marks.any():
                     state = pickle.loads(pdf["_state"].to_numpy()[marks][0])
                     pdf = pdf[~marks]
-            key = {k: (frames[0][k].iloc[0]) for k in keys}
-            rows, state = step({c: pdf[c].to_numpy() for c in columns}, state) if len(pdf) else ({}, state)
-            n = len(next(iter(rows.values()))) if rows else 0
-            for f in fields:
-                out[f].extend([key[f]] * n if f in key and f not in rows else rows.get(f, []))
+            rows = {}
+            if step is not None and len(pdf):
+                rows, state = step({c: pdf[c].to_numpy() for c in columns}, state)
+            n = put(out, key, rows)
             if keep_state:
                 out["_state"].extend([None] * n)
                 for f in fields:
                     out[f].append(key.get(f))
                 out["_state"].append(pickle.dumps(state))
+            elif finish is not None:
+                put(out, key, finish(state))
 
         def fresh():
             return {f: [] for f in ([*fields, "_state"] if keep_state else fields)}
@@ -300,12 +311,14 @@ def _runner(keys: list[str], columns: list[str], step: Step, fields: list[str],
     return run
 
 
-def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str, hot: bool) -> DataFrame:
+def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str, hot: bool,
+         finish: Finish | None = None) -> DataFrame:
     """Rules where each row depends on what earlier rows decided.
 
-    ``step(columns, state) -> (rows, state)`` gets one group as arrays in order. A group too large
-    for one task is handed over chunk by chunk: every round takes the next chunk of each group
-    still open, with the state of the chunk before, and is made durable.
+    ``step(columns, state) -> (rows, state)`` gets one group as arrays in order; ``finish(state)``
+    gives the rows known only at the end of the group. A group too large for one task is handed over
+    chunk by chunk: every round takes the next chunk of each group still open, with the state of the
+    chunk before, and is made durable. The key columns need not be among the returned rows.
     """
     keys, order = list(keys), list(order)
     columns = df.columns
@@ -315,20 +328,55 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, s
     parts = number_setting(df.sparkSession, "spark.sql.shuffle.partitions", 200)
     if not hot:
         sorted_rows = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
-        return sorted_rows.mapInPandas(_runner(keys, columns, step, fields, False), target)
+        return sorted_rows.mapInPandas(_runner(keys, columns, step, finish, fields, False), target)
     size = number_setting(df.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
     rows = durable(number_rows(df, keys, order, "_n", hot=True).withColumn("_chunk", F.floor(F.col("_n") / size)))
     last = rows.agg(F.max("_chunk")).first()[0]
     wide = _empty_state(target)
     out, state = None, None
+
+    def add(new: DataFrame) -> None:
+        nonlocal out
+        out = new if out is None else out.unionByName(new)
+
+    def ended(states: DataFrame) -> None:
+        if finish is not None:
+            add(states.mapInPandas(_runner(keys, [], None, finish, fields, False), target))
+
     for c in range(0 if last is None else last + 1):
         part = rows.filter(F.col("_chunk") == c).drop("_chunk").withColumn("_state", F.lit(None).cast("binary"))
         if state is not None:
-            live = state.join(part.select(*keys).distinct(), keys, "left_semi")
-            part = part.unionByName(live, allowMissingColumns=True)
+            open_keys = part.select(*keys).distinct()
+            ended(state.join(open_keys, keys, "left_anti"))
+            part = part.unionByName(state.join(open_keys, keys, "left_semi"), allowMissingColumns=True)
         ordered = part.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_state").isNull(), "_n")
-        done = durable(ordered.mapInPandas(_runner(keys, columns, step, fields, True), wide))
-        new = done.filter("_state is null").select(*fields)
-        out = new if out is None else out.unionByName(new)
+        done = durable(ordered.mapInPandas(_runner(keys, columns, step, finish, fields, True), wide))
+        add(done.filter("_state is null").select(*fields))
         state = done.filter("_state is not null").select(*keys, "_state")
+    if state is not None:
+        ended(state)
     return out if out is not None else df.sparkSession.createDataFrame([], target)
+
+
+def median_by(df: DataFrame, keys: Sequence[str], value: str, name: str, hot: bool) -> DataFrame:
+    """Exact median per group: by rank over split groups where one is too large for one task."""
+    keys = list(keys)
+    kept = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    if not hot:
+        return kept.groupBy(*keys).agg(F.median(value).alias(name))
+    ranked = number_rows(kept, keys, [value], "_r", hot=True)
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_r"))
+    return ranked.join(sizes, [*keys, "_r"]).groupBy(*keys).agg(F.avg(value).alias(name))
+
+
+def nth_by(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, Column], hot: bool) -> DataFrame:
+    """Values at given 0-based ranks (columns over ``_n``, the group size): nearest-rank percentiles."""
+    keys = list(keys)
+    ranked = number_rows(df.select(*keys, value), keys, [value], "_r", hot=hot)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = sizes.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), c.cast("long").alias("_r")) for n, c in at.items()])).alias("_w")).select(
+        *keys, F.col("_w.name").alias("_name"), F.col("_w._r").alias("_r"))
+    found = ranked.join(wanted, [*keys, "_r"])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in at])

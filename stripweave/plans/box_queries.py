@@ -1 +1,307 @@
+"""Registered queries on boxes and intervals, with their SQL texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stripweave.operators import boxes as bx, strips
+from stripweave.plans import views as v
+from stripweave.plans.strip_queries import even, r6
+
 QUERIES, SQL = {}, {}
+
+
+def query(name: str, text: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if text is not None:
+            SQL[name] = text
+        return fn
+    return add
+
+
+def hot_blocks(spark, d):
+    return v.hot_chapters(spark, d)
+
+
+def sourced(spark, d):
+    return v.boxes(spark, d).withColumn("source", F.concat(F.lit("s"), (F.col("idx") % 3).cast("string")))
+
+
+PAIR = """pr AS (SELECT a.block, a.idx AS a_idx, b.idx AS b_idx, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS w, (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS h,
+    (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ab, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1,
+    a.kind AS a_kind, b.kind AS b_kind FROM boxes a JOIN boxes b ON a.block = b.block)"""
+
+
+@query("e1_box_pairs", v.sql("boxes", f"""WITH {PAIR} SELECT block, a_idx, b_idx, w * h AS inter, round(CAST(w * h AS DOUBLE) / (aa + ab - w * h), 6) AS iou, round(CAST(w * h AS DOUBLE) / least(aa, ab), 6) AS contain,
+  h AS overlap1d, round(CAST(h AS DOUBLE) / (y1 - y0), 6) AS iou1d, x0, y0, x1, y1 FROM pr WHERE w > 0 AND h > 0 AND a_idx < b_idx"""))
+def e1(spark, d):
+    b = v.boxes(spark, d)
+    out = bx.box_pairs(b, b).filter("a_idx < b_idx").drop("a_kind", "b_kind", "a_area", "b_area")
+    return out.withColumns(r6("iou", "contain", "iou1d"))
+
+
+@query("e2_nms")
+def e2(spark, d):
+    return bx.nms(v.boxes(spark, d), 0.1, hot_blocks(spark, d))
+
+
+@query("e3_merge_tile_hits")
+def e3(spark, d):
+    hits = sourced(spark, d).withColumn("truncated", F.col("idx") % 2 == 1)
+    return bx.merge_tile_hits(hits, 0.5, hot_blocks(spark, d))
+
+
+@query("e4_fuse_boxes")
+def e4(spark, d):
+    return bx.fuse_boxes(sourced(spark, d), 0.3, 0.6, hot_blocks(spark, d))
+
+
+@query("e5_suppress_contained", v.sql("boxes", f"""WITH {PAIR}, gone AS (SELECT DISTINCT block, a_idx AS idx FROM pr WHERE w > 0 AND h > 0 AND a_kind = 'free_text' AND b_kind = 'bubble'
+    AND CAST(w * h AS DOUBLE) / least(aa, ab) >= 0.6 AND ab >= aa)
+  SELECT block, idx, x0, y0, x1, y1, kind, score FROM boxes WHERE kind = 'bubble' OR (kind = 'free_text' AND (block, idx) NOT IN (SELECT block, idx FROM gone))"""))
+def e5(spark, d):
+    b = v.boxes(spark, d)
+    return bx.suppress_contained(b.filter("kind = 'free_text'"), b.filter("kind = 'bubble'"))
+
+
+@query("e6_tile_grid", v.sql("panels", """SELECT ch, idx, unnest(CASE WHEN height <= 800 THEN [CAST(0 AS BIGINT)] ELSE list_distinct(list_concat(range(0, height - 800, 400), [CAST(height - 800 AS BIGINT)])) END) AS top FROM panels"""))
+def e6(spark, d):
+    return bx.tile_grid(v.panels(spark, d).select("ch", "idx", "height", "width")).select("ch", "idx", "top")
+
+
+def _zones(b):
+    """Zones from boxes: fractions of a 900 px block, some out of bounds, inverted or of the wrong length."""
+    top, bottom = F.col("y0") / 640.0 - 0.02, F.col("y1") / 640.0
+    y = F.when(F.col("idx") % 7 == 6, F.array(top)).when(F.col("idx") % 5 == 4, F.array(bottom, top)).otherwise(F.array(top, bottom))
+    return b.select("block", F.when(F.col("kind").isin("head", "person"), "keep").otherwise("drop").alias("list"), F.col("idx").alias("pos"),
+                    y.alias("y"), (F.col("idx") % 6).alias("priority"))
+
+
+@query("e7_zone_spec", v.sql("boxes", """WITH z AS (SELECT block, CASE WHEN kind IN ('head', 'person') THEN 'keep' ELSE 'drop' END AS li, idx % 7 = 6 AS short,
+    CASE WHEN idx % 5 = 4 THEN y1 / 640.0 ELSE y0 / 640.0 - 0.02 END AS t, CASE WHEN idx % 5 = 4 THEN y0 / 640.0 - 0.02 ELSE y1 / 640.0 END AS b FROM boxes),
+  c AS (SELECT *, least(greatest(t, 0.0), 1.0) AS lo, least(greatest(b, 0.0), 1.0) AS hi FROM z),
+  e AS (SELECT *, NOT (short OR t < -0.05 OR b > 1.05 OR lo >= hi) AS ok FROM c),
+  p AS (SELECT block, count(*) FILTER (ok AND li = 'keep') AS keeps, count(*) FILTER (ok AND li = 'drop') AS drops, count(*) FILTER (NOT ok) AS errors FROM e GROUP BY block)
+  SELECT block, role, keeps, drops, errors + CASE WHEN role IN ('key', 'insert') AND keeps = 0 THEN 1 ELSE 0 END AS errors
+  FROM (SELECT *, CASE block % 3 WHEN 0 THEN 'key' WHEN 1 THEN 'insert' ELSE 'transition' END AS role FROM p)"""))
+def e7(spark, d):
+    b = v.boxes(spark, d)
+    role = F.element_at(F.array(F.lit("key"), F.lit("insert"), F.lit("transition")), (F.col("block") % 3 + 1).cast("int"))
+    return bx.zone_spec(b.select("block").distinct().withColumn("role", role), _zones(b)).drop("top", "bottom")
+
+
+@query("e7_fallback_spec", v.sql("boxes", """WITH f AS (SELECT block, CAST(min(y0) FILTER (kind IN ('head', 'person')) AS DOUBLE) / 1024 AS t, CAST(max(y1) FILTER (kind IN ('head', 'person')) AS DOUBLE) / 1024 AS b FROM boxes GROUP BY block)
+  SELECT block, CAST(TOP AS BIGINT) AS top, CAST(BOT AS BIGINT) AS bottom, CASE WHEN t IS NULL THEN 'block' ELSE 'subjects' END AS origin FROM f""".replace("TOP", even("coalesce(t, 0) * 1000")).replace("BOT", even("coalesce(greatest(b, t + 0.01), 1) * 1000"))))
+def e7b(spark, d):
+    b = v.boxes(spark, d)
+    out = bx.fallback_spec(b.select("block").distinct().withColumn("height", F.lit(1024)), b)
+    return out.select("block", *[F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("top", "bottom")], "origin")
+
+
+@query("e8_snap_intervals", v.sql("boxes", """WITH s AS (SELECT block, y0, y1, false AS own FROM boxes UNION ALL SELECT DISTINCT block, 300, 340, true FROM boxes),
+  r AS (SELECT *, max(y1) OVER (PARTITION BY block ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+  g AS (SELECT *, sum(CASE WHEN reach IS NULL OR y0 >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY block ORDER BY y0, y1 ROWS UNBOUNDED PRECEDING) AS isl FROM r)
+  SELECT block, min(y0) AS k0, max(y1) AS k1 FROM g GROUP BY block, isl HAVING bool_or(own)"""))
+def e8(spark, d):
+    b = v.boxes(spark, d)
+    keep = b.select("block").distinct().select("block", F.lit(300).alias("k0"), F.lit(340).alias("k1"))
+    return bx.snap_intervals(keep, b, hot=hot_blocks(spark, d))
+
+
+def _pixel_zones(b):
+    kind = F.element_at(F.array(F.lit("narration"), F.lit("detached_bubble"), F.lit("sfx")), (F.col("idx") % 3 + 1).cast("int"))
+    return b.select("block", F.col("idx").alias("zone"), F.when(F.col("kind") == "person", "keep").otherwise("drop").alias("list"),
+                    (F.col("y0") + 10).alias("y0"), (F.col("y0") + 70).alias("y1"), kind.alias("kind"), (F.col("idx") % 3 + 1).cast("int").alias("priority")).filter(
+        (F.col("list") == "keep") | (F.col("idx") % 2 == 0))
+
+
+@query("e9_classify_constraints")
+def e9(spark, d):
+    b = v.boxes(spark, d)
+    blocks = b.select("block").distinct().select("block", F.lit(920).alias("height"), F.lit(800).alias("width"))
+    zones = _pixel_zones(b)
+    typed = bx.durable(bx.classify_constraints(blocks, b, zones))
+    return bx.keep_ranges(blocks, typed, zones, hot_blocks(spark, d))
+
+
+@query("e10_boundary_counts", v.sql("boxes", """WITH b AS (SELECT block, greatest(0, y0 + 1) AS lo, least(701, y1) AS hi FROM boxes WHERE greatest(0, y0 + 1) < least(701, y1)),
+  e AS (SELECT block, lo AS y, 1 AS d FROM b UNION ALL SELECT block, hi, -1 FROM b UNION ALL SELECT DISTINCT block, 0, 0 FROM boxes UNION ALL SELECT DISTINCT block, 701, 0 FROM boxes),
+  s AS (SELECT block, y, sum(d) AS d FROM e GROUP BY block, y),
+  w AS (SELECT block, y AS y0, lead(y) OVER (PARTITION BY block ORDER BY y) AS y1, sum(d) OVER (PARTITION BY block ORDER BY y) AS n FROM s)
+  SELECT block, y0, y1, CAST(n AS BIGINT) AS n FROM w WHERE y1 IS NOT NULL"""))
+def e10(spark, d):
+    b = v.boxes(spark, d)
+    return bx.boundary_counts(b, b.select("block").distinct().withColumn("height", F.lit(700)), hot_blocks(spark, d))
+
+
+# Blocks, boxes and zones on the strips, for the search: a box every 7 rows, zones every 25.
+class Strips:
+    def __init__(self, spark, d, width=40):
+        rows = v.strip_rows(spark, d)
+        self.hot = v.hot_strips(spark, d)
+        r = rows.select(F.col("strip").cast("long").alias("block"), "y", *[F.element_at("px", i + 1).alias(f"p{i}") for i in range(3)])
+        self.blocks = r.groupBy("block").agg((F.max("y") + 1).cast("int").alias("height")).select("block", "height", F.lit(width).alias("width"))
+        kind = F.element_at(F.array(*[F.lit(k) for k in v.KINDS]), F.col("p1") % 6 + 1)
+        y, x = F.col("y").cast("int"), F.col("p0") % 30
+        self.boxes = r.filter("y % 7 = 0").select("block", F.col("y").alias("idx"), x.alias("x0"), y.alias("y0"), (x + 8).alias("x1"), (y + 4).alias("y1"), kind.alias("kind"), F.lit(0.5).alias("score"))
+        zk = F.element_at(F.array(F.lit("narration"), F.lit("detached_bubble"), F.lit("sfx")), F.col("p2") % 3 + 1)
+        self.zones = r.filter("y % 25 = 5 or y % 25 = 20").select(
+            "block", F.col("y").alias("zone"), F.when(F.col("y") % 25 == 5, "keep").otherwise("drop").alias("list"), y.alias("y0"),
+            F.when(F.col("y") % 25 == 5, y + 12).otherwise(y + 3).alias("y1"), zk.alias("kind"), (F.col("p2") % 3 + 1).alias("priority"))
+        self.energy = strips.cut_energy(rows, self.hot).withColumnRenamed("strip", "block").withColumn("block", F.col("block").cast("long"))
+
+    def typed(self):
+        return bx.classify_constraints(self.blocks, self.boxes, self.zones)
+
+
+@query("e11_search_windows")
+def e11(spark, d):
+    s = Strips(spark, d)
+    typed = bx.durable(s.typed())
+    ranges = bx.durable(bx.keep_ranges(s.blocks, typed, s.zones, s.hot))
+    terms = bx.durable(bx.row_terms(s.blocks, ranges, typed, s.zones, s.energy, hot=s.hot))
+    out = bx.search_windows(s.blocks, terms, ranges, relaxed=True)
+    return out.select("block", "rank", "y0", "y1", F.round("score", 6).alias("score"), F.round("cover", 6).alias("cover"))
+
+
+# the scored windows as one expression per term, straight from boxes and rows
+@query("e11_score_windows", v.sql("strip_rows", f"""WITH near AS (SELECT strip, y, px, lag(px) OVER w AS up, lead(px) OVER w AS down FROM strip_rows WINDOW w AS (PARTITION BY strip ORDER BY y)),
+  diff AS (SELECT strip, y, CASE WHEN up IS NULL OR down IS NULL THEN list_transform(px, lambda x: 0) ELSE list_transform(list_zip(down, up), lambda t: t[1] - t[2]) END AS d FROM near),
+  pad AS (SELECT strip, y, list_concat([d[2]], d, [d[len(d) - 1]]) AS d FROM diff),
+  e0 AS (SELECT strip, y, list_avg(list_transform(range(2, len(d)), lambda i: abs(d[i - 1] + 2 * d[i] + d[i + 1]))) AS e FROM pad),
+  en AS (SELECT strip AS block, y, e / (max(e) OVER (PARTITION BY strip) + 1e-6) AS e FROM e0),
+  bl AS (SELECT strip AS block, max(y) + 1 AS height FROM strip_rows GROUP BY strip),
+  b AS (SELECT strip AS block, y AS y0, y + 4 AS y1, px[2] % 6 AS k FROM strip_rows WHERE y % 7 = 0),
+  h AS (SELECT block, unnest(list_distinct(list_concat(range(least(30, height), least(72, height) + 1, 4), [CAST(least(72, height) AS BIGINT)]))) AS h, height FROM bl),
+  w AS (SELECT block, height, y0, y0 + h AS y1 FROM (SELECT block, height, h, unnest(list_distinct(list_concat(range(0, height - h + 1, 4), [height - h]))) AS y0 FROM h)),
+  c AS (SELECT w.block, w.y0, w.y1, any_value(height) AS height,
+     count(*) FILTER (k = 1 AND false) AS none_, coalesce(sum(CASE WHEN k IN (2, 5) THEN CAST(b.y0 < w.y0 AND w.y0 < b.y1 AS INT) + CAST(b.y0 < w.y1 AND w.y1 < b.y1 AS INT) END), 0) AS bc,
+     coalesce(sum(CASE WHEN k IN (3, 4) THEN CAST(b.y0 < w.y0 AND w.y0 < b.y1 AS INT) + CAST(b.y0 < w.y1 AND w.y1 < b.y1 AS INT) END), 0) AS sc,
+     coalesce(sum(CASE WHEN k = 0 THEN CAST(b.y0 < w.y0 AND w.y0 < b.y1 AS INT) + CAST(b.y0 < w.y1 AND w.y1 < b.y1 AS INT) END), 0) AS hc,
+     coalesce(sum(CASE WHEN k = 1 THEN (least(greatest(w.y0 - b.y0, 0), 4) + least(greatest(b.y1 - w.y1, 0), 4)) / 4.0 END), 0) AS pc
+     FROM w LEFT JOIN b ON b.block = w.block GROUP BY w.block, w.y0, w.y1),
+  s AS (SELECT c.*, coalesce(CASE WHEN c.y0 > 0 THEN u.e END, 0) + coalesce(CASE WHEN c.y1 < c.height THEN l.e END, 0) AS energy FROM c
+     LEFT JOIN en u ON u.block = c.block AND u.y = c.y0 LEFT JOIN en l ON l.block = c.block AND l.y = c.y1)
+  SELECT CAST(block AS BIGINT) AS block, y0, y1, CAST(bc AS BIGINT) AS bubble_cuts, CAST(hc AS BIGINT) AS head_cuts, CAST(sc AS BIGINT) AS sfx_cuts,
+    round(1 - 0.35 * (y1 - y0) / height - 0.15 * energy - 1.5 * greatest(0.0, greatest(40 / 1.05 - (y1 - y0), (y1 - y0) - 40 / 0.62)) / 40 - 0.3 * abs(40.0 / (y1 - y0) - 2 / 3) - 0.5 * sc - 0.3 * pc - bc - 3 * hc, 6) AS score FROM s"""))
+def e11b(spark, d):
+    """Scores without zones, so the SQL stays one term per line."""
+    s = Strips(spark, d)
+    none = s.zones.filter("false")
+    typed = bx.durable(bx.classify_constraints(s.blocks, s.boxes, none))
+    # without padding the heads stay raw in this form
+    typed = typed.withColumns({"y0": F.col("raw0"), "y1": F.col("raw1")})
+    ranges = bx.keep_ranges(s.blocks, typed, none, s.hot)
+    terms = bx.durable(bx.row_terms(s.blocks, ranges, typed, none, s.energy, hot=s.hot))
+    out = bx.score_windows(bx.coarse_windows(s.blocks), terms, s.blocks, ranges, relaxed=True)
+    return out.select("block", "y0", "y1", *[F.col(c).cast("long").alias(c) for c in ("bubble_cuts", "head_cuts", "sfx_cuts")], F.round("score", 6).alias("score"))
+
+
+@query("e12_split_tall")
+def e12(spark, d):
+    s = Strips(spark, d, width=12)
+    quiet = s.boxes.filter("idx % 21 = 0")
+    zones = s.zones.withColumn("priority", F.lit(2))
+    typed = bx.durable(bx.classify_constraints(s.blocks, quiet, zones))
+    ranges = bx.keep_ranges(s.blocks, typed, zones, s.hot)
+    return bx.split_tall(s.blocks, ranges, typed, zones, s.energy, hot=s.hot)
+
+
+@query("e13_plan_blocks")
+def e13(spark, d):
+    s = Strips(spark, d)
+    role = F.element_at(F.array(F.lit("key"), F.lit("insert"), F.lit("text_only"), F.lit("transition")), (F.col("block") % 4 + 1).cast("int"))
+    verdicts = s.blocks.select("block", F.lit(2).alias("best"), (F.col("block") % 2 == 0).alias("confident"))
+    return bx.plan_blocks(s.blocks.withColumn("role", role), s.boxes, s.zones, s.energy, verdicts, hot=s.hot)
+
+
+@query("e14_window_report", v.sql("boxes", f"""WITH b AS (SELECT block, y0, y1, kind, idx % 2 = 0 AS told FROM boxes), w AS (SELECT DISTINCT block, i AS win, 100 * i + 50 AS y0, 100 * i + 350 AS y1 FROM boxes, (SELECT unnest([0, 1, 2]) AS i)),
+  m AS (SELECT w.block, win, kind, told, (b.y0 < w.y0 AND w.y0 < b.y1) OR (b.y0 < w.y1 AND w.y1 < b.y1) AS cut, least(b.y1, w.y1) - greatest(b.y0, w.y0) >= 0.5 * greatest(1, b.y1 - b.y0) AS mostly FROM w LEFT JOIN b USING (block)),
+  p AS (SELECT block, win, count(*) FILTER (cut AND kind = 'head') AS head_cuts, count(*) FILTER (cut AND kind IN ('bubble', 'narration')) AS bubble_cuts,
+    count(*) FILTER (mostly AND (kind = 'narration' OR (kind = 'bubble' AND told))) AS narration_included, count(*) FILTER (cut AND kind IN ('sfx', 'free_text')) AS sfx_cuts FROM m GROUP BY block, win),
+  f AS (SELECT p.*, w.y0, w.y1, greatest(120, w.y0) AS a, least(420, w.y1) AS b FROM p JOIN w USING (block, win))
+  SELECT block, win, head_cuts, bubble_cuts, narration_included, sfx_cuts, CASE WHEN b > a THEN round(abs((a + b) / 2.0 - (y0 + y1) / 2.0) / (y1 - y0), 4) ELSE 0.0 END AS offcenter, round(800.0 / (y1 - y0), 4) AS ratio FROM f"""))
+def e14(spark, d):
+    b = v.boxes(spark, d)
+    ids = b.select("block").distinct()
+    win = ids.withColumn("win", F.explode(F.array(*[F.lit(i) for i in range(3)]))).select("block", "win", (100 * F.col("win") + 50).alias("y0"), (100 * F.col("win") + 350).alias("y1"))
+    role = F.when(F.col("kind") == "bubble", "attached").when(F.col("kind") == "free_text", "sfx").otherwise(F.col("kind"))
+    typed = b.select("block", "y0", "y1", role.alias("role"), (F.col("idx") % 2 == 0).alias("told"))
+    facts = ids.select("block", F.lit(800).alias("width"), F.lit(120).alias("k0"), F.lit(420).alias("k1"))
+    return bx.window_report(win, typed, facts)
+
+
+MATCH = """r AS (SELECT ch AS "case", idx AS ref, y_start + 300 AS y0, y_start + height + 300 AS y1 FROM panels), bl AS (SELECT ch AS "case", idx AS block, y_start AS y0, y_start + height AS y1 FROM panels),
+  sh AS (SELECT "case", block, s AS shot, y0 + s * ((y1 - y0) // 2) AS y0, y0 + (s + 1) * ((y1 - y0) // 2) AS y1 FROM bl, (SELECT unnest([0, 1]) AS s)),
+  o AS (SELECT r.*, block, least(r.y1, bl.y1) - greatest(r.y0, bl.y0) AS ov FROM r JOIN bl USING ("case")),
+  hm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", ref ORDER BY ov DESC, block) AS rn FROM o WHERE ov > 0) WHERE rn = 1),
+  sc AS (SELECT hm."case", ref, hm.block, shot, greatest(0, least(hm.y1, sh.y1) - greatest(hm.y0, sh.y0)) / CAST(greatest(hm.y1, sh.y1) - least(hm.y0, sh.y0) AS DOUBLE) AS iou FROM hm JOIN sh ON sh."case" = hm."case" AND sh.block = hm.block),
+  bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", ref ORDER BY iou DESC, shot) AS rn FROM sc) WHERE rn = 1),
+  ev AS (SELECT r."case", r.ref, coalesce(block, -1) AS block, coalesce(shot, -1) AS shot, round(coalesce(iou, 0), 4) AS iou FROM r LEFT JOIN bs ON bs."case" = r."case" AND bs.ref = r.ref)"""
+
+
+def _matched(spark, d):
+    p = v.panels(spark, d)
+    refs = p.select(F.col("ch").alias("case"), F.col("idx").alias("ref"), (F.col("y_start") + 300).alias("y0"), (F.col("y_start") + F.col("height") + 300).alias("y1"))
+    blocks = p.select(F.col("ch").alias("case"), F.col("idx").alias("block"), F.col("y_start").alias("y0"), (F.col("y_start") + F.col("height")).alias("y1"))
+    half = F.floor((F.col("y1") - F.col("y0")) / 2)
+    shots = blocks.withColumn("shot", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "case", "block", "shot", (F.col("y0") + F.col("shot") * half).alias("_a"), (F.col("y0") + (F.col("shot") + 1) * half).alias("_b")).withColumnsRenamed({"_a": "y0", "_b": "y1"})
+    out = bx.match_references(refs, shots, blocks)
+    return out.withColumns({"block": F.coalesce("block", F.lit(-1)), "shot": F.coalesce("shot", F.lit(-1))})
+
+
+@query("e15_match_references", v.sql("panels", f'WITH {MATCH} SELECT "case", ref, block, shot, iou FROM ev'))
+def e15(spark, d):
+    return _matched(spark, d)
+
+
+@query("e16_evaluation_summary", v.sql("panels", f"""WITH {MATCH}, x AS (SELECT "case", iou, ref % 3 AS hc, ref % 2 AS bc, iou / 2 AS off FROM ev)
+  SELECT g AS total, name, n, round(m, 9) AS iou_mean, round(lo, 9) AS iou_min, round(md, 9) AS iou_median, round(sh, 9) AS share_iou, hc AS head_cuts, bc AS bubble_cuts, oc AS offcenter FROM (
+   SELECT grouping("case") = 1 AS g, coalesce(CAST("case" AS VARCHAR), '') AS name, count(*) AS n, avg(iou) AS m, min(iou) AS lo, median(iou) AS md, CAST(count(*) FILTER (iou >= 0.7) AS DOUBLE) / count(*) AS sh,
+     CAST(sum(hc) AS BIGINT) AS hc, CAST(sum(bc) AS BIGINT) AS bc, count(*) FILTER (off > 0.25) AS oc FROM x GROUP BY GROUPING SETS (("case"), ()))"""))
+def e16(spark, d):
+    e = _matched(spark, d).select("case", "iou", (F.col("ref") % 3).alias("head_cuts"), (F.col("ref") % 2).alias("bubble_cuts"), (F.col("iou") / 2).alias("offcenter"))
+    return bx.evaluation_summary(e, v.hot_chapters(spark, d)).withColumns({c: F.round(c, 9) for c in ("iou_mean", "iou_min", "iou_median", "share_iou")})
+
+
+@query("e17_extract_figures")
+def e17(spark, d):
+    b = v.boxes(spark, d)
+    blocks = b.select("block").distinct().select("block", F.lit(920).alias("height"), F.lit(800).alias("width"))
+    return bx.extract_figures(b, blocks, 0.05, whole_bubbles=True, hot=hot_blocks(spark, d))
+
+
+@query("e17_group_figures")
+def e17b(spark, d):
+    b = v.boxes(spark, d)
+    blocks = b.select("block").distinct().select("block", F.lit(920).alias("height"), F.lit(800).alias("width"))
+    hot = hot_blocks(spark, d)
+    figures = bx.extract_figures(b, blocks, require_head=False, hot=hot)
+    return bx.group_figures(figures, b.filter("kind = 'head'"), hot=hot)
+
+
+@query("e18_overlap_assign", v.sql("panels", """WITH i AS (SELECT ch, idx AS item, y_start + 170 AS y0, y_start + height + 170 AS y1 FROM panels), s AS (SELECT ch, idx AS span, y_start AS y0, y_start + height AS y1 FROM panels),
+  o AS (SELECT i.ch, item, span, least(i.y1, s.y1) - greatest(i.y0, s.y0) AS ov, i.y1 - i.y0 AS h FROM i JOIN s ON s.ch = i.ch),
+  k AS (SELECT *, ov >= 0.3 * h AS ok, bool_or(ov >= 0.3 * h) OVER (PARTITION BY ch, item) AS any_ok, row_number() OVER (PARTITION BY ch, item ORDER BY ov DESC, span DESC) AS rn FROM o WHERE ov > 0)
+  SELECT ch, item, span FROM k WHERE ok OR (NOT any_ok AND rn = 1)"""))
+def e18(spark, d):
+    p = v.panels(spark, d)
+    items = p.select("ch", F.col("idx").alias("item"), (F.col("y_start") + 170).alias("y0"), (F.col("y_start") + F.col("height") + 170).alias("y1"))
+    spans = p.select("ch", F.col("idx").alias("span"), F.col("y_start").alias("y0"), (F.col("y_start") + F.col("height")).alias("y1"))
+    return bx.overlap_assign(items, spans)
+
+
+@query("e19_remap_ids", v.sql("scene_panels", """WITH ids AS (SELECT ch, scene, panel % 3 AS pos, panel AS id, heavy FROM scene_panels),
+  br AS (SELECT ch, panel AS id, panel * 2 + k AS item, panel * 2 + k AS ord FROM scene_panels, (SELECT unnest([0, 1]) AS k) WHERE (panel // 3) % 2 = 0 AND (k = 0 OR panel % 2 = 1)),
+  m AS (SELECT ids.ch, scene, item, min(pos * 1000000 + ord) AS att, bool_or(heavy) AS heavy FROM ids JOIN br ON br.ch = ids.ch AND br.id = ids.id GROUP BY ids.ch, scene, item),
+  lost AS (SELECT ch, scene, id FROM ids WHERE (ch, scene) NOT IN (SELECT ch, scene FROM m)),
+  n AS (SELECT lost.ch, scene, item, row_number() OVER (PARTITION BY lost.ch, scene ORDER BY abs(lost.id - br.id), item) AS rn FROM lost JOIN br ON br.ch = lost.ch)
+  SELECT ch, scene, item, CAST(att // 1000000 AS BIGINT) AS pos, CAST(att % 1000000 AS BIGINT) AS "order", heavy FROM m UNION ALL SELECT ch, scene, item, 0, 0, false FROM n WHERE rn = 1"""))
+def e19(spark, d):
+    p = v.scene_panels(spark, d)
+    ids = p.select("ch", "scene", (F.col("panel") % 3).alias("pos"), F.col("panel").alias("id"), "heavy")
+    br = p.filter("panel div 3 % 2 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).filter("k = 0 or panel % 2 = 1").select(
+        "ch", F.col("panel").alias("id"), (F.col("panel") * 2 + F.col("k")).alias("item"), (F.col("panel") * 2 + F.col("k")).alias("order"))
+    return bx.remap_ids(ids, br, br, v.hot_chapters(spark, d))

@@ -38,7 +38,7 @@ def d2(spark, d):
 
 
 RUNS = """var AS (SELECT strip, y, list_aggregate(px, 'var_pop') AS variance FROM strip_rows),
-  mark AS (SELECT *, y - row_number() OVER (PARTITION BY strip ORDER BY y) AS g FROM var WHERE variance < 300),
+  mark AS (SELECT *, y - row_number() OVER (PARTITION BY strip ORDER BY y) AS g FROM var WHERE variance < 249.6),
   runs AS (SELECT strip, min(y) AS "start", max(y) + 1 AS "end" FROM mark GROUP BY strip, g),
   ext AS (SELECT strip, max(y) + 1 AS height FROM strip_rows GROUP BY strip)"""
 
@@ -49,7 +49,7 @@ def _variance(spark, d):
 
 @query("d3_find_runs", v.sql("strip_rows", f'WITH {RUNS} SELECT strip, "start", "end" FROM runs WHERE "end" - "start" >= 2'))
 def d3(spark, d):
-    return strips.find_runs(_variance(spark, d), F.col("variance") < 300, 2, v.hot_strips(spark, d))
+    return strips.find_runs(_variance(spark, d), F.col("variance") < 249.6, 2, v.hot_strips(spark, d))
 
 
 GAPS = """seg AS (SELECT strip, coalesce(lag("end") OVER (PARTITION BY strip ORDER BY "start"), 0) AS "start", "start" AS "end"
@@ -61,7 +61,7 @@ GAPS = """seg AS (SELECT strip, coalesce(lag("end") OVER (PARTITION BY strip ORD
 def d4(spark, d):
     rows = v.strip_rows(spark, d)
     hot = v.hot_strips(spark, d)
-    return strips.complement_intervals(strips.find_runs(strips.row_variance(rows), F.col("variance") < 300, 1, hot), strips.extents(rows), hot)
+    return strips.complement_intervals(strips.find_runs(strips.row_variance(rows), F.col("variance") < 249.6, 1, hot), strips.extents(rows), hot)
 
 
 def _chunks(spark, d):
@@ -100,7 +100,7 @@ def d6(spark, d):
 def strip_to_panels(spark, d):
     """Pixel rows in, panel table out: the whole slicing chain."""
     rows = v.strip_rows(spark, d)
-    out = strips.panels_of_strips(rows, 300, 1, 4, 2, 1, 3, 8, v.hot_strips(spark, d))
+    out = strips.panels_of_strips(rows, 249.6, 1, 4, 2, 1, 3, 8, v.hot_strips(spark, d))
     return out.drop("part", "source_index").withColumn("strip", F.col("strip").cast("long"))
 
 
@@ -109,7 +109,7 @@ def strip_to_panels(spark, d):
   near AS (SELECT *, y - lag(y) OVER (PARTITION BY strip, y_start ORDER BY y) AS gap FROM hits),
   grp AS (SELECT *, sum(CASE WHEN gap <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY strip, y_start ORDER BY y) AS g FROM near),
   best AS (SELECT *, row_number() OVER (PARTITION BY strip, y_start, g ORDER BY change DESC, y) AS rn FROM grp)
-  SELECT strip, y_start, y_end, y AS "row", CASE WHEN change >= 0.7 THEN 1.0 WHEN change >= 0.6 THEN 0.75 ELSE 0.5 END AS strength FROM best WHERE rn = 1"""))
+  SELECT strip, y_start, y_end, y AS "row", CAST(CASE WHEN change >= 0.7 THEN 1.0 WHEN change >= 0.6 THEN 0.75 ELSE 0.5 END AS DOUBLE) AS strength FROM best WHERE rn = 1"""))
 def d7(spark, d):
     rows = v.strip_rows(spark, d)
     hot = v.hot_strips(spark, d)
@@ -160,6 +160,11 @@ def _scores(spark, d):
     return rows.select("strip", "y", ((F.col("_s") % 9) / 8.0).alias("score"), (F.col("_s") % 3 == 0).alias("ink"))
 
 
+def even(x: str) -> str:
+    """Half-even rounding in SQL: a tie goes to the even neighbour."""
+    return f"CASE WHEN ({x}) - floor({x}) = 0.5 THEN 2 * round(({x}) / 2) ELSE round({x}) END"
+
+
 @query("d11_segment_blocks", v.sql("strip_rows", """WITH sc AS (SELECT strip, y, (CAST(list_sum(px) AS BIGINT) % 9) / 8.0 AS score, CAST(list_sum(px) AS BIGINT) % 3 = 0 AS ink FROM strip_rows),
   ext AS (SELECT strip, max(y) + 1 AS height FROM sc GROUP BY strip),
   mark AS (SELECT *, y - row_number() OVER (PARTITION BY strip ORDER BY y) AS g FROM sc WHERE score >= 0.5),
@@ -170,7 +175,7 @@ def _scores(spark, d):
      coalesce(min(CASE WHEN NOT ink THEN y END) OVER (PARTITION BY strip ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1000000) AS re, ink FROM sc),
   grown AS (SELECT r.strip, CASE WHEN u.ink THEN greatest(lo, u.rs) ELSE y0 END AS y0, CASE WHEN n.ink THEN least(hi, n.re) ELSE y1 END AS y1, ga, gb
      FROM raw r LEFT JOIN run u ON u.strip = r.strip AND u.y = y0 - 1 LEFT JOIN run n ON n.strip = r.strip AND n.y = y1 WHERE y1 > y0)
-  SELECT strip, row_number() OVER (PARTITION BY strip ORDER BY y0) - 1 AS idx, y0, y1, round(ga, 1) AS gap_above, round(gb, 1) AS gap_below, y1 - y0 < 3 AS small FROM grown WHERE y1 - y0 >= 2"""))
+  SELECT strip, row_number() OVER (PARTITION BY strip ORDER BY y0) - 1 AS idx, y0, y1, GA AS gap_above, GB AS gap_below, y1 - y0 < 3 AS small FROM grown WHERE y1 - y0 >= 2""".replace("GA AS", f"({even('ga * 10')}) / 10 AS").replace("GB AS", f"({even('gb * 10')}) / 10 AS")))
 def d11(spark, d):
     return strips.segment_blocks(_scores(spark, d), 575, min_gap=2, min_block=3, min_text=2, hot=v.hot_strips(spark, d)).select(
         "strip", "idx", "y0", "y1", "gap_above", "gap_below", "small")
@@ -199,11 +204,6 @@ def d13(spark, d):
     return strips.profile_windows(_profile(spark, d), 7, 4, v.hot_strips(spark, d))
 
 
-# half-even rounding in SQL: the tie goes to the even neighbour
-def even(x: str) -> str:
-    return f"CASE WHEN ({x}) - floor({x}) = 0.5 THEN 2 * round(({x}) / 2) ELSE round({x}) END"
-
-
 WINDOW = f"""win AS (SELECT *, CASE WHEN 800.0 / height > 0.5625 THEN greatest(1, CAST({even('height * 0.5625')} AS INT)) ELSE 800 END AS ww,
     CASE WHEN 800.0 / height > 0.5625 THEN height ELSE greatest(1, CAST({even('800 / 0.5625')} AS INT)) END AS wh FROM panels)"""
 
