@@ -1 +1,222 @@
+"""Registered queries on id lists and series memory, with their SQL texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stripweave.operators import memory as mm, partition as pt
+from stripweave.plans import views as v
+
 QUERIES, SQL = {}, {}
+
+
+def query(name: str, text: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if text is not None:
+            SQL[name] = text
+        return fn
+    return add
+
+
+hot = v.hot_chapters
+
+# id lists with fixed faults: repeated, unknown and swapped ids, and elements without text
+FAULTS = """li AS (SELECT ch, scene AS element, panel % 3 AS pos, CASE WHEN (panel + ch) % 7 = 6 THEN greatest(panel - 1, 0) WHEN (panel + ch) % 11 = 10 THEN panel + 1000 WHEN (panel + ch) % 5 = 4 THEN panel + 1 ELSE panel END AS id,
+    CASE WHEN (scene + ch) % 6 = 5 THEN '...' ELSE 'told' END AS text FROM scene_panels)"""
+
+
+def faulty(spark, d):
+    p = v.scene_panels(spark, d)
+    n = F.col("panel") + F.col("ch")
+    bad = F.when(n % 7 == 6, F.greatest(F.col("panel") - 1, F.lit(0))).when(n % 11 == 10, F.col("panel") + 1000).when(n % 5 == 4, F.col("panel") + 1).otherwise(F.col("panel"))
+    return p.select("ch", F.col("scene").alias("element"), (F.col("panel") % 3).alias("pos"), bad.alias("id"),
+                    F.when((F.col("scene") + F.col("ch")) % 6 == 5, "...").otherwise("told").alias("text"))
+
+
+@query("f1_balanced_batches", v.sql("panels", """WITH c AS (SELECT ch, idx, count(*) OVER (PARTITION BY ch) AS n FROM panels), g AS (SELECT *, CAST(ceil(n / 3.0) AS BIGINT) AS k FROM c),
+  b AS (SELECT *, n // k AS base, n % k AS extra FROM g)
+  SELECT ch, idx, CASE WHEN idx < extra * (base + 1) THEN idx // (base + 1) ELSE extra + (idx - extra * (base + 1)) // base END AS batch FROM b"""))
+def f1(spark, d):
+    return pt.balanced_batches(v.panels(spark, d).select("ch", "idx"), 3, hot(spark, d))
+
+
+@query("f2_capacity_groups", v.sql("panels", """WITH p AS (SELECT ch, idx, height // 100 AS load FROM panels), r(ch, idx, load, run, grp) AS (
+    SELECT ch, idx, load, load, 0 FROM p WHERE idx = 0 UNION ALL
+    SELECT p.ch, p.idx, p.load, CASE WHEN r.run + p.load > 15 THEN p.load ELSE r.run + p.load END, CASE WHEN r.run + p.load > 15 THEN r.grp + 1 ELSE r.grp END FROM r JOIN p ON p.ch = r.ch AND p.idx = r.idx + 1)
+  SELECT ch, idx, CAST(load AS BIGINT) AS load, CAST(grp AS BIGINT) AS grp FROM r""", recursive=True))
+def f2(spark, d):
+    p = v.panels(spark, d).select("ch", "idx", F.floor(F.col("height") / 100).alias("load"))
+    return pt.capacity_groups(p, 15, hot(spark, d))
+
+
+@query("f3_assign_partition", v.sql("scene_panels", f"""WITH {FAULTS}, ok AS (SELECT li.* FROM li SEMI JOIN scene_panels s ON s.ch = li.ch AND s.panel = li.id WHERE text <> '...'),
+  cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ch, id ORDER BY element, pos) AS rn FROM ok) WHERE rn = 1),
+  st AS (SELECT ch, element, min(id) AS start FROM cl GROUP BY ch, element),
+  a AS (SELECT s.ch, s.panel AS id, (SELECT max_by(element, start) FROM st WHERE st.ch = s.ch AND st.start <= s.panel) AS e1, (SELECT min_by(element, start) FROM st WHERE st.ch = s.ch) AS e2 FROM scene_panels s)
+  SELECT ch, id, coalesce(e1, e2) AS element FROM a WHERE e2 IS NOT NULL"""))
+def f3(spark, d):
+    return pt.assign_partition(faulty(spark, d), v.scene_panels(spark, d).select("ch", F.col("panel").alias("id")), hot(spark, d))
+
+
+def _candidates(spark, d, k=4):
+    p = v.scene_panels(spark, d)
+    lists = p.select("ch", F.floor(F.col("scene") / 2).alias("par"), (F.col("scene") % 2).alias("bpos"), F.col("scene").alias("beat")).distinct()
+    beats = p.select("ch", F.col("scene").alias("beat"), (F.col("panel") % 3).alias("ppos"), "panel")
+    return pt.candidates_topk(lists, beats, p.select("ch", "panel", "height"), k)
+
+
+@query("f4_candidates_topk", v.sql("scene_panels", """WITH c AS (SELECT ch, scene // 2 AS par, panel, height, row_number() OVER (PARTITION BY ch, scene // 2 ORDER BY height DESC, panel) AS r FROM scene_panels)
+  SELECT ch, CAST(par AS BIGINT) AS par, row_number() OVER (PARTITION BY ch, par ORDER BY panel) - 1 AS pos, panel AS id, height FROM c WHERE r <= 4"""))
+def f4(spark, d):
+    return _candidates(spark, d)
+
+
+def _wanted(spark, d):
+    return faulty(spark, d).select("ch", F.floor(F.col("element") / 2).alias("par"), (F.col("element") % 2 * 3 + F.col("pos")).alias("pos"), "id")
+
+
+@query("f5_claim_keyframes")
+def f5(spark, d):
+    return pt.claim_keyframes(_wanted(spark, d), _candidates(spark, d), 2, hot(spark, d))
+
+
+@query("f5_claim_from_pool")
+def f5b(spark, d):
+    p = v.scene_panels(spark, d)
+    pars = p.select("ch", F.col("scene").cast("long").alias("par"), F.when((F.col("scene") + F.col("ch")) % 6 == 5, "...").otherwise("told").alias("text")).distinct()
+    wanted = faulty(spark, d).select("ch", F.col("element").cast("long").alias("par"), "pos", "id")
+    return pt.claim_from_pool(wanted, pars, p.select("ch", F.col("panel").alias("id"), "height"), 2, hot(spark, d))
+
+
+@query("f6_restrict_to", v.sql("scene_panels", f"""WITH {FAULTS}, k AS (SELECT ch, scene, panel FROM scene_panels WHERE panel % 2 = 0)
+  SELECT DISTINCT li.ch, element AS par, id FROM li SEMI JOIN k ON k.ch = li.ch AND k.scene = element AND k.panel = id"""))
+def f6(spark, d):
+    kept = v.scene_panels(spark, d).filter("panel % 2 = 0").select("ch", F.col("scene").alias("par"), F.col("panel").alias("id"))
+    return pt.restrict_to(faulty(spark, d).withColumnRenamed("element", "par"), kept)
+
+
+@query("f7_numbering_check", v.sql("scene_panels", f"""WITH {FAULTS}, t AS (SELECT li.ch, element, li.id, s.panel IS NOT NULL AS ok FROM li LEFT JOIN scene_panels s ON s.ch = li.ch AND s.panel = li.id),
+  e AS (SELECT ch, element, bool_or(ok) AS ok FROM t GROUP BY ch, element), c AS (SELECT ch, count(*) AS elements, count(*) FILTER (NOT ok) AS orphans FROM e GROUP BY ch),
+  u AS (SELECT ch, count(DISTINCT id) FILTER (NOT ok) AS unknown FROM t GROUP BY ch), k AS (SELECT ch, count(*) AS known FROM scene_panels GROUP BY ch)
+  SELECT ch, elements, orphans, known, unknown, unknown > 0 AND (unknown > greatest(2, floor(0.2 * known)) OR orphans > elements / 2.0) AS rejected FROM c JOIN u USING (ch) JOIN k USING (ch)"""))
+def f7(spark, d):
+    return pt.numbering_check(faulty(spark, d), v.scene_panels(spark, d).select("ch", F.col("panel").alias("id")))
+
+
+@query("f8_enforce_order")
+def f8(spark, d):
+    p = v.scene_panels(spark, d)
+    jump = F.when((F.col("panel") + F.col("ch")) % 5 == 2, F.col("panel") - 2).when((F.col("panel") + F.col("ch")) % 4 == 1, F.col("panel") + 2).otherwise(F.col("panel"))
+    ids = p.withColumn("id", jump).join(p.select("ch", F.col("panel").alias("id"), F.lit(1).alias("_k")), ["ch", "id"]).select("ch", F.col("scene").cast("long").alias("par"), "id")
+    # one paragraph claims an id once, the first paragraph that asks
+    ids = ids.groupBy("ch", "id").agg(F.min("par").alias("par")).select("ch", "par", "id")
+    return pt.enforce_order(ids, p.select("ch", F.col("panel").alias("id"), F.col("height").cast("long").alias("height")), hot(spark, d))
+
+
+@query("f9_coverage", v.sql("scenes scene_panels", """WITH a AS (SELECT ch, count(*) AS scenes, count(*) FILTER (is_filler) AS filler, CAST(sum(CASE WHEN is_filler THEN 0 ELSE len(string_split(trim(regexp_replace(narration, '\\s+', ' ', 'g')), ' ')) END) AS BIGINT) AS words FROM scenes GROUP BY ch),
+  u AS (SELECT DISTINCT ch, panel AS idx FROM scene_panels WHERE heavy), b AS (SELECT ch, count(*) AS key_panels FROM u GROUP BY ch),
+  c AS (SELECT p.ch, count(*) AS panels, count(*) FILTER (u.idx IS NULL) AS leftover, count(*) FILTER (height > 1500) AS giant FROM panels p LEFT JOIN u ON u.ch = p.ch AND u.idx = p.idx GROUP BY p.ch)
+  SELECT ch, coalesce(scenes, 0) AS scenes, coalesce(filler, 0) AS filler, coalesce(words, 0) AS words, coalesce(key_panels, 0) AS key_panels, coalesce(panels, 0) AS panels, coalesce(leftover, 0) AS leftover, coalesce(giant, 0) AS giant
+  FROM a FULL JOIN b USING (ch) FULL JOIN c USING (ch)"""))
+def f9(spark, d):
+    return pt.coverage(v.scenes(spark, d), v.scene_panels(spark, d).filter("heavy"), v.panels(spark, d))
+
+
+CALL, INTRO = r"\b(?:das|pour|with)\b", [r"^\s*(?:the|les|der)\b"]
+
+
+@query("f10_script_conventions", v.sql("scenes", r"""WITH a AS (SELECT ch, idx, narration, list_filter(list_transform(string_split(regexp_replace(trim(narration), '([.!?])\s+([A-Z0-9"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> '') AS s FROM scenes),
+  o AS (SELECT *, idx = 0 AND len(s) > 1 AND regexp_matches(s[1], '(?i)^\s*(the|les|der)\b') AS op FROM a),
+  b AS (SELECT ch, idx, CASE WHEN op THEN s[2:] ELSE s END AS s, CASE WHEN op THEN array_to_string(s[2:], ' ') ELSE narration END AS text FROM o),
+  c AS (SELECT *, list_filter(s, lambda x: NOT regexp_matches(x, '(?i)\b(das|pour|with)\b')) AS k FROM b),
+  f AS (SELECT ch, count(*) AS n, sum(len(s) - len(k)) AS total, max(CASE WHEN len(s) > len(k) THEN idx END) AS att FROM c GROUP BY ch),
+  g AS (SELECT c.*, n, total, f.att, coalesce(regexp_matches(l.s[-1], '(?i)\b(das|pour|with)\b'), false) AS ends FROM c JOIN f USING (ch) LEFT JOIN c l ON l.ch = c.ch AND l.idx = f.att),
+  h AS (SELECT *, total = 1 AND n >= 4 AND att >= 2 AND att <= n - 2 AND NOT ends AS well, greatest(0, least(n - 2, greatest(2, EVEN))) AS kk, CASE WHEN len(s) > len(k) AND len(k) > 0 THEN k ELSE s END AS base,
+    'If you''re enjoying this recap, subscribe so you never miss the next chapter.' AS own FROM g)
+  SELECT ch, idx, CASE WHEN well THEN text WHEN idx = kk THEN array_to_string(CASE WHEN idx = n - 1 AND len(base) > 1 THEN list_concat(list_append(base[:-2], own), [base[-1]]) ELSE list_append(base, own) END, ' ')
+    WHEN len(s) > len(k) AND len(k) > 0 THEN array_to_string(base, ' ') ELSE text END AS text FROM h""".replace(
+    "EVEN", "CASE WHEN 0.4 * (n - 1) - floor(0.4 * (n - 1)) = 0.5 THEN 2 * round(0.4 * (n - 1) / 2) ELSE round(0.4 * (n - 1)) END")))
+def f10(spark, d):
+    s = v.scenes(spark, d).select("ch", "idx", F.col("narration").alias("text"))
+    return pt.script_conventions(s, CALL, INTRO, hot=v.hot_talks(spark, d))
+
+
+@query("f11_first_fitting_rung", v.sql("panels", """WITH s AS (SELECT ch, r AS rung, sum(height * (6 - r) * 100) AS b FROM panels, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS r) GROUP BY ch, r)
+  SELECT ch, coalesce(min(CASE WHEN b <= 1000000 THEN rung END), -1) AS rung FROM s GROUP BY ch"""))
+def f11(spark, d):
+    p = v.panels(spark, d).select("ch", F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("rung"), "height")
+    return pt.first_fitting_rung(p.select("ch", "rung", (F.col("height") * (6 - F.col("rung")) * 100).cast("long").alias("bytes")), 1_000_000)
+
+
+@query("f12_dedupe_last", v.sql("cards", """WITH k AS (SELECT *, lower(trim(name)) AS key FROM cards WHERE trim(name) <> ''), f AS (SELECT series, key, min(ep) AS ep, max(ep) AS last FROM k GROUP BY series, key)
+  SELECT f.series, f.ep, k.name, k.alias FROM f JOIN k ON k.series = f.series AND k.key = f.key AND k.ep = f.last"""))
+def f12(spark, d):
+    return pt.dedupe_last(v.cards(spark, d).select("series", "ep", "name", "alias"), ["series"], "name", "ep")
+
+
+# --- series memory ---------------------------------------------------------------------------
+def _hot_series(spark, d):
+    return v.hot(spark, d, "documents", "source")
+
+
+def _cards(spark, d, aliases=True):
+    c = v.cards(spark, d)
+    return c.select("series", "ep", F.lit(0).alias("pos"), "name", F.array("alias").alias("aliases") if aliases else F.expr("cast(array() as array<string>)").alias("aliases"), "who")
+
+
+@query("g1_merge_entities")
+def g1(spark, d):
+    return mm.merge_entities(_cards(spark, d), _hot_series(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+TRIM = "CASE WHEN length({t}) <= {n} THEN {t} ELSE regexp_replace(substr({t}, 1, {n}), ' [^ ]*$', '') || '...' END"
+SPACED = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+FIRSTS = "fi AS (SELECT * FROM (SELECT series, ep, trim(name) AS name, who, row_number() OVER (PARTITION BY series, lower(trim(name)) ORDER BY ep) AS rn FROM cards WHERE trim(name) <> '') WHERE rn = 1)"
+
+
+@query("g1_alias_free", v.sql("cards", f"""WITH {FIRSTS}, t AS (SELECT *, {SPACED.format(c='who')} AS w FROM fi)
+  SELECT series, row_number() OVER (PARTITION BY series ORDER BY ep) - 1 AS ord, name, {TRIM.format(t='w', n=160)} AS who FROM t"""))
+def g1b(spark, d):
+    return mm.merge_entities(_cards(spark, d, False), _hot_series(spark, d)).drop("aliases")
+
+
+@query("g2_rank_entities", v.sql("cards", f"""WITH {FIRSTS}, h AS (SELECT series, lower(trim(name)) AS k, count(DISTINCT ep) AS hits FROM cards WHERE trim(name) <> '' GROUP BY series, lower(trim(name))),
+  c AS (SELECT fi.series, row_number() OVER (PARTITION BY fi.series ORDER BY ep) - 1 AS ord, name, hits FROM fi JOIN h ON h.series = fi.series AND h.k = lower(fi.name)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY hits DESC, ord) - 1 AS rank FROM c) SELECT series, ord, name, hits, rank FROM r WHERE rank < 20"""))
+def g2(spark, d):
+    cards = mm.merge_entities(_cards(spark, d, False), _hot_series(spark, d))
+    return mm.rank_entities(cards, v.cards(spark, d)).select("series", "ord", "name", "hits", "rank")
+
+
+@query("g3_series_tail", v.sql("cards", f"""WITH t AS (SELECT series, ep, {SPACED.format(c='coalesce(lag(who) OVER (PARTITION BY series ORDER BY ep), \'\')')} AS t FROM cards) SELECT series, ep, {TRIM.format(t='t', n=320)} AS tail FROM t"""))
+def g3(spark, d):
+    return mm.series_tail(v.cards(spark, d).select("series", "ep", F.col("who").alias("tail")), _hot_series(spark, d))
+
+
+@query("g3_series_cards")
+def g3b(spark, d):
+    return mm.series_cards(_cards(spark, d), hot=_hot_series(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query("g3_series_cards_alias_free", v.sql("cards", """WITH k AS (SELECT series, ep, lower(trim(name)) AS k, trim(name) AS name FROM cards WHERE trim(name) <> ''),
+  e AS (SELECT DISTINCT series, ep FROM k), c AS (SELECT e.series, e.ep, k.k, count(DISTINCT k.ep) AS hits, min(k.ep) AS first, min_by(k.name, k.ep) AS name FROM e JOIN k ON k.series = e.series AND k.ep < e.ep GROUP BY e.series, e.ep, k.k),
+  r AS (SELECT *, row_number() OVER (PARTITION BY series, ep ORDER BY hits DESC, first) - 1 AS rank FROM c) SELECT series, ep, rank, name, hits FROM r WHERE rank < 20"""))
+def g3c(spark, d):
+    return mm.series_cards(_cards(spark, d, False), hot=_hot_series(spark, d)).drop("aliases")
+
+
+@query("g4_chapter_sheets", v.sql("scenes", f"""WITH c AS (SELECT DISTINCT ch FROM scenes), t AS (SELECT ch, {SPACED.format(c='arg_max(narration, idx)')} AS t FROM scenes WHERE NOT is_filler AND trim(narration) <> '' GROUP BY ch),
+  n AS (SELECT ch, count(*) AS cards FROM scenes WHERE trim(split_part(narration, ' ', 1)) <> '' GROUP BY ch)
+  SELECT ch, 's-' || (ch % 5) AS series, ch + 1 AS ep, coalesce(cards, 0) AS cards, coalesce({TRIM.format(t='t', n=320)}, '') AS tail FROM c LEFT JOIN t USING (ch) LEFT JOIN n USING (ch) WHERE ch % 7 <> 0"""))
+def g4(spark, d):
+    s = v.scenes(spark, d)
+    chapters = s.select("ch").distinct().select("ch", F.concat(F.lit("s-"), (F.col("ch") % 5).cast("string")).alias("series"), F.when(F.col("ch") % 7 != 0, F.col("ch") + 1).alias("ep"))
+    cards = s.select("ch", F.col("idx").alias("pos"), F.split("narration", " ", 2)[0].alias("name"), F.array(F.lit("x")).alias("aliases"), F.col("narration").alias("who"))
+    return mm.chapter_sheets(chapters, s, cards)
+
+
+@query("g5_predecessors", "SELECT 'u' || o_orderkey AS url, o_custkey AS title_no, o_orderkey AS episode_no, coalesce(lag('u' || o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), '') AS previous FROM orders")
+def g5(spark, d):
+    o = v.table(spark, d, "orders").select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_custkey").alias("title_no"), F.col("o_orderkey").alias("episode_no"))
+    return mm.predecessors(o, v.hot(spark, d, "orders", "o_custkey")).fillna("", ["previous"])
