@@ -218,6 +218,14 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     )
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later lambdas read: the generator keeps the optimizer from copying
+    the expression into every use."""
+    names = list(columns)
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("_once", packed).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in names])
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per group, the first by ``order``; combines before the shuffle, so hot keys are safe."""
     rest = [c for c in df.columns if c not in keys]

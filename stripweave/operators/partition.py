@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stripweave.functions import text as tx
 from stripweave.functions.intervals import on_group
 from stripweave.functions.ordered import (
-    first_after, first_by, first_from, fold, is_hot, last_before, last_to, max_before, max_to, min_after, number_rows, scan, sum_before, sum_to)
+    first_after, first_by, first_from, fold, is_hot, last_before, last_to, max_before, min_after, number_rows, once, scan, sum_before, sum_to)
 from stripweave.session import durable
 
 CH = ["ch"]
@@ -300,12 +300,12 @@ def script_conventions(paragraphs: DataFrame, call: str, intros: Sequence[str],
     """
     hot = _hot(paragraphs, hot)
     s = F.col("_s")
-    p = paragraphs.withColumn("_s", tx.sentences(F.col("text")))
+    p = once(paragraphs, _s=tx.sentences(F.col("text")))
     opening = (F.col("idx") == 0) & (F.size(s) > 1) & tx.any_match(F.get(s, 0), intros)
     p = p.withColumn("_o", opening).withColumn("_s", F.when(F.col("_o"), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s))
     p = p.withColumn("text", F.when(F.col("_o"), F.array_join("_s", " ")).otherwise(F.col("text")))
     is_call = f"(?iuU){call}"
-    p = p.withColumn("_k", F.filter("_s", lambda x: ~x.rlike(is_call))).withColumn("_hits", F.size("_s") - F.size("_k"))
+    p = once(p, _k=F.filter("_s", lambda x: ~x.rlike(is_call))).withColumn("_hits", F.size("_s") - F.size("_k"))
     ends = F.element_at("_s", -1).rlike(is_call) & (F.size("_s") > 0)
     facts = p.groupBy("ch").agg(F.count(F.lit(1)).alias("_n"), F.sum("_hits").alias("_all"),
                                 F.max(F.when(F.col("_hits") > 0, F.struct("idx", ends.alias("ends")))).alias("_at"))

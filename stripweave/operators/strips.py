@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stripweave.session import number_setting
 from stripweave.functions.intervals import on_group, points_in
 from stripweave.functions.ordered import (
-    first_by, first_from, is_hot, last_to, next_, number_rows, prev, runs, scan, sum_before, sum_to)
+    first_by, first_from, is_hot, last_to, next_, once, prev, runs, scan, sum_before, sum_to)
 
 STRIP = ["strip"]
 CALIBRATED_WIDTH = 575
@@ -37,10 +37,13 @@ def scaled(value: float, width: Column) -> Column:
 # --- D1, D2 ----------------------------------------------------------------------------------
 def row_variance(rows: DataFrame) -> DataFrame:
     """Population variance of each pixel row. A row without pixels is an error."""
-    xs = F.transform("px", lambda x: x.cast("double"))
-    spread = F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size("px")
-    checked = F.when(F.size("px") > 0, _mean(xs)).otherwise(F.raise_error(F.lit("pixel row of width 0")).cast("double"))
-    return rows.withColumn("_mean", checked).select("strip", "y", spread.alias("variance"))
+    # pixels are whole numbers, so both sums are exact and one pass is enough
+    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
+    both = F.aggregate("px", zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x.cast("long") * x).alias("q")))
+    n = F.size("px").cast("long")
+    spread = (n * F.col("_m.q") - F.col("_m.s") * F.col("_m.s")) / (n * n)
+    checked = F.when(n > 0, spread).otherwise(F.raise_error(F.lit("pixel row of width 0")).cast("double"))
+    return once(rows, _m=both).select("strip", "y", checked.alias("variance"))
 
 
 def row_change(rows: DataFrame, threshold: int = 24, hot: bool | None = None) -> DataFrame:
@@ -278,7 +281,7 @@ def row_background_score(rows: DataFrame, palette: Sequence[int] = (255, 0), sca
         low, high = F.element_at(xs, lo + 1), F.element_at(xs, F.least(lo + 2, F.size(xs)))
         return low + (high - low) * (at - lo)
 
-    sorted_ = rows.withColumns({f"_d{i}": far(c) for i, c in enumerate(palette)})
+    sorted_ = once(rows, **{f"_d{i}": far(c) for i, c in enumerate(palette)})
     best = F.least(*[p99(F.col(f"_d{i}")) for i in range(len(palette))], F.lit(255.0))
     worst = F.least(*[F.element_at(f"_d{i}", -1) for i in range(len(palette))], F.lit(255.0))
     return sorted_.select("strip", "y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - best / scale)).alias("score"),
@@ -322,8 +325,7 @@ def cut_energy(rows: DataFrame, hot: bool | None = None) -> DataFrame:
     hot = _hot(rows, hot)
     near = scan(rows, STRIP, ["y"], hot, _up=prev(F.col("px")), _down=next_(F.col("px")))
     diff = F.zip_with("_down", "_up", lambda a, b: (a - b).cast("double"))
-    near = near.withColumn("_d", F.when(F.col("_up").isNotNull() & F.col("_down").isNotNull(), diff)
-                           .otherwise(F.transform("px", lambda x: F.lit(0.0))))
+    near = once(near, _d=F.when(F.col("_up").isNotNull() & F.col("_down").isNotNull(), diff).otherwise(F.transform("px", lambda x: F.lit(0.0))))
     n = F.size("_d")
 
     def smooth(x: Column, i: Column) -> Column:

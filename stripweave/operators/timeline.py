@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stripweave.functions import text as tx
 from stripweave.functions.intervals import on_group, points_in
 from stripweave.functions.ordered import (
-    first_after, first_by, is_hot, last_to, next_, prev, scan, sum_before, sum_to)
+    first_after, is_hot, last_to, next_, once, prev, scan, sum_before, sum_to)
 from stripweave.session import durable
 
 CH = ["ch"]
@@ -144,8 +144,8 @@ def cues(scenes: DataFrame, max_words: int = 4, min_cue: float = 0.25) -> DataFr
     A caption lasts at least ``min_cue``, never past the speech; once no time is left the rest is dropped.
     The cursor runs through the chunks of one text, so it is an array fold on the row.
     """
-    p = scenes.withColumn("_c", tx.balanced_chunks(F.col("narration"), max_words)).filter((F.size("_c") > 0) & (F.col("speech_s") > 0))
-    p = p.withColumn("_all", F.aggregate("_c", F.lit(0), lambda a, x: a + F.length(x)))
+    p = once(scenes, _c=tx.balanced_chunks(F.col("narration"), max_words)).filter((F.size("_c") > 0) & (F.col("speech_s") > 0))
+    p = once(p, _all= F.aggregate("_c", F.lit(0), lambda a, x: a + F.length(x)))
     end = F.col("start_s") + F.col("speech_s")
     zero = F.struct(F.col("start_s").cast("double").alias("at"), F.lit(0).alias("i"),
                     F.expr("cast(array() as array<struct<start_s: double, end_s: double, text: string>>)").alias("out"))
@@ -169,8 +169,8 @@ def cues(scenes: DataFrame, max_words: int = 4, min_cue: float = 0.25) -> DataFr
 
 def word_times(cue: DataFrame) -> DataFrame:
     """Words of each caption over its time, by length; the last ends exactly."""
-    p = cue.withColumn("_w", tx.words(F.col("text"))).filter((F.size("_w") > 0) & (F.col("end_s") > F.col("start_s")))
-    p = p.withColumn("_all", F.aggregate("_w", F.lit(0), lambda a, x: a + F.length(x)))
+    p = once(cue, _w=tx.words(F.col("text"))).filter((F.size("_w") > 0) & (F.col("end_s") > F.col("start_s")))
+    p = once(p, _all=F.aggregate("_w", F.lit(0), lambda a, x: a + F.length(x)))
     span = F.col("end_s") - F.col("start_s")
 
     def place(w: Column, i: Column) -> Column:

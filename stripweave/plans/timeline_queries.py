@@ -119,11 +119,10 @@ CHUNKS = PREP + """, sn AS (SELECT ch, idx, emotion, generate_subscripts(l, 1) A
   wd AS (SELECT *, string_split(s, ' ') AS w FROM sn WHERE s <> ''), gr AS (SELECT *, len(w) AS n, CAST(ceil(len(w) / 4.0) AS BIGINT) AS g FROM wd),
   ck AS (SELECT ch, idx, emotion, sp, k, array_to_string(w[k * (n // g) + least(k, n % g) + 1 : (k + 1) * (n // g) + least(k + 1, n % g)], ' ') AS piece FROM (SELECT *, unnest(range(g)) AS k FROM gr)),
   oc AS (SELECT ch, idx, emotion, piece, row_number() OVER (PARTITION BY ch, idx ORDER BY sp, k) - 1 AS cue, count(*) OVER (PARTITION BY ch, idx) AS m, sum(length(piece)) OVER (PARTITION BY ch, idx) AS total FROM ck)"""
-CUES = CHUNKS + """, j AS MATERIALIZED (SELECT oc.*, speech_s FROM oc JOIN audio a ON a.ch = oc.ch AND a.scene = oc.idx WHERE speech_s > 0),
-  r(ch, idx, emotion, cue, m, piece, a, b, speech) AS (
-    SELECT ch, idx, emotion, cue, m, piece, CAST(10 AS DOUBLE), CASE WHEN m = 1 THEN 10 + speech_s ELSE least(10 + greatest(speech_s * length(piece) / total, 0.25), 10 + speech_s) END, speech_s FROM j WHERE cue = 0
-    UNION ALL SELECT j.ch, j.idx, j.emotion, j.cue, j.m, j.piece, r.b, CASE WHEN j.cue = j.m - 1 THEN 10 + speech_s ELSE least(r.b + greatest(speech_s * length(j.piece) / total, 0.25), 10 + speech_s) END, speech_s
-    FROM r JOIN j ON j.ch = r.ch AND j.idx = r.idx AND j.cue = r.cue + 1 WHERE r.b > r.a AND r.b < 10 + r.speech)"""
+# adding floors and capping at the end is the capped running sum of the floors
+CUES = CHUNKS + """, j AS (SELECT oc.*, speech_s, 10 + sum(greatest(speech_s * length(piece) / total, 0.25)) OVER (PARTITION BY oc.ch, idx ORDER BY cue) AS run FROM oc JOIN audio a ON a.ch = oc.ch AND a.scene = oc.idx WHERE speech_s > 0),
+  q AS (SELECT *, CASE WHEN cue = m - 1 THEN 10 + speech_s ELSE least(run, 10 + speech_s) END AS b FROM j),
+  r AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY ch, idx ORDER BY cue), 10) AS a FROM q)"""
 
 
 def _cues(spark, d):
@@ -131,14 +130,14 @@ def _cues(spark, d):
     return tl.cues(s.withColumn("start_s", F.lit(10.0)))
 
 
-@query("h7_cues", v.sql("scenes audio", f"WITH {CUES} SELECT ch, idx AS scene, cue, piece AS text, round(a, 9) AS start_s, round(b, 9) AS end_s FROM r WHERE b > a", recursive=True))
+@query("h7_cues", v.sql("scenes audio", f"WITH {CUES} SELECT ch, idx AS scene, cue, piece AS text, round(a, 9) AS start_s, round(b, 9) AS end_s FROM r WHERE b > a"))
 def h7(spark, d):
     return _cues(spark, d).select("ch", "scene", "cue", "text", *[F.round(c, 9).alias(c) for c in ("start_s", "end_s")])
 
 
 @query("h7_cue_animation", v.sql("scenes audio", f"""WITH {CUES} SELECT ch, idx AS scene, cue, round(CASE WHEN 0.35 * (b - a) >= 0.12 THEN round(least(0.4, 0.35 * (b - a)), 3) ELSE 0 END, 2) AS intro_s,
   CASE WHEN 0.35 * (b - a) < 0.12 THEN '' WHEN emotion IN ('action', 'happy', 'humor') THEN '弹入' WHEN emotion IN ('tension', 'fear') THEN '故障' WHEN emotion = 'epic' THEN '放大' WHEN emotion = 'mystery' THEN '模糊'
-   WHEN emotion IN ('sad', 'romance', 'calm') THEN '渐显' ELSE '逐字' END AS intro, CASE WHEN 0.35 * (b - a) < 0.12 THEN '' WHEN emotion = 'action' THEN '心跳' WHEN emotion IN ('tension', 'fear') THEN '颤抖' ELSE '' END AS "loop" FROM r WHERE b > a""", recursive=True))
+   WHEN emotion IN ('sad', 'romance', 'calm') THEN '渐显' ELSE '逐字' END AS intro, CASE WHEN 0.35 * (b - a) < 0.12 THEN '' WHEN emotion = 'action' THEN '心跳' WHEN emotion IN ('tension', 'fear') THEN '颤抖' ELSE '' END AS "loop" FROM r WHERE b > a"""))
 def h7b(spark, d):
     c = _cues(spark, d).fillna({"intro": "", "loop": "", "intro_s": 0.0})
     return c.select("ch", "scene", "cue", F.round("intro_s", 2).alias("intro_s"), "intro", "loop")
@@ -220,13 +219,14 @@ def h14(spark, d):
     return out.select("series", "ch", "clip", "scene", F.round("start_s", 9).alias("start_s"), F.coalesce("transition", F.lit("")).alias("transition"))
 
 
-# positions in whole microseconds first, so both engines round the same numbers
-USC = """uc AS (SELECT ch, clip, scene, round(start_s, 9) AS start_s, round(duration_s, 9) AS duration_s FROM cl), us AS (SELECT *, CAST(round(start_s * 1e6) AS BIGINT) AS u, CAST(round((start_s + duration_s) * 1e6) AS BIGINT) AS ue, CASE WHEN scene % 2 = 1 THEN 250000 ELSE 0 END AS tr FROM uc),
+# cut to 10 µs off any tie first, so both engines round the same numbers
+USC = """uc AS (SELECT ch, clip, scene, floor(start_s * 1e5 + 0.3137) / 1e5 AS start_s, floor(duration_s * 1e5 + 0.3137) / 1e5 AS duration_s FROM cl), us AS (SELECT *, CAST(round(start_s * 1e6) AS BIGINT) AS u, CAST(round((start_s + duration_s) * 1e6) AS BIGINT) AS ue, CASE WHEN scene % 2 = 1 THEN 250000 ELSE 0 END AS tr FROM uc),
   rg AS (SELECT ch, clip, u, greatest(coalesce(lead(u) OVER (PARTITION BY ch ORDER BY clip), ue), u + 1) - u AS len, CAST(coalesce(sum(tr) OVER (PARTITION BY ch ORDER BY clip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM us)"""
 
 
 def _micro(spark, d):
-    return _clips(spark, d).withColumns(r9("start_s", "duration_s")).withColumn("transition_s", F.when(F.col("scene") % 2 == 1, 0.25))
+    down = {c: F.floor(F.col(c) * 1e5 + 0.3137) / 1e5 for c in ("start_s", "duration_s")}
+    return _clips(spark, d).withColumns(down).withColumn("transition_s", F.when(F.col("scene") % 2 == 1, 0.25))
 
 
 @query("h15_contiguous_ranges", v.sql("scene_panels", f"WITH {PLACED}, {USC} SELECT ch, clip, u + shift AS start_us, len AS length_us FROM rg"))
