@@ -50,8 +50,7 @@ def balanced_chunks(c: Column, max_words: int = 4) -> Column:
     """Chunks of at most ``max_words`` words, sizes within a sentence differing by at most one."""
     m = max(1, max_words)
 
-    def cut(sentence: Column) -> Column:
-        w = F.split(sentence, " ")
+    def cut(w: Column) -> Column:
         n = F.size(w)
         groups = F.ceil(n / m).cast("int")
         base, extra = F.floor(n / groups).cast("int"), (n % groups).cast("int")
@@ -59,8 +58,9 @@ def balanced_chunks(c: Column, max_words: int = 4) -> Column:
             F.slice(w, (g * base + F.least(g, extra) + 1).cast("int"), base + F.when(g < extra, 1).otherwise(0)), " "))
 
     text = prepare_text(c)
-    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(
-        F.flatten(F.transform(F.split(text, ANY_BOUNDARY), cut)))
+    # split to words in a step of its own, so the cut reads a bound array
+    split = F.transform(F.split(text, ANY_BOUNDARY), lambda s: F.split(s, " "))
+    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.flatten(F.transform(split, cut)))
 
 
 def trim_text(c: Column, limit: int) -> Column:

@@ -128,7 +128,7 @@ def coerce_bool(label: Column) -> Column:
 def coerce_weight(value: Column) -> Column:
     """Whole number between 1 and 3; 2 where it is none."""
     number = F.when(F.trim(value).rlike("^[+-]?[0-9]{1,18}$"), F.trim(value).cast("long"))
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(3), number)), F.lit(2)).cast("int")
+    return F.when(number.isNull(), 2).otherwise(F.greatest(F.lit(1), F.least(F.lit(3), number))).cast("int")
 
 
 def series_key(title_no: Column, title: Column) -> Column:
