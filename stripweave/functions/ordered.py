@@ -143,19 +143,19 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: bool, **
             new[name] = F.coalesce(col, F.lit(0)) if s.kind.startswith("sum") else col
         return out.withColumns(new)
     size = number_setting(df.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
-    base = df.withColumns({f"_v_{n}": s.value for n, s in scans.items()})
-    base = durable(base.withColumn("_chunk", F.floor(F.col(order[0]) / size).cast("long")))
-    w = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    base = df.withColumns({f"__v_{n}": s.value for n, s in scans.items()})
+    base = durable(base.withColumn("__chunk", F.floor(F.col(order[0]) / size).cast("long")))
+    w = W.partitionBy(*keys, "__chunk").orderBy(*order)
     local = base.withColumns(
-        {f"_l_{n}": _inside(s.kind, F.col(f"_v_{n}"), w) for n, s in scans.items()}
-        | {"_head": F.lag(F.lit(True)).over(w).isNull(), "_tail": F.lead(F.lit(True)).over(w).isNull()}
+        {f"__l_{n}": _inside(s.kind, F.col(f"__v_{n}"), w) for n, s in scans.items()}
+        | {"__head": F.lag(F.lit(True)).over(w).isNull(), "__tail": F.lead(F.lit(True)).over(w).isNull()}
     )
     at = F.struct(*order)
     totals, carry = {}, {}
-    wk = W.partitionBy(*keys).orderBy("_chunk")
+    wk = W.partitionBy(*keys).orderBy("__chunk")
     back, fore = wk.rowsBetween(W.unboundedPreceding, -1), wk.rowsBetween(1, W.unboundedFollowing)
     for n, s in scans.items():
-        v, t = F.col(f"_v_{n}"), F.col(f"_t_{n}")
+        v, t = F.col(f"__v_{n}"), F.col(f"__t_{n}")
         if s.kind.startswith("sum"):
             totals[n], carry[n] = F.sum(v), F.sum(t).over(back)
         elif s.kind.startswith("max"):
@@ -172,15 +172,15 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: bool, **
         else:
             totals[n] = F.min(F.when(v.isNotNull(), F.struct(*order, v.alias("_x"))))
             carry[n] = F.first(t["_x"], ignorenulls=True).over(fore)
-    per_chunk = base.groupBy(*keys, "_chunk").agg(*[c.alias(f"_t_{n}") for n, c in totals.items()])
+    per_chunk = base.groupBy(*keys, "__chunk").agg(*[c.alias(f"__t_{n}") for n, c in totals.items()])
     carried = (
-        per_chunk.withColumns({f"_c_{n}": c for n, c in carry.items()} | {"_n": F.count(F.lit(1)).over(W.partitionBy(*keys))})
-        .filter("_n > 1").select(*keys, "_chunk", *[f"_c_{n}" for n in scans])
+        per_chunk.withColumns({f"__c_{n}": c for n, c in carry.items()} | {"__n": F.count(F.lit(1)).over(W.partitionBy(*keys))})
+        .filter("__n > 1").select(*keys, "__chunk", *[f"__c_{n}" for n in scans])
     )
-    out = local.join(carried, [*keys, "_chunk"], "left")
+    out = local.join(carried, [*keys, "__chunk"], "left")
     new = {}
     for n, s in scans.items():
-        here, far = F.col(f"_l_{n}"), F.col(f"_c_{n}")
+        here, far = F.col(f"__l_{n}"), F.col(f"__c_{n}")
         if s.kind.startswith("sum"):
             new[n] = F.coalesce(far, F.lit(0)) + F.coalesce(here, F.lit(0))
         elif s.kind.startswith("max"):
@@ -188,9 +188,9 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: bool, **
         elif s.kind == "min_after":
             new[n] = F.least(far, here)
         elif s.kind == "prev":
-            new[n] = F.when(F.col("_head"), far).otherwise(here)
+            new[n] = F.when(F.col("__head"), far).otherwise(here)
         elif s.kind == "next":
-            new[n] = F.when(F.col("_tail"), far).otherwise(here)
+            new[n] = F.when(F.col("__tail"), far).otherwise(here)
         else:
             new[n] = F.coalesce(here, far)
     return out.withColumns(new).select(*df.columns, *scans)
@@ -207,14 +207,14 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         hot = is_hot(df, keys)
     if not hot:
         return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    ranged = durable(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
-    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)) - 1
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shift = ranged.groupBy(*keys, "_range").count().select(
-        *keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    ranged = durable(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    inside = F.row_number().over(W.partitionBy(*keys, "__range").orderBy(*order)) - 1
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    shift = ranged.groupBy(*keys, "__range").count().select(
+        *keys, "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift"))
     return (
-        ranged.withColumn("_inside", inside).join(shift, [*keys, "_range"])
-        .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("long")).select(*df.columns, name)
+        ranged.withColumn("__inside", inside).join(shift, [*keys, "__range"])
+        .withColumn(name, (F.col("__inside") + F.col("__shift")).cast("long")).select(*df.columns, name)
     )
 
 
@@ -338,9 +338,10 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, s
         sorted_rows = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
         return sorted_rows.mapInPandas(_runner(keys, columns, step, finish, fields, False), target)
     size = number_setting(df.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
-    rows = durable(number_rows(df, keys, order, "_n", hot=True).withColumn("_chunk", F.floor(F.col("_n") / size)))
-    last = rows.agg(F.max("_chunk")).first()[0]
-    wide = _empty_state(target)
+    rows = durable(number_rows(df, keys, order, "__n", hot=True).withColumn("__chunk", F.floor(F.col("__n") / size)))
+    last = rows.agg(F.max("__chunk")).first()[0]
+    hidden = [k for k in keys if k not in fields]
+    wide = _empty_state(T.StructType([*target.fields, *[df.schema[k] for k in hidden]]))
     out, state = None, None
 
     def add(new: DataFrame) -> None:
@@ -352,13 +353,13 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, s
             add(states.mapInPandas(_runner(keys, [], None, finish, fields, False), target))
 
     for c in range(0 if last is None else last + 1):
-        part = rows.filter(F.col("_chunk") == c).drop("_chunk").withColumn("_state", F.lit(None).cast("binary"))
+        part = rows.filter(F.col("__chunk") == c).drop("__chunk").withColumn("_state", F.lit(None).cast("binary"))
         if state is not None:
             open_keys = part.select(*keys).distinct()
             ended(state.join(open_keys, keys, "left_anti"))
             part = part.unionByName(state.join(open_keys, keys, "left_semi"), allowMissingColumns=True)
-        ordered = part.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_state").isNull(), "_n")
-        done = durable(ordered.mapInPandas(_runner(keys, columns, step, finish, fields, True), wide))
+        ordered = part.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_state").isNull(), "__n")
+        done = durable(ordered.mapInPandas(_runner(keys, columns, step, finish, [*fields, *hidden], True), wide))
         add(done.filter("_state is null").select(*fields))
         state = done.filter("_state is not null").select(*keys, "_state")
     if state is not None:
