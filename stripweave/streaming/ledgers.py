@@ -77,7 +77,7 @@ def release_stream(ready: DataFrame, finished: DataFrame, timeout_s: int = 600,
     b = finished.withWatermark("finished_ts", late).select(F.col("url").alias("done"), "finished_ts").alias("b")
     joined = a.join(b, F.expr(f"a.previous = b.done and b.finished_ts <= a.ready_ts + interval {timeout_s} seconds and b.finished_ts >= a.ready_ts - interval {memory}"), "left_outer")
     limit = F.col("ready_ts") + F.expr(f"interval {timeout_s} seconds")
-    at = F.when(F.col("previous").isNull(), F.col("ready_ts")).otherwise(F.coalesce(F.greatest("ready_ts", "finished_ts"), limit))
+    at = F.when(F.col("previous").isNull(), F.col("ready_ts")).when(F.col("finished_ts").isNull(), limit).otherwise(F.greatest("ready_ts", "finished_ts"))
     return joined.select("a.url", "previous", "ready_ts", at.alias("release_ts"), F.col("finished_ts").isNotNull().alias("has_memory"))
 
 
