@@ -259,7 +259,8 @@ def _runner(keys: list[str], columns: list[str], step: Step | None, finish: Fini
     """Walk sorted batches, hand each whole group to ``step``, emit the rows in bulk."""
 
     def run(batches):
-        held: list[pd.DataFrame] = []
+        names = list(dict.fromkeys([*keys, *columns]))
+        held: list[dict[str, np.ndarray]] = []
         held_key = None
 
         def put(out, key, rows):
@@ -268,18 +269,18 @@ def _runner(keys: list[str], columns: list[str], step: Step | None, finish: Fini
                 out[f].extend([key[f]] * n if f in key and f not in rows else rows.get(f, []))
             return n
 
-        def close(frames, out):
-            pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-            key = {k: frames[0][k].iloc[0] for k in keys}
+        def close(pieces, out):
+            group = pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
+            key = {k: group[k][0] for k in keys}
             state = None
-            if "_state" in pdf.columns:
-                marks = pdf["_state"].notna().to_numpy()
+            if "_state" in group:
+                marks = np.array([x is not None for x in group["_state"]])
                 if marks.any():
-                    state = pickle.loads(pdf["_state"].to_numpy()[marks][0])
-                    pdf = pdf[~marks]
+                    state = pickle.loads(group["_state"][marks][0])
+                    group = {c: x[~marks] for c, x in group.items()}
             rows = {}
-            if step is not None and len(pdf):
-                rows, state = step({c: pdf[c].to_numpy() for c in columns}, state)
+            if step is not None and len(group[keys[0]]):
+                rows, state = step({c: group[c] for c in columns}, state)
             n = put(out, key, rows)
             if keep_state:
                 out["_state"].extend([None] * n)
@@ -296,14 +297,15 @@ def _runner(keys: list[str], columns: list[str], step: Step | None, finish: Fini
             if batch.empty:
                 continue
             out = fresh()
+            # one array per column of the batch; a group is a slice of them
+            arrays = {c: batch[c].to_numpy() for c in (*names, *(["_state"] if "_state" in batch.columns else []))}
             changed = np.zeros(len(batch), dtype=bool)
             for k in keys:
-                col = batch[k].to_numpy()
-                changed[1:] |= col[1:] != col[:-1]
+                changed[1:] |= arrays[k][1:] != arrays[k][:-1]
             bounds = [0, *np.flatnonzero(changed).tolist(), len(batch)]
             for a, b in zip(bounds[:-1], bounds[1:]):
-                piece = batch.iloc[a:b]
-                key = tuple(piece[k].iloc[0] for k in keys)
+                piece = {c: x[a:b] for c, x in arrays.items()}
+                key = tuple(piece[k][0] for k in keys)
                 if held and key == held_key:
                     held.append(piece)
                     continue

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -14,13 +14,18 @@ BOUNDARY = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
 ANY_BOUNDARY = r"(?U)(?<=[.!?])\s+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a costly value once for an expression that reads it several times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spaced(c: Column) -> Column:
     """Whitespace collapsed and trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def _or_empty(c: Column) -> Column:
-    return F.when(c.rlike(r"[\p{L}\p{N}]"), c).otherwise("")
+    return let(c, lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), x).otherwise(""))
 
 
 def clean_text(c: Column) -> Column:
@@ -32,8 +37,7 @@ def prepare_text(c: Column) -> Column:
     c = F.translate(c, ZERO_WIDTH, "")
     for k, v in PLAIN.items():
         c = F.replace(c, F.lit(k), F.lit(v))
-    c = _or_empty(spaced(c))
-    return F.when((c == "") | c.rlike(r"[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
+    return let(_or_empty(spaced(c)), lambda x: F.when((x == "") | x.rlike(r"[.!?]$"), x).otherwise(F.concat(x, F.lit("."))))
 
 
 def sentences(c: Column) -> Column:
@@ -42,8 +46,7 @@ def sentences(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    t = spaced(c)
-    return F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(t, " "))
+    return let(spaced(c), lambda t: F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(t, " ")))
 
 
 def balanced_chunks(c: Column, max_words: int = 4) -> Column:
@@ -57,18 +60,19 @@ def balanced_chunks(c: Column, max_words: int = 4) -> Column:
         return F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.array_join(
             F.slice(w, (g * base + F.least(g, extra) + 1).cast("int"), base + F.when(g < extra, 1).otherwise(0)), " "))
 
-    text = prepare_text(c)
-    # split to words in a step of its own, so the cut reads a bound array
-    split = F.transform(F.split(text, ANY_BOUNDARY), lambda s: F.split(s, " "))
-    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.flatten(F.transform(split, cut)))
+    # split to words in a step of its own, so the cut reads a bound array; an empty text has no pieces
+    pieces = F.filter(F.split(prepare_text(c), ANY_BOUNDARY), lambda s: s != "")
+    return F.flatten(F.transform(F.transform(pieces, lambda s: F.split(s, " ")), cut))
 
 
 def trim_text(c: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut at a space and marked with three dots."""
-    t = spaced(c)
-    head = F.substring(t, 1, limit)
-    cut = F.regexp_replace(head, " [^ ]*$", "")
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.when(cut == "", head).otherwise(cut), F.lit("...")))
+    def cut(t: Column) -> Column:
+        head = F.substring(t, 1, limit)
+        kept = F.regexp_replace(head, " [^ ]*$", "")
+        return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.when(kept == "", head).otherwise(kept), F.lit("...")))
+
+    return let(spaced(c), cut)
 
 
 def slug(c: Column) -> Column:

@@ -27,14 +27,22 @@ def number_setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(name, str(default)))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees, named by ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is used only where
-    that is unset, as in tests on one machine.
+    Where that is unset a folder of our own is made, which is right on one machine only.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="stripweave-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation from the start."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stripweave-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

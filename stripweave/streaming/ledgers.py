@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,16 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stripweave.operators.ledger import STATUSES, latest_columns
+from stripweave.session import shared_folder
 
 
 def working_folder(spark) -> str:
-    """New folder for a stream's output and checkpoint, in the cluster's shared folder where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/stripweave-stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="stripweave-stream-")
+    """New folder for a stream's output and checkpoint, in the folder all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/stripweave-{uuid.uuid4().hex}"
 
 
 def ledger_stream(events: DataFrame, fields: Sequence[str] = ("status", "step_s"), order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
