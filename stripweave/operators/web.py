@@ -12,6 +12,7 @@ from stripweave.functions.html import page_facts
 from stripweave.functions.ordered import first_by, is_hot, scan, sum_to
 from stripweave.functions import text as tx
 
+SITE = "WEBTOON"  # fixed value: the site name that ends page titles
 PLACEHOLDER = "bg_transparency"  # fixed value: the transparent stand-in image
 
 
@@ -37,7 +38,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def split_title(title: Column) -> tuple[Column, Column]:
     """Page title to (series, episode): site name off, cut at the first dash; the episode may be empty."""
     parts = F.transform(F.split(title, r" \| "), lambda x: F.trim(x))
-    ends = (F.size(parts) > 1) & (F.upper(F.element_at(parts, -1)) == "WEBTOON")
+    ends = (F.size(parts) > 1) & (F.upper(F.element_at(parts, -1)) == SITE)
     kept = F.array_join(F.filter(F.when(ends, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts), lambda x: x != ""), " | ")
     cut = F.split(kept, " - ", 2)
     return F.trim(cut[0]), F.when(F.size(cut) > 1, F.trim(F.get(cut, 1))).otherwise("")

@@ -150,6 +150,8 @@ class Strips:
             "block", F.col("y").alias("zone"), F.when(F.col("y") % 25 == 5, "keep").otherwise("drop").alias("list"), y.alias("y0"),
             F.when(F.col("y") % 25 == 5, y + 12).otherwise(y + 3).alias("y1"), zk.alias("kind"), (F.col("p2") % 3 + 1).alias("priority"))
         self.energy = strips.cut_energy(rows, self.hot).withColumnRenamed("strip", "block").withColumn("block", F.col("block").cast("long"))
+        # each is read many times by the search
+        self.blocks, self.boxes, self.zones, self.energy = map(bx.durable, (self.blocks, self.boxes, self.zones, self.energy))
 
     def typed(self):
         return bx.classify_constraints(self.blocks, self.boxes, self.zones)
@@ -192,7 +194,7 @@ def e11b(spark, d):
     typed = bx.durable(bx.classify_constraints(s.blocks, s.boxes, none))
     # without padding the heads stay raw in this form
     typed = typed.withColumns({"y0": F.col("raw0"), "y1": F.col("raw1")})
-    ranges = bx.keep_ranges(s.blocks, typed, none, s.hot)
+    ranges = bx.durable(bx.keep_ranges(s.blocks, typed, none, s.hot))
     terms = bx.durable(bx.row_terms(s.blocks, ranges, typed, none, s.energy, hot=s.hot))
     out = bx.score_windows(bx.coarse_windows(s.blocks), terms, s.blocks, ranges, relaxed=True)
     return out.select("block", "y0", "y1", *[F.col(c).cast("long").alias(c) for c in ("bubble_cuts", "head_cuts", "sfx_cuts")], F.round("score", 6).alias("score"))
@@ -204,7 +206,7 @@ def e12(spark, d):
     quiet = s.boxes.filter("idx % 21 = 0")
     zones = s.zones.withColumn("priority", F.lit(2))
     typed = bx.durable(bx.classify_constraints(s.blocks, quiet, zones))
-    ranges = bx.keep_ranges(s.blocks, typed, zones, s.hot)
+    ranges = bx.durable(bx.keep_ranges(s.blocks, typed, zones, s.hot))
     return bx.split_tall(s.blocks, ranges, typed, zones, s.energy, hot=s.hot)
 
 
