@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, licenses
 from .common import read
 
 
@@ -10,5 +10,15 @@ def op3_decontamination(spark, d):
     return decontam.decontam_report(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
 
-QUERIES = {"op3_decontamination": op3_decontamination}
-SQL = {"op3_decontamination": decontam.REPORT_SQL}
+def op2_license_scan(spark, d):
+    return licenses.license_report(read(spark, d, "documents"))
+
+
+QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
+}
+SQL = {
+    "op2_license_scan": licenses.REPORT_SQL,
+    "op3_decontamination": decontam.REPORT_SQL,
+}
