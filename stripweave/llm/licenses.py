@@ -177,8 +177,8 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_values(PHRASES.items())}) x(phrase, label)),
-at AS (SELECT r, i, label FROM (SELECT r, w, unnest(range(0, len(w))) AS i FROM w), p WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
-base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM at GROUP BY r),
+pl AS (SELECT r, i, label FROM (SELECT r, w, unnest(range(0, len(w))) AS i FROM w), p WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM pl GROUP BY r),
 tp AS (SELECT label, list_distinct(string_split(words, ' ')) AS s FROM (VALUES {_values(TEMPLATES)}) x(label, words)),
 bl AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM w),
 hit AS (SELECT r, label, len(list_intersect(bl.s, tp.s)) / len(tp.s) AS c FROM bl, tp WHERE 100 * len(list_intersect(bl.s, tp.s)) >= {PERCENT} * len(tp.s)),
