@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses
+from . import decontam, licenses, toxicity
 from .common import read
 
 
@@ -14,7 +14,12 @@ def op2_license_scan(spark, d):
     return licenses.license_report(read(spark, d, "documents"))
 
 
+def op1_toxicity(spark, d):
+    return toxicity.toxicity_report(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
 }
