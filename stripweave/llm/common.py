@@ -80,7 +80,3 @@ def held(doc_id: Column, folds: int, rest: int) -> Column:
     """Whether crc32 of the id as text leaves ``rest`` modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == rest
 
-
-def share_below(key: Column, share: float) -> Column:
-    """Keep about ``share`` of the keys, the same ones in every run."""
-    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))

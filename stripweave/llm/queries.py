@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, toxicity
+from . import decontam, langid, licenses, toxicity
 from .common import read
 
 
@@ -18,10 +18,15 @@ def op1_toxicity(spark, d):
     return toxicity.toxicity_report(read(spark, d, "documents"), read(spark, d, "labels"))
 
 
+def op6_language(spark, d):
+    return langid.language_report(read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op6_language": op6_language,
 }
 SQL = {
     "op2_license_scan": licenses.REPORT_SQL,
