@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, toxicity
+from . import decontam, langid, licenses, neardup, toxicity
 from .common import read
 
 
@@ -22,13 +22,19 @@ def op6_language(spark, d):
     return langid.language_report(read(spark, d, "documents"))
 
 
+def op9_near_dedup(spark, d):
+    return neardup.near_duplicates(read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op6_language": op6_language,
+    "op9_near_dedup": op9_near_dedup,
 }
 SQL = {
+    "op9_near_dedup": neardup.REPORT_SQL,
     "op2_license_scan": licenses.REPORT_SQL,
     "op3_decontamination": decontam.REPORT_SQL,
 }
