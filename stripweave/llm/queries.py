@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, neardup, toxicity
+from . import decontam, langid, licenses, neardup, pieces, toxicity
 from .common import read
 
 
@@ -26,12 +26,17 @@ def op9_near_dedup(spark, d):
     return neardup.near_duplicates(read(spark, d, "documents"))
 
 
+def op10_sentencepiece(spark, d):
+    return pieces.encode_report(read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op6_language": op6_language,
     "op9_near_dedup": op9_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {
     "op9_near_dedup": neardup.REPORT_SQL,
