@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, neardup, pieces, toxicity
+from . import decontam, langid, licenses, neardup, pieces, toxicity, urlfilter
 from .common import read
 
 
@@ -30,15 +30,21 @@ def op10_sentencepiece(spark, d):
     return pieces.encode_report(read(spark, d, "documents"))
 
 
+def op5_url_filter(spark, d):
+    return urlfilter.url_report(read(spark, d, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op5_url_filter": op5_url_filter,
     "op6_language": op6_language,
     "op9_near_dedup": op9_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {
+    "op5_url_filter": urlfilter.REPORT_SQL,
     "op9_near_dedup": neardup.REPORT_SQL,
     "op2_license_scan": licenses.REPORT_SQL,
     "op3_decontamination": decontam.REPORT_SQL,
