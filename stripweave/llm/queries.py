@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, neardup, pieces, toxicity, urlfilter
+from . import chat, decontam, langid, licenses, neardup, pieces, reshard, toxicity, urlfilter
 from .common import read
 
 
@@ -34,16 +34,27 @@ def op5_url_filter(spark, d):
     return urlfilter.url_report(read(spark, d, "pages"))
 
 
+def op7_chat_format(spark, d):
+    return chat.chat_report(read(spark, d, "conversations"))
+
+
+def op8_reshard(spark, d):
+    return reshard.shard_report(read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_language": op6_language,
+    "op7_chat_format": op7_chat_format,
+    "op8_reshard": op8_reshard,
     "op9_near_dedup": op9_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {
+    "op7_chat_format": chat.REPORT_SQL,
     "op5_url_filter": urlfilter.REPORT_SQL,
     "op9_near_dedup": neardup.REPORT_SQL,
     "op2_license_scan": licenses.REPORT_SQL,
