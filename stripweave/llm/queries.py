@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, licenses, neardup, pieces, reshard, toxicity, urlfilter
+from . import bm25, chat, decontam, langid, licenses, neardup, pieces, reshard, toxicity, urlfilter
 from .common import read
 
 
@@ -42,10 +42,15 @@ def op8_reshard(spark, d):
     return reshard.shard_report(read(spark, d, "documents"))
 
 
+def op4_topk_search(spark, d):
+    return bm25.search_report(read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_topk_search": op4_topk_search,
     "op5_url_filter": op5_url_filter,
     "op6_language": op6_language,
     "op7_chat_format": op7_chat_format,
@@ -54,6 +59,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {
+    "op4_topk_search": bm25.REPORT_SQL,
     "op7_chat_format": chat.REPORT_SQL,
     "op5_url_filter": urlfilter.REPORT_SQL,
     "op9_near_dedup": neardup.REPORT_SQL,
