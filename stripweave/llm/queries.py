@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bm25, chat, decontam, langid, licenses, neardup, pieces, reshard, toxicity, urlfilter
 from .common import read
 
@@ -47,6 +49,7 @@ def op4_topk_search(spark, d):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
