@@ -121,14 +121,14 @@ def reshard(rows: DataFrame, capacities=None, *, shards: int = SHARDS, block_pow
 def rewrite(docs: DataFrame, plan: DataFrame, path: str, *, max_rows: int = 1_000_000) -> list[int]:
     """Write the shards whose rows changed, as ``path/shard=N``; gives their numbers. Ids must be unique and not null.
 
-    Files hold ``max_rows`` rows at most and a shard's rows are written by many tasks.
+    Columns of ``docs`` named shard or slot are replaced. Files hold ``max_rows`` rows at most and a shard's rows are written by many tasks.
     """
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if ids["n"] != ids["d"]:
         raise ValueError("doc_id must be unique and not null")
     moves = plan.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     affected = sorted(r["shard"] for r in moves.collect())
-    rows = docs.join(plan.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot"), "doc_id")
+    rows = docs.drop("shard", "slot").join(plan.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot"), "doc_id")
     rows = rows.repartition("shard", F.floor(F.col("slot") / max_rows)).sortWithinPartitions("shard", "slot")
     rows.write.option("maxRecordsPerFile", max_rows).partitionBy("shard").mode("append").parquet(path)
     return affected
