@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding (10): Viterbi over pieces, batched in numpy.
 
-A text is cut before each run of spaces (no piece goes on past the start of a run), so words are independent.
+A text is cut before each run of spaces and around line ends (no piece goes on past those), so words are independent.
 The distinct words of a batch are grouped by length and advance together: hashes of all their substrings of
 each length are looked up among the sorted keys of the pieces of that length and confirmed letter by letter; for
 each end the best sum over the possible last pieces is a vectorised maximum, whose place is the backpointer.
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import U64, bounds, lists, mix
+from .common import U64, bounds, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _GOLD = U64(0x9E3779B97F4A7C15)
 _ENDS = 4096
 _CELLS = 1_000_000
@@ -66,6 +66,8 @@ class PieceTable:
                 own.setdefault(len(piece), []).append((piece, i))
         self.score = np.array([p.get_score(i) for i in range(n)])
         self.no_piece = self.score.min() - 10.0
+        if any("\n" in w for f in own.values() for w, _ in f if len(w) > 1):
+            raise ValueError("a piece goes on past a line end")
         self.longest, self.salt, self.by_length = max(own, default=1), 1, {}
         while any(len(np.unique(self._keys(_codes([w for w, _ in f]))[-1])) < len(f) for f in own.values()):
             self.salt += 1
@@ -196,11 +198,15 @@ class Encoder:
 
     def _bytes(self, flat, counts):
         """Characters that are no piece as the pieces of their UTF-8 bytes."""
-        each = [[int(t)] if t >= 0 else [int(self.table.byte[b]) for b in chr(-1 - int(t)).encode("utf-8", "surrogatepass")] for t in flat]
-        n = np.array([len(x) for x in each])
+        at = np.flatnonzero(flat < 0)
+        each = [[int(self.table.byte[b]) for b in chr(-1 - int(t)).encode("utf-8", "surrogatepass")] for t in flat[at]]
+        n = np.ones(len(flat), np.int64)
+        n[at] = [len(x) for x in each]
+        out, total = np.repeat(flat, n), bounds(n)
+        for i, x in zip(at, each):
+            out[total[i] : total[i + 1]] = x
         edge = bounds(counts)
-        total = bounds(n)
-        return np.array([i for x in each for i in x], np.int64), total[edge[1:]] - total[edge[:-1]]
+        return out, total[edge[1:]] - total[edge[:-1]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text counts as empty here."""
@@ -223,11 +229,20 @@ class Encoder:
 
     @staticmethod
     def _units(text: str | None) -> list[str]:
+        """The text cut where no piece can go on: before each run of spaces, around each line end."""
         if not text:
             return []
-        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text or " \n" in text:
             return _UNIT.findall(SPACE + text.replace(" ", SPACE))
-        return [SPACE + w for w in text.split(" ")]
+        out: list[str] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            if out:
+                out.append("\n")
+            if first or not out:
+                out.append(first if out else SPACE + first)
+            out += [SPACE + w for w in rest]
+        return out
 
 
 _state: dict = {}
@@ -266,21 +281,24 @@ def encode(docs: DataFrame, *, model: str = MODEL, text: str = "text", into: str
         encoder, ids = _encoder(shared, rule), []
         for part in _parts(column.to_pylist()):
             ids += encoder.encode(part)
-        counts = [len(i) for i in ids]
-        out = lists(np.concatenate(ids) if ids else np.zeros(0, np.int32), counts, pa.int32())
-        return pa.ListArray.from_arrays(out.offsets, out.values, mask=column.is_null())
+        return _id_lists(ids, column)
 
     return docs.withColumn(into, run(F.col(text).cast("string")))
 
 
+def _id_lists(ids: list[np.ndarray], column: pa.Array) -> pa.ListArray:
+    counts = [len(i) for i in ids]
+    return pa.ListArray.from_arrays(pa.array(bounds(counts), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()), mask=column.is_null())
+
+
 def decode(rows: DataFrame, *, model: str = MODEL, ids: str = "ids", into: str = "text", shared=None) -> DataFrame:
     """``rows`` with the text ``into`` that the array ``ids`` stands for; null for null."""
     shared = shared or broadcast_pieces(rows.sparkSession, model)
 
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        table, edge, values = shared.value, column.offsets.to_numpy(), column.values.to_pylist()
-        return pa.array([table.decode(values[a:b]) if ok else None for a, b, ok in zip(edge, edge[1:], column.is_valid().to_pylist())], pa.string())
+        table, edge, values = shared.value, column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        return pa.array([table.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(edge, edge[1:], column.is_valid().to_pylist())], pa.string())
 
     return rows.withColumn(into, run(F.col(ids)))
 
@@ -288,5 +306,15 @@ def decode(rows: DataFrame, *, model: str = MODEL, ids: str = "ids", into: str =
 def encode_report(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
     """Per document: doc_id, ids, n_ids, and whether decoding gives back the text (null for a null text)."""
     shared = broadcast_pieces(docs.sparkSession, model)
-    done = decode(encode(docs.select("doc_id", "text"), shared=shared), shared=shared, into="decoded")
-    return done.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), (F.col("decoded") == F.col("text").cast("string")).alias("round_trip"))
+
+    @arrow_udf("struct<ids: array<int>, same: boolean>")
+    def run(column: pa.Array) -> pa.Array:  # one call, so that each text is encoded once
+        encoder, ids, same = _encoder(shared, "score"), [], []
+        for part in _parts(column.to_pylist()):
+            own = encoder.encode(part)
+            same += [None if t is None else encoder.table.decode(i.tolist()) == t for t, i in zip(part, own)]
+            ids += own
+        return pa.StructArray.from_arrays([_id_lists(ids, column), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    done = docs.select("doc_id", run(F.col("text").cast("string")).alias("done"))
+    return done.select("doc_id", F.col("done")["ids"].alias("ids"), F.size(F.col("done")["ids"]).cast("bigint").alias("n_ids"), F.col("done")["same"].alias("round_trip"))
