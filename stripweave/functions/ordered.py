@@ -24,16 +24,32 @@ CHUNK_ROWS = "spark.stripweave.chunkRows"
 DEFAULT_GROUP_ROWS = 1_000_000
 DEFAULT_CHUNK_ROWS = 65_536
 
-_largest: dict[tuple[str, int], int] = {}
+_largest: dict[tuple, int] = {}
+
+
+def _files(df: DataFrame) -> tuple | None:
+    """The files a plan reads, with lengths and times of change; None where it reads anything else."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if not leaf.getClass().getSimpleName().startswith("LogicalRelation"):
+            return None
+        found.append(leaf.relation().location().allFiles().toString())
+    return tuple(found)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; remembered per application and logical plan."""
+    """Rows of the largest group; counted again unless the plan and the very files it reads are the same."""
     probe = df.groupBy(*keys).count().agg(F.max("count").alias("n"))
-    mark = (df.sparkSession.sparkContext.applicationId, probe.semanticHash())
-    if mark not in _largest:
-        _largest[mark] = probe.first()["n"] or 0
-    return _largest[mark]
+    files = _files(df)
+    mark = None if files is None else (df.sparkSession.sparkContext.applicationId, probe.semanticHash(), files)
+    if mark is not None and mark in _largest:
+        return _largest[mark]
+    n = probe.first()["n"] or 0
+    if mark is not None:
+        _largest[mark] = n
+    return n
 
 
 def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -41,6 +57,15 @@ def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
     return largest_group(df, keys) > number_setting(df.sparkSession, GROUP_ROWS, DEFAULT_GROUP_ROWS)
 
 
+def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, so rows with a null key form a group like any other."""
+    there = b.select(*[F.col(c).alias(f"__on_{c}") if c in keys else F.col(c) for c in b.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__on_{k}"))
+    return a.join(there, same, how).drop(*[f"__on_{k}" for k in keys])
+
+
 @dataclass(frozen=True)
 class Scan:
     kind: str
@@ -177,7 +202,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: bool, **
         per_chunk.withColumns({f"__c_{n}": c for n, c in carry.items()} | {"__n": F.count(F.lit(1)).over(W.partitionBy(*keys))})
         .filter("__n > 1").select(*keys, "__chunk", *[f"__c_{n}" for n in scans])
     )
-    out = local.join(carried, [*keys, "__chunk"], "left")
+    out = join_on(local, carried, [*keys, "__chunk"], "left")
     new = {}
     for n, s in scans.items():
         here, far = F.col(f"__l_{n}"), F.col(f"__c_{n}")
@@ -213,7 +238,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     shift = ranged.groupBy(*keys, "__range").count().select(
         *keys, "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift"))
     return (
-        ranged.withColumn("__inside", inside).join(shift, [*keys, "__range"])
+        join_on(ranged.withColumn("__inside", inside), shift, [*keys, "__range"])
         .withColumn(name, (F.col("__inside") + F.col("__shift")).cast("long")).select(*df.columns, name)
     )
 
@@ -255,6 +280,12 @@ def _empty_state(schema: T.StructType) -> T.StructType:
 Finish = Callable[[object], dict[str, list]]
 
 
+def _differs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where neighbouring keys differ; null equals null."""
+    none_a, none_b = pd.isna(a), pd.isna(b)
+    return (none_a != none_b) | (~none_a & ~none_b & (a != b))
+
+
 def _runner(keys: list[str], columns: list[str], step: Step | None, finish: Finish | None, fields: list[str], keep_state: bool):
     """Walk sorted batches, hand each whole group to ``step``, emit the rows in bulk."""
 
@@ -271,7 +302,7 @@ def _runner(keys: list[str], columns: list[str], step: Step | None, finish: Fini
 
         def close(pieces, out):
             group = pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
-            key = {k: group[k][0] for k in keys}
+            key = {k: None if pd.isna(group[k][0]) else group[k][0] for k in keys}
             state = None
             if "_state" in group:
                 marks = np.array([x is not None for x in group["_state"]])
@@ -301,11 +332,11 @@ def _runner(keys: list[str], columns: list[str], step: Step | None, finish: Fini
             arrays = {c: batch[c].to_numpy() for c in (*names, *(["_state"] if "_state" in batch.columns else []))}
             changed = np.zeros(len(batch), dtype=bool)
             for k in keys:
-                changed[1:] |= arrays[k][1:] != arrays[k][:-1]
+                changed[1:] |= _differs(arrays[k][1:], arrays[k][:-1])
             bounds = [0, *np.flatnonzero(changed).tolist(), len(batch)]
             for a, b in zip(bounds[:-1], bounds[1:]):
                 piece = {c: x[a:b] for c, x in arrays.items()}
-                key = tuple(piece[k][0] for k in keys)
+                key = tuple(None if pd.isna(piece[k][0]) else piece[k][0] for k in keys)
                 if held and key == held_key:
                     held.append(piece)
                     continue
@@ -358,8 +389,8 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, s
         part = rows.filter(F.col("__chunk") == c).drop("__chunk").withColumn("_state", F.lit(None).cast("binary"))
         if state is not None:
             open_keys = part.select(*keys).distinct()
-            ended(state.join(open_keys, keys, "left_anti"))
-            part = part.unionByName(state.join(open_keys, keys, "left_semi"), allowMissingColumns=True)
+            ended(join_on(state, open_keys, keys, "left_anti"))
+            part = part.unionByName(join_on(state, open_keys, keys, "left_semi"), allowMissingColumns=True)
         ordered = part.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_state").isNull(), "__n")
         done = durable(ordered.mapInPandas(_runner(keys, columns, step, finish, [*fields, *hidden], True), wide))
         add(done.filter("_state is null").select(*fields))
@@ -378,7 +409,7 @@ def median_by(df: DataFrame, keys: Sequence[str], value: str, name: str, hot: bo
     ranked = number_rows(kept, keys, [value], "_r", hot=True)
     sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_r"))
-    return ranked.join(sizes, [*keys, "_r"]).groupBy(*keys).agg(F.avg(value).alias(name))
+    return join_on(ranked, sizes, [*keys, "_r"]).groupBy(*keys).agg(F.avg(value).alias(name))
 
 
 def nth_by(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, Column], hot: bool) -> DataFrame:
@@ -389,5 +420,5 @@ def nth_by(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, Column]
     wanted = sizes.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("name"), c.cast("long").alias("_r")) for n, c in at.items()])).alias("_w")).select(
         *keys, F.col("_w.name").alias("_name"), F.col("_w._r").alias("_r"))
-    found = ranked.join(wanted, [*keys, "_r"])
+    found = join_on(ranked, wanted, [*keys, "_r"])
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in at])

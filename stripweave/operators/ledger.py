@@ -21,17 +21,26 @@ def bad_status(events: DataFrame) -> DataFrame:
     return events.filter(F.col("status").isNotNull() & ~F.col("status").isin(STATUSES))
 
 
+def known_status(status: Column) -> Column:
+    """The status; an unknown one is an error, as a ledger must not lose what came with it."""
+    return F.when(status.isNull() | status.isin(STATUSES), status).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), status)))
+
+
 def latest_columns(fields: Sequence[str], order: Sequence[str]) -> list[Column]:
-    """Aggregates for one ledger row: the latest value set of each field, and the number of attempts."""
+    """Aggregates for one ledger row: the latest value set of each field, and the number of attempts.
+
+    A URL that never had a status is pending.
+    """
     at = F.struct(*order)
-    return [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in fields] + [
-        F.count_if(F.col("status") == "processing").alias("attempts")]
+    latest = {c: F.max_by(c, F.when(F.col(c).isNotNull(), at)) for c in fields}
+    if "status" in latest:
+        latest["status"] = F.coalesce(latest["status"], F.lit("pending"))
+    return [v.alias(c) for c, v in latest.items()] + [F.count_if(F.col("status") == "processing").alias("attempts")]
 
 
 def ledger_latest(events: DataFrame, fields: Sequence[str] = ("status", "step_s"), order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """One row per URL. Combines before the shuffle."""
-    known = events.filter(F.col("status").isNull() | F.col("status").isin(STATUSES))
-    return known.groupBy("url").agg(*latest_columns(fields, order))
+    """One row per URL. Combines before the shuffle. Events with an unknown status are refused."""
+    return events.withColumn("status", known_status(F.col("status"))).groupBy("url").agg(*latest_columns(fields, order))
 
 
 def ledger_counts(latest: DataFrame, urls: DataFrame | None = None) -> DataFrame:
@@ -188,8 +197,12 @@ def release_in_order(ready: DataFrame, finished: DataFrame, timeout_s: float = 6
     timeout is over; without a predecessor at once. ``has_memory`` tells whether it got what that one left.
     """
     hot = _hot(ready, hot, ["title_no"])
-    near = scan(ready, ["title_no"], ["episode_no", "url"], hot, previous=prev(F.col("url")))
-    p = near.join(finished.select(F.col("url").alias("previous"), F.col("finished_us").alias("_f")), "previous", "left")
+    placed = F.col("title_no").isNotNull() & F.col("episode_no").isNotNull()
+    near = scan(ready.filter(placed), ["title_no"], ["episode_no", "url"], hot, previous=prev(F.col("url")))
+    # without both ids a chapter has no place in a series: it waits for nobody and nobody for it
+    near = near.unionByName(ready.filter(~placed).withColumn("previous", F.lit(None).cast(ready.schema["url"].dataType)))
+    first = finished.groupBy(F.col("url").alias("previous")).agg(F.min("finished_us").alias("_f"))
+    p = near.join(first, "previous", "left")
     limit = F.col("ready_us") + int(timeout_s * 1_000_000)
     at = F.when(F.col("previous").isNull(), F.col("ready_us")).otherwise(F.least(F.greatest("ready_us", F.coalesce("_f", limit)), limit))
     return p.select("url", "previous", "ready_us", at.alias("release_us"), F.coalesce(F.col("_f") <= limit, F.lit(False)).alias("has_memory"))

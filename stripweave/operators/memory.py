@@ -7,7 +7,8 @@ import bisect
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stripweave.functions import text as tx
-from stripweave.functions.ordered import first_by, fold, is_hot, prev, scan
+from stripweave.functions.ordered import first_by, fold, is_hot, join_on, last_before, number_rows, prev, scan
+from stripweave.session import durable
 
 ALIASES, WHO, TAIL, TOP = 6, 160, 320, 20  # fixed values
 
@@ -16,31 +17,6 @@ def _hot(df: DataFrame, hot: bool | None) -> bool:
     return is_hot(df.select("series"), ["series"]) if hot is None else hot
 
 
-class _Cards:
-    """Known entities of one series, in order of first appearance."""
-
-    def __init__(self):
-        self.cards: list[list] = []       # name, aliases, who
-        self.by_key: dict[str, int] = {}  # lower name -> card
-        self.bound: dict[str, str] = {}   # any known name -> lower name of the card
-
-    def add(self, name, aliases, who) -> int:
-        low = name.lower()
-        key = self.bound.get(low, low)
-        if key not in self.by_key:
-            self.by_key[key] = len(self.cards)
-            self.cards.append([name, [], who])
-            self.bound[low] = key
-        card = self.cards[self.by_key[key]]
-        known = {card[0].lower(), *(a.lower() for a in card[1])}
-        for a in aliases:
-            if a.lower() not in known and len(card[1]) < ALIASES:
-                card[1].append(a)
-                known.add(a.lower())
-            self.bound.setdefault(a.lower(), key)
-        return self.by_key[key]
-
-
 def _named(cards: DataFrame) -> DataFrame:
     """Cards with a name; aliases trimmed, blanks dropped; the description cut to its limit."""
     return cards.withColumns({
@@ -48,30 +24,57 @@ def _named(cards: DataFrame) -> DataFrame:
         "who": tx.trim_text(F.col("who"), WHO)}).filter("name <> ''")
 
 
-def merge_entities(cards: DataFrame, hot: bool | None = None) -> DataFrame:
-    """Entities of each series from ``(series, ep, pos, name, aliases, who)`` in episode order."""
-    def step(c, known):
-        known = known or _Cards()
-        for name, aliases, who in zip(c["name"], c["aliases"], c["who"]):
-            known.add(name, list(aliases), who)
-        return {}, known
+def _roots(rows: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``(series, row, root)``: the row that began each row's entity.
 
-    def finish(known):
-        cards_ = known.cards if known else []
-        return {"ord": list(range(len(cards_))), "name": [x[0] for x in cards_], "aliases": [x[1] for x in cards_], "who": [x[2] for x in cards_]}
+    A row points to the first row that mentions its name, as name or alias, which is itself or an earlier one. Doubling
+    the pointers until none moves leads every row to the beginning of its entity.
+    """
+    first = mentions.groupBy("series", "token").agg(F.min("row").alias("root"))
+    to = durable(join_on(rows.select("series", "row", F.lower("name").alias("token")), first, ["series", "token"]).select("series", "row", "root"))
+    while to.join(to.select(F.col("series").alias("_s"), F.col("row").alias("_r"), F.col("root").alias("_next")), F.col("series").eqNullSafe(F.col("_s")) & (F.col("root") == F.col("_r"))).filter("_next <> root").limit(1).count():
+        step = to.select("series", F.col("row").alias("root"), F.col("root").alias("_next"))
+        to = durable(join_on(to, step, ["series", "root"]).select("series", "row", F.col("_next").alias("root")))
+    return to
+
+
+def _entities(cards: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows in order, the entities ``(series, ord, root, name, who, ep)`` and their aliases ``(series, root, alias, ep, place)``."""
+    rows = durable(number_rows(_named(cards).select("series", "ep", "pos", "name", "aliases", "who"), ["series"], ["ep", "pos", "name"], "row", hot))
+    called = rows.select("series", "row", "ep", F.posexplode("aliases").alias("nth", "alias"))
+    mentions = rows.select("series", "row", F.lower("name").alias("token")).unionByName(called.select("series", "row", F.lower("alias").alias("token")))
+    roots = durable(_roots(rows, mentions))
+    begun = join_on(rows, roots, ["series", "row"]).filter("row = root").select("series", "root", "name", "who", "ep")
+    begun = durable(number_rows(begun, ["series"], ["root"], "ord", hot))
+    own = join_on(called, roots, ["series", "row"]).withColumn("token", F.lower("alias"))
+    fresh = own.groupBy("series", "root", "token").agg(F.min(F.struct("row", "nth", "alias", "ep")).alias("m"))
+    fresh = join_on(fresh, begun.select("series", "root", F.lower("name").alias("_n")), ["series", "root"]).filter("token <> _n")
+    w = W.partitionBy("series", "root").orderBy("m.row", "m.nth")
+    kept = fresh.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= ALIASES)
+    return rows, begun, kept.select("series", "root", F.col("m.alias").alias("alias"), F.col("m.ep").alias("ep"), "place")
 
-    rows = _named(cards).select("series", "ep", "pos", "name", "aliases", "who")
-    return fold(rows, ["series"], ["ep", "pos"], step, "series string, ord long, name string, aliases array<string>, who string", _hot(cards, hot), finish)
+
+def merge_entities(cards: DataFrame, hot: bool | None = None) -> DataFrame:
+    """Entities of each series from ``(series, ep, pos, name, aliases, who)`` in episode order.
+
+    The first row of an entity gives its name and description; a name already known as an alias joins that entity;
+    aliases add up, first come, to six. All steps go by name within a series, so one large series is spread.
+    """
+    _, begun, aliases = _entities(cards, _hot(cards, hot))
+    listed = aliases.groupBy("series", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "alias"))), lambda a: a["alias"]).alias("aliases"))
+    out = join_on(begun, listed, ["series", "root"], "left")
+    return out.select("series", "ord", "name", F.coalesce("aliases", F.expr("cast(array() as array<string>)")).alias("aliases"), "who")
 
 
 def rank_entities(cards: DataFrame, sheets: DataFrame, k: int = TOP) -> DataFrame:
     """The ``k`` entities ``(series, ord, name, aliases)`` named in most sheets ``(series, ep, name)``, then first seen."""
     seen = sheets.select("series", "ep", F.lower(F.trim("name")).alias("_n")).filter("_n <> ''").distinct().groupBy("series", "_n").agg(F.count(F.lit(1)).alias("_c"))
     names = cards.select("series", "ord", F.explode(F.concat(F.array("name"), "aliases")).alias("_a")).select("series", "ord", F.lower("_a").alias("_n")).distinct()
-    hits = names.join(seen, ["series", "_n"]).groupBy("series", "ord").agg(F.max("_c").alias("hits"))
-    ranked = cards.join(hits, ["series", "ord"], "left").fillna(0, ["hits"])
+    hits = join_on(names, seen, ["series", "_n"]).groupBy("series", "ord").agg(F.max("_c").alias("hits"))
+    ranked = join_on(cards, hits, ["series", "ord"], "left").fillna(0, ["hits"])
     w = W.partitionBy("series").orderBy(F.desc("hits"), "ord")
-    return ranked.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    # the plain rank is filtered first, so each task keeps its own best before the shuffle
+    return ranked.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).withColumn("rank", F.col("_r") - 1).drop("_r")
 
 
 def series_tail(sheets: DataFrame, hot: bool | None = None) -> DataFrame:
@@ -80,48 +83,63 @@ def series_tail(sheets: DataFrame, hot: bool | None = None) -> DataFrame:
     return near.select("series", "ep", tx.trim_text(F.coalesce("_t", F.lit("")), TAIL).alias("tail"))
 
 
-def series_cards(cards: DataFrame, k: int = TOP, hot: bool | None = None) -> DataFrame:
-    """For EVERY episode, the top entities known from strictly earlier episodes of its series.
+def series_cards(cards: DataFrame, k: int = TOP, hot: bool | None = None, episodes: DataFrame | None = None) -> DataFrame:
+    """The top entities known from strictly earlier episodes, for every episode of the cards or of ``episodes (series, ep)``.
 
-    One pass: the entities so far, how many sheets name each, and a list kept in rank order.
+    How many sheets name each entity so far is worked out as events per entity; only those numbers are walked in order.
     """
-    def step(c, state):
-        if state is None:
-            state = {"known": _Cards(), "seen": {}, "users": {}, "order": [], "hits": [], "ep": None, "sheet": set()}
-        known, seen, users, order, hits = state["known"], state["seen"], state["users"], state["order"], state["hits"]
-
-        def refresh(i):
-            card = known.cards[i]
-            n = max(seen.get(x.lower(), 0) for x in (card[0], *card[1]))
-            if i == len(hits):
-                hits.append(n)
-                bisect.insort(order, (-n, i))
-            elif hits[i] != n:
-                order.pop(bisect.bisect_left(order, (-hits[i], i)))
+    hot = _hot(cards, hot)
+    rows, begun, aliases = _entities(cards, hot)
+    named = rows.select("series", F.lower("name").alias("token"), "ep").distinct()
+    counted = named.withColumn("n", F.row_number().over(W.partitionBy("series", "token").orderBy("ep"))).withColumnRenamed("ep", "at")
+    known = begun.select("series", "ord", F.lower("name").alias("token"), F.col("ep").alias("since")).unionByName(
+        join_on(aliases, begun.select("series", "root", "ord"), ["series", "root"]).select("series", "ord", F.lower("alias").alias("token"), F.col("ep").alias("since")))
+    # an entity has a token's count from the episode on in which both are known
+    events = join_on(known, counted, ["series", "token"], "left").groupBy("series", "ord", F.greatest("since", F.coalesce("at", "since")).alias("ep")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"))
+    asked = (rows if episodes is None else episodes).select("series", F.col("ep").cast("long").alias("ep")).distinct()
+    line = events.select("series", F.col("ep").cast("long").alias("ep"), F.lit(1).alias("kind"), F.col("ord").cast("long").alias("ord"), "n").unionByName(
+        asked.select("series", "ep", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("ord"), F.lit(0).cast("long").alias("n")))
+
+    def walk(c, state):
+        order, hits = state or ([], {})
+        out = {"ep": [], "rank": [], "ord": [], "hits": []}
+        for ep, kind, i, n in zip(c["ep"].tolist(), c["kind"].tolist(), c["ord"].tolist(), c["n"].tolist()):
+            if kind == 0:
+                best = order[:k]
+                out["ep"] += [ep] * len(best)
+                out["rank"] += range(len(best))
+                out["ord"] += [o for _, o in best]
+                out["hits"] += [-m for m, _ in best]
+            elif n > hits.get(i, -1):
+                if i in hits:
+                    del order[bisect.bisect_left(order, (-hits[i], i))]
                 hits[i] = n
                 bisect.insort(order, (-n, i))
+        return out, (order, hits)
+
+    top = fold(line, ["series"], ["ep", "kind", "ord"], walk, "series string, ep long, rank long, ord long, hits long", hot)
+    listed = aliases.groupBy("series", "root").agg(F.array_sort(F.collect_list(F.struct("place", "alias", "ep"))).alias("_a"))
+    facts = join_on(begun.select("series", "root", "ord", "name"), listed, ["series", "root"], "left").select("series", "ord", "name", "_a")
+    whole = join_on(top, facts, ["series", "ord"])
+    so_far = F.transform(F.filter(F.coalesce("_a", F.expr("cast(array() as array<struct<place: int, alias: string, ep: bigint>>)")), lambda a: a["ep"] < F.col("ep")), lambda a: a["alias"])
+    return whole.select("series", "ep", "rank", "name", so_far.alias("aliases"), "hits")
 
-        out = {"ep": [], "rank": [], "name": [], "aliases": [], "hits": []}
-        for ep, name, aliases, who in zip(c["ep"], c["name"], c["aliases"], c["who"]):
-            if ep != state["ep"]:
-                for r, (n, i) in enumerate(order[:k]):
-                    out["ep"].append(ep), out["rank"].append(r), out["name"].append(known.cards[i][0])
-                    out["aliases"].append(list(known.cards[i][1])), out["hits"].append(-n)
-                state["ep"], state["sheet"] = ep, set()
-            low = name.lower()
-            if low not in state["sheet"]:
-                state["sheet"].add(low)
-                seen[low] = seen.get(low, 0) + 1
-                for j in users.get(low, ()):
-                    refresh(j)
-            i = known.add(name, list(aliases), who)
-            for x in (known.cards[i][0], *known.cards[i][1]):
-                users.setdefault(x.lower(), set()).add(i)
-            refresh(i)
-        return out, state
-
-    rows = _named(cards).select("series", "ep", "pos", "name", "aliases", "who")
-    return fold(rows, ["series"], ["ep", "pos"], step, "series string, ep long, rank long, name string, aliases array<string>, hits long", _hot(cards, hot))
+
+def series_context(cards: DataFrame, sheets: DataFrame, episodes: DataFrame, k: int = TOP, hot: bool | None = None) -> DataFrame:
+    """One row for every asked episode ``(series, ep)``: known entities in rank order and the tail of the latest earlier sheet.
+
+    ``sheets (series, ep, tail)``. Both are empty where the series or the number is unknown, or nothing came before.
+    """
+    hot = _hot(cards, hot)
+    asked = episodes.select("series", F.col("ep").cast("long").alias("ep")).distinct()
+    told = series_cards(cards, k, hot, asked.filter("series is not null and ep is not null")).groupBy("series", "ep").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "name", "aliases", "hits"))).alias("_c"))
+    line = sheets.select("series", F.col("ep").cast("long").alias("ep"), F.lit(1).alias("kind"), F.coalesce("tail", F.lit("")).alias("tail")).unionByName(
+        asked.select("series", "ep", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("tail")))
+    near = scan(line, ["series"], ["ep", "kind"], hot, _t=last_before(F.col("tail"))).filter("kind = 0 and series is not null and ep is not null")
+    out = join_on(join_on(asked, told, ["series", "ep"], "left"), near.select("series", "ep", "_t"), ["series", "ep"], "left")
+    none = F.expr("cast(array() as array<struct<rank: bigint, name: string, aliases: array<string>, hits: bigint>>)")
+    return out.select("series", "ep", F.coalesce("_c", none).alias("cards"), tx.trim_text(F.coalesce("_t", F.lit("")), TAIL).alias("tail"))
 
 
 def chapter_sheets(chapters: DataFrame, scenes: DataFrame, cards: DataFrame) -> DataFrame:

@@ -122,7 +122,21 @@ def coerce_emotion(label: Column) -> Column:
 
 
 def coerce_bool(label: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(label.cast("string"), F.lit("")))).isin("true", "1", "yes", "y", "oui", "vrai")
+    """Text by its word, a number by whether it is zero; anything missing is false."""
+    word = F.lower(F.trim(F.coalesce(label.cast("string"), F.lit("")))).isin("true", "1", "yes", "y", "oui", "vrai")
+    return F.when(F.typeof(label) == "string", word).otherwise(F.coalesce(label.try_cast("double") != 0, F.lit(False)))
+
+
+def coerce_texts(value: Column) -> Column:
+    """A list from one text: the text trimmed, or nothing if it is blank or missing."""
+    t = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    return F.filter(F.array(t), lambda x: x != "")
+
+
+def coerce_list(values: Column) -> Column:
+    """A list of trimmed texts without blanks and nulls; empty where the list is missing."""
+    kept = F.filter(F.transform(values, lambda x: F.trim(x.cast("string"))), lambda x: x.isNotNull() & (x != ""))
+    return F.coalesce(kept, F.expr("cast(array() as array<string>)"))
 
 
 def coerce_weight(value: Column) -> Column:
@@ -169,13 +183,10 @@ def opposite_side(subject: Column, arrow: Column) -> tuple[Column, Column]:
 
 
 # --- C11 -------------------------------------------------------------------------------------
-PART = 4096
-
-
-def assemble_text(lines: DataFrame, keys: Sequence[str], pos: str, line: str, part: int = PART) -> DataFrame:
+def assemble_text(lines: DataFrame, keys: Sequence[str], pos: str, line: str, part: int) -> DataFrame:
     """Lines put together in order, ``part`` lines to a row, so no row grows with its chapter.
 
-    Parts number from 0 and follow each other; a chapter below ``part`` lines is one row.
+    Parts number from 0 and follow each other; how many lines make one is the caller's choice.
     """
     cut = lines.withColumn("part", F.floor(F.col(pos) / part))
     packed = cut.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("_p"), F.col(line).alias("_l")))).alias("_a"))

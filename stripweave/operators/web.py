@@ -77,11 +77,11 @@ def page_links(parsed: DataFrame, key: Column | None = None) -> DataFrame:
     return first_by(p, ["page_id", "episode_no"], [F.col("pos")]).select("page_id", "episode_no", F.col("href").alias("url"))
 
 
-def discover_episodes(links: DataFrame, max_pages: int = 60, hot: bool | None = None) -> DataFrame:
+def discover_episodes(links: DataFrame, max_pages: int | None = None, hot: bool | None = None) -> DataFrame:
     """Episodes of each series over its list pages ``(series, page, episode_no, url)``.
 
     Pages from 1 in order up to the first that adds nothing (or is missing); the first URL of an episode
-    wins. ``truncated`` tells where the page limit cut a list that was still growing.
+    wins. Where the caller sets a page limit, ``truncated`` tells where it cut a list that was still growing.
     """
     hot = is_hot(links.select("series"), ["series"]) if hot is None else hot
     first = first_by(links.select("series", "episode_no", "page", "url"), ["series", "episode_no"], [F.col("page"), F.col("url")])
@@ -89,8 +89,10 @@ def discover_episodes(links: DataFrame, max_pages: int = 60, hot: bool | None =
     steps = scan(fresh, ["series"], ["page"], hot, _n=sum_to(F.lit(1)))
     # while every page adds something, the page number equals the count so far
     unbroken = steps.groupBy("series").agg(F.max(F.when(F.col("_n") == F.col("page"), F.col("page"))).alias("_last"))
-    kept = first.join(unbroken, "series").filter((F.col("page") <= F.col("_last")) & (F.col("page") <= max_pages))
-    return kept.select("series", "episode_no", "url", (F.col("_last") > max_pages).alias("truncated"))
+    kept = first.join(unbroken, "series").filter(F.col("page") <= F.col("_last"))
+    if max_pages is None:
+        return kept.select("series", "episode_no", "url", F.lit(False).alias("truncated"))
+    return kept.filter(F.col("page") <= max_pages).select("series", "episode_no", "url", (F.col("_last") > max_pages).alias("truncated"))
 
 
 def url_parts(df: DataFrame, url: str = "url", language: str = "en") -> DataFrame:
@@ -143,9 +145,17 @@ def episode_url(url: Column, number: Column) -> Column:
 def expand_range(requests: DataFrame, episodes: DataFrame) -> DataFrame:
     """Chapters lo..hi of each request ``(series, url, lo, hi)``: discovered address, else derived.
 
-    Missing bounds are the ends of what was discovered (``episodes (series, episode_no, url)``); an inverted
-    range is an error. ``missing`` marks episodes the list does not have.
+    One missing bound is the end of what was discovered (``episodes (series, episode_no, url)``); an inverted
+    range is an error. With both missing a list address means the episodes as listed, without any between them,
+    and a viewer address means itself. ``missing`` marks episodes the list does not have.
     """
+    last = F.element_at(F.concat(F.array(F.lit("")), F.filter(F.split(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), "/"), lambda x: x != "")), -1)
+    known = episodes.select("series").distinct().withColumn("_any", F.lit(True))
+    asked = requests.withColumn("_open", F.col("lo").isNull() & F.col("hi").isNull()).withColumn("_list", last == "list").join(known, "series", "left")
+    number = F.expr("try_cast(regexp_extract(url, '[?&]episode_no=([^&#]+)', 1) as bigint)")
+    alone = asked.filter("_open and not _list").select("series", number.alias("episode_no"), "url", F.lit(False).alias("missing"))
+    whole = asked.filter("_open and _list and _any").select("series").distinct().join(episodes, "series").select("series", "episode_no", "url", F.lit(False).alias("missing"))
+    requests = asked.filter("not _open or (_list and _any is null)").drop("_open", "_list", "_any")
     ends = episodes.groupBy("series").agg(F.min("episode_no").alias("_lo"), F.max("episode_no").alias("_hi"))
     own = F.expr("try_cast(regexp_extract(url, '[?&]episode_no=([^&#]+)', 1) as bigint)")
     p = requests.join(ends, "series", "left").withColumn("_own", own)
@@ -154,7 +164,8 @@ def expand_range(requests: DataFrame, episodes: DataFrame) -> DataFrame:
     p = p.withColumn("episode_no", F.explode(F.when(F.col("lo") > F.col("hi"), bad).when(F.col("_a") <= F.col("_b"), F.sequence(F.col("_a").cast("long"), F.col("_b").cast("long")))))
     found = episodes.select("series", "episode_no", F.col("url").alias("_known"))
     out = p.join(found, ["series", "episode_no"], "left")
-    return out.select("series", "episode_no", F.coalesce("_known", episode_url(F.col("url"), F.col("episode_no"))).alias("url"), F.col("_known").isNull().alias("missing"))
+    ranged = out.select("series", "episode_no", F.coalesce("_known", episode_url(F.col("url"), F.col("episode_no"))).alias("url"), F.col("_known").isNull().alias("missing"))
+    return ranged.unionByName(alone).unionByName(whole)
 
 
 def chapter_meta(parsed: DataFrame, final_url: DataFrame | None = None) -> DataFrame:

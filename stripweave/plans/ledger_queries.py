@@ -21,7 +21,7 @@ def query(name: str, text: str | None = None):
     return add
 
 
-LATEST = "lt AS (SELECT url, arg_max(status, (ts, event_id)) AS status, arg_max(step_s, (ts, event_id)) AS step_s, count(*) FILTER (status = 'processing') AS attempts FROM ledger GROUP BY url)"
+LATEST = "lt AS (SELECT url, coalesce(arg_max(status, (ts, event_id)), 'pending') AS status, arg_max(step_s, (ts, event_id)) AS step_s, count(*) FILTER (status = 'processing') AS attempts FROM ledger GROUP BY url)"
 LATEST_SQL = v.sql("ledger", f"WITH {LATEST} SELECT url, status, round(step_s, 6) AS step_s, attempts FROM lt")
 
 
@@ -92,7 +92,7 @@ def j5(spark, d):
 @query("j5_rate_admission_stream", ADMIT)
 def j5s(spark, d):
     e = stream_of(spark, d, "events").select((F.col("user_id") % 5).alias("key_id"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return st.append_once(st.rate_admission_stream(e, 3, 600), st.working_folder(spark))
+    return st.append_once(st.rate_admission_stream(e, 3, 600, "1 hour"), st.working_folder(spark))
 
 
 @query("j5_over_limit", v.sql("api_calls", """SELECT key_id, call_id, count(*) OVER (PARTITION BY key_id ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS n FROM api_calls"""))
@@ -135,10 +135,14 @@ def _pairs(spark, d):
     return ready, finished
 
 
-@query("j8_release_stream")
+@query("j8_release_stream", """WITH r AS (SELECT user_id AS url, CASE WHEN user_id % 20 > 0 THEN user_id - 1 END AS previous, epoch_us(ts) AS ready_us FROM events WHERE event_type = 'signup'),
+  f AS (SELECT user_id AS done, epoch_us(min(ts)) AS f FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+  SELECT url, coalesce(previous, -1) AS previous, ready_us, CASE WHEN previous IS NULL THEN ready_us ELSE least(greatest(ready_us, coalesce(f, ready_us + 600000000)), ready_us + 600000000) END AS release_us,
+    coalesce(f <= ready_us + 600000000, false) AS has_memory FROM r LEFT JOIN f ON done = previous""")
 def j8s(spark, d):
-    """Sign-ups wait for a purchase of the user before them; rows still inside the time bound stay in the state."""
+    """Sign-ups wait for a purchase of the user before them, ten minutes at most."""
     e = stream_of(spark, d, "events").select(F.col("user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     ready = e.filter("event_type = 'signup'").select("url", F.when(F.col("url") % 20 > 0, F.col("url") - 1).alias("previous"), F.col("ts").alias("ready_ts"))
     finished = e.filter("event_type = 'purchase'").select("url", F.col("ts").alias("finished_ts"))
-    return st.append_once(st.release_stream(ready, finished, 600, memory="1 day"), st.working_folder(spark))
+    out = st.append_once(st.release_stream(ready, finished, 600, "10 minutes"), st.working_folder(spark))
+    return out.withColumn("previous", F.coalesce("previous", F.lit(-1)))

@@ -165,7 +165,19 @@ def _cards(spark, d, aliases=True):
     return c.select("series", "ep", F.lit(0).alias("pos"), "name", F.array("alias").alias("aliases") if aliases else F.expr("cast(array() as array<string>)").alias("aliases"), "who")
 
 
-@query("g1_merge_entities")
+# rows of a series in order, what they mention, and the row that began each row's entity
+KIN = """ro AS (SELECT series, ep, row_number() OVER (PARTITION BY series ORDER BY ep) AS r, trim(name) AS name, trim(alias) AS alias, who FROM cards WHERE trim(name) <> ''),
+  me AS (SELECT series, r, lower(name) AS t FROM ro UNION ALL SELECT series, r, lower(alias) FROM ro WHERE alias <> ''),
+  up AS (SELECT ro.series, ro.r, f.r AS p FROM ro JOIN (SELECT series, t, min(r) AS r FROM me GROUP BY ALL) f ON f.series = ro.series AND f.t = lower(ro.name)),
+  cl AS (SELECT series, r, p FROM up UNION SELECT cl.series, cl.r, up.p FROM cl JOIN up ON up.series = cl.series AND up.r = cl.p),
+  rt AS (SELECT series, r, min(p) AS root FROM cl GROUP BY series, r),
+  ca AS (SELECT ro.series, ro.r AS root, ro.name, ro.who, ro.ep, row_number() OVER (PARTITION BY ro.series ORDER BY ro.r) - 1 AS ord FROM ro JOIN rt USING (series, r) WHERE ro.r = rt.root),
+  fa AS (SELECT rt.series, rt.root, lower(ro.alias) AS t, min(ro.r) AS r, min_by(ro.alias, ro.r) AS alias, min(ro.ep) AS ep FROM ro JOIN rt USING (series, r) WHERE ro.alias <> '' GROUP BY ALL),
+  al AS (SELECT fa.*, row_number() OVER (PARTITION BY fa.series, fa.root ORDER BY fa.r) AS place FROM fa JOIN ca USING (series, root) WHERE fa.t <> lower(ca.name) QUALIFY place <= 6)"""
+
+
+@query("g1_merge_entities", v.sql("cards", f"""WITH {KIN}, li AS (SELECT series, root, string_agg(alias, '|' ORDER BY place) AS aliases FROM al GROUP BY ALL), t AS (SELECT *, trim(regexp_replace(who, '\\s+', ' ', 'g')) AS w FROM ca)
+  SELECT series, ord, name, coalesce(aliases, '') AS aliases, CASE WHEN length(w) <= 160 THEN w ELSE regexp_replace(substr(w, 1, 160), ' [^ ]*$', '') || '...' END AS who FROM t LEFT JOIN li USING (series, root)""", recursive=True))
 def g1(spark, d):
     return mm.merge_entities(_cards(spark, d), _hot_series(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))
 
@@ -194,7 +206,16 @@ def g3(spark, d):
     return mm.series_tail(v.cards(spark, d).select("series", "ep", F.col("who").alias("tail")), _hot_series(spark, d))
 
 
-@query("g3_series_cards")
+# for every episode asked: what was known before it, and how many earlier sheets name it
+KNOWN = KIN + """, ask AS (SELECT DISTINCT series, {ask} AS ep FROM ro),
+  kt AS (SELECT series, root, lower(name) AS t, ep FROM ca UNION SELECT series, root, t, ep FROM al),
+  hi AS (SELECT a.series, a.ep, kt.root, max(coalesce(n, 0)) AS hits FROM ask a JOIN kt ON kt.series = a.series AND kt.ep < a.ep
+    LEFT JOIN (SELECT a.series, a.ep, lower(ro.name) AS t, count(DISTINCT ro.ep) AS n FROM ask a JOIN ro ON ro.series = a.series AND ro.ep < a.ep GROUP BY ALL) c ON c.series = a.series AND c.ep = a.ep AND c.t = kt.t GROUP BY ALL),
+  rk AS (SELECT hi.*, ca.ord, ca.name, row_number() OVER (PARTITION BY hi.series, hi.ep ORDER BY hits DESC, ord) - 1 AS rank FROM hi JOIN ca USING (series, root) QUALIFY rank < 20),
+  sc AS (SELECT rk.series, rk.ep, rank, name, hits, coalesce((SELECT string_agg(alias, '|' ORDER BY place) FROM al WHERE al.series = rk.series AND al.root = rk.root AND al.ep < rk.ep), '') AS aliases FROM rk)"""
+
+
+@query("g3_series_cards", v.sql("cards", "WITH " + KNOWN.replace("{ask}", "ep") + " SELECT series, ep, rank, name, aliases, hits FROM sc", recursive=True))
 def g3b(spark, d):
     return mm.series_cards(_cards(spark, d), hot=_hot_series(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))
 
@@ -206,6 +227,18 @@ def g3c(spark, d):
     return mm.series_cards(_cards(spark, d, False), hot=_hot_series(spark, d)).drop("aliases")
 
 
+@query("g3_series_context", v.sql("cards", "WITH " + KNOWN.replace("{ask}", "ep + 1") + f""", c AS (SELECT series, ep, string_agg(rank || ':' || name || ':' || aliases || ':' || hits, ';' ORDER BY rank) AS cards FROM sc GROUP BY ALL),
+  q AS (SELECT series, ep FROM ask UNION SELECT 'unknown', 1), t AS (SELECT q.series, q.ep, {SPACED.format(c="coalesce(arg_max(cards.who, cards.ep), '')")} AS t FROM q LEFT JOIN cards ON cards.series = q.series AND cards.ep < q.ep GROUP BY ALL)
+  SELECT q.series, q.ep, coalesce(c.cards, '') AS cards, {TRIM.format(t='t', n=320)} AS tail FROM q JOIN t USING (series, ep) LEFT JOIN c USING (series, ep)""", recursive=True))
+def g3d(spark, d):
+    """Asked for the episode after each, which has no sheet of its own yet, and for an unknown series."""
+    c, sheets = _cards(spark, d), v.cards(spark, d).select("series", "ep", F.col("who").alias("tail"))
+    asked = c.filter("trim(name) <> ''").select("series", (F.col("ep") + 1).alias("ep")).union(spark.range(1).select(F.lit("unknown"), F.lit(1)))
+    out = mm.series_context(c, sheets, asked, hot=_hot_series(spark, d))
+    line = F.transform("cards", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["name"], F.array_join(x["aliases"], "|"), x["hits"].cast("string")))
+    return out.select("series", "ep", F.array_join(line, ";").alias("cards"), "tail")
+
+
 @query("g4_chapter_sheets", v.sql("scenes", f"""WITH c AS (SELECT DISTINCT ch FROM scenes), t AS (SELECT ch, {SPACED.format(c='arg_max(narration, idx)')} AS t FROM scenes WHERE NOT is_filler AND trim(narration) <> '' GROUP BY ch),
   n AS (SELECT ch, count(*) AS cards FROM scenes WHERE trim(split_part(narration, ' ', 1)) <> '' GROUP BY ch)
   SELECT ch, 's-' || (ch % 5) AS series, ch + 1 AS ep, coalesce(cards, 0) AS cards, coalesce({TRIM.format(t='t', n=320)}, '') AS tail FROM c LEFT JOIN t USING (ch) LEFT JOIN n USING (ch) WHERE ch % 7 <> 0"""))

@@ -286,8 +286,8 @@ def i1(spark, d):
     return sg.compress_silence(_quiet(spark, d), 600, 5 / 600, -45.0, hot=v.hot(spark, d, "embeddings", "vec_id")).withColumn("v", F.round("v", 9))
 
 
-@query("i2_mix_tracks", v.sql("samples", """WITH vo AS (SELECT clip AS ch, i, v FROM samples), m AS (SELECT i, v FROM samples WHERE clip = (SELECT min(clip) FROM samples) AND i < 10), x AS (SELECT i, v FROM samples WHERE clip = (SELECT max(clip) FROM samples) AND i < 20),
-  a AS (SELECT ch, 7 + k AS i, k, (SELECT v FROM m WHERE m.i = k % 10) * CASE WHEN k < 8 THEN k / 7.0 ELSE 1 END * CASE WHEN k >= 24 THEN 1 - (k - 24) / 15.0 ELSE 1 END * pow(10, -6 / 20.0) AS v FROM (SELECT DISTINCT ch FROM vo), (SELECT unnest(range(40)) AS k)),
+@query("i2_mix_tracks", v.sql("samples", """WITH vo AS (SELECT clip AS ch, i, v FROM samples), m AS (SELECT i, v FROM samples WHERE clip = (SELECT min(clip) FROM samples)), x AS (SELECT i, v FROM samples WHERE clip = (SELECT max(clip) FROM samples)),
+  a AS (SELECT ch, 7 + k AS i, k, (SELECT v FROM m WHERE m.i = k % (SELECT count(*) FROM m)) * CASE WHEN k < 8 THEN k / 7.0 ELSE 1 END * CASE WHEN k >= 24 THEN 1 - (k - 24) / 15.0 ELSE 1 END * pow(10, -6 / 20.0) AS v FROM (SELECT DISTINCT ch FROM vo), (SELECT unnest(range(40)) AS k)),
   b AS (SELECT ch, 50 + i AS i, v * pow(10, -12 / 20.0) AS v FROM (SELECT DISTINCT ch FROM vo), x),
   s AS (SELECT vo.ch, vo.i, least(1.0, greatest(-1.0, vo.v + coalesce(a.v, 0))) AS v FROM vo LEFT JOIN a ON a.ch = vo.ch AND a.i = vo.i)
   SELECT s.ch, s.i, round(least(1.0, greatest(-1.0, s.v + coalesce(b.v, 0))), 9) AS v FROM s LEFT JOIN b ON b.ch = s.ch AND b.i = s.i"""))
@@ -295,8 +295,8 @@ def i2(spark, d):
     s = v.samples(spark, d)
     voice = s.withColumnRenamed("clip", "ch")
     ends = s.agg(F.min("clip").alias("lo"), F.max("clip").alias("hi"))
-    music = s.join(F.broadcast(ends), F.col("clip") == F.col("lo")).filter("i < 10").select(F.lit("m").alias("asset"), "i", "v")
-    sound = s.join(F.broadcast(ends), F.col("clip") == F.col("hi")).filter("i < 20").select(F.lit("x").alias("asset"), "i", "v")
+    music = s.join(F.broadcast(ends), F.col("clip") == F.col("lo")).select(F.lit("m").alias("asset"), "i", "v")
+    sound = s.join(F.broadcast(ends), F.col("clip") == F.col("hi")).select(F.lit("x").alias("asset"), "i", "v")
     chapters = voice.select("ch").distinct()
     bgm = chapters.select("ch", F.lit(0).alias("n"), F.lit("m").alias("asset"), F.lit(0.7).alias("start_s"), F.lit(4.0).alias("duration_s"), F.lit(0.8).alias("fade_in_s"), F.lit(1.6).alias("fade_out_s"), F.lit(-6.0).alias("gain_db"))
     sfx = chapters.select("ch", F.lit(0).alias("n"), F.lit("x").alias("asset"), F.lit(5.0).alias("start_s"), F.lit(-12.0).alias("gain_db"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stripweave.operators.ledger import STATUSES, latest_columns
+from stripweave.operators.ledger import known_status, latest_columns
 from stripweave.session import shared_folder
 
 
@@ -20,7 +20,7 @@ def working_folder(spark) -> str:
 
 def ledger_stream(events: DataFrame, fields: Sequence[str] = ("status", "step_s"), order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """One row per URL, updated with each event; write it in update mode."""
-    return events.filter(F.col("status").isNull() | F.col("status").isin(STATUSES)).groupBy("url").agg(*latest_columns(fields, order))
+    return events.withColumn("status", known_status(F.col("status"))).groupBy("url").agg(*latest_columns(fields, order))
 
 
 def upsert_ledger(stream: DataFrame, folder: str):
@@ -39,10 +39,10 @@ def upsert_ledger(stream: DataFrame, folder: str):
     return rows.groupBy("url").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r")).select("url", "_r.*")
 
 
-def rate_admission_stream(requests: DataFrame, n: int, window_s: float, late: str = "1 hour") -> DataFrame:
+def rate_admission_stream(requests: DataFrame, n: int, window_s: float, late: str) -> DataFrame:
     """Admissions per key over a stream ``(key_id, call_id, ts)``; the last ``n`` starts are the state.
 
-    Requests later than the watermark are dropped. Within a batch requests go by time, so the result
+    ``late`` is how far a request may lag behind the newest one seen; later ones are dropped, so the caller names it. Within a batch requests go by time, so the result
     equals the batch form when no request comes after a later one of an earlier batch.
     """
     w = int(round(window_s * 1_000_000))
@@ -63,18 +63,51 @@ def rate_admission_stream(requests: DataFrame, n: int, window_s: float, late: st
         admit, "key_id long, call_id long, arrival_us long, start_us long, wait_us long", "starts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def release_stream(ready: DataFrame, finished: DataFrame, timeout_s: int = 600, late: str = "10 minutes", memory: str = "30 days") -> DataFrame:
+RELEASED = "url string, previous string, ready_us long, release_us long, has_memory boolean"
+
+
+def release_stream(ready: DataFrame, finished: DataFrame, timeout_s: int, late: str) -> DataFrame:
     """Ordered release over two streams: ``ready (url, previous, ready_ts)`` and ``finished (url, finished_ts)``.
 
-    ``previous`` comes from a static series table. A chapter whose predecessor does not finish within the
-    timeout comes out once the watermark has passed it; ``memory`` bounds how old a finish may be.
+    One row per sign-up. ``previous`` comes from a static series table; the state of a chapter is the earliest end of it
+    seen so far, however old, and the sign-ups that still wait for it. A sign-up without predecessor comes out at
+    once, one whose predecessor has ended with the next batch, any other when the watermark (``late`` behind the newest
+    event) has passed its limit; what is still open when a run ends stays in the state.
     """
-    a = ready.withWatermark("ready_ts", late).alias("a")
-    b = finished.withWatermark("finished_ts", late).select(F.col("url").alias("done"), "finished_ts").alias("b")
-    joined = a.join(b, F.expr(f"a.previous = b.done and b.finished_ts <= a.ready_ts + interval {timeout_s} seconds and b.finished_ts >= a.ready_ts - interval {memory}"), "left_outer")
-    limit = F.col("ready_ts") + F.expr(f"interval {timeout_s} seconds")
-    at = F.when(F.col("previous").isNull(), F.col("ready_ts")).when(F.col("finished_ts").isNull(), limit).otherwise(F.greatest("ready_ts", "finished_ts"))
-    return joined.select("a.url", "previous", "ready_ts", at.alias("release_ts"), F.col("finished_ts").isNotNull().alias("has_memory"))
+    wait = timeout_s * 1_000_000
+    free = ready.filter("previous is null").select(
+        "url", "previous", F.unix_micros("ready_ts").alias("ready_us"), F.unix_micros("ready_ts").alias("release_us"), F.lit(False).alias("has_memory"))
+    # ids are text inside, since numbers with nulls would pass through floats
+    waiting = ready.filter("previous is not null").select(F.col("previous").cast("string").alias("key"), F.col("url").cast("string").alias("url"), F.unix_micros("ready_ts").alias("ready_us"), F.lit(None).cast("long").alias("end_us"), F.col("ready_ts").alias("at"))
+    ends = finished.select(F.col("url").cast("string").alias("key"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("ready_us"), F.unix_micros("finished_ts").alias("end_us"), F.col("finished_ts").alias("at"))
+
+    def release(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        end, urls, readies = state.get if state.exists else (None, [], [])
+        still = list(zip(urls, readies))
+        for pdf in batches:
+            seen = pdf["end_us"].dropna()
+            if len(seen):
+                end = int(seen.min()) if end is None else min(end, int(seen.min()))
+            new = pdf[pdf["ready_us"].notna()]
+            still += [(u, int(t)) for u, t in zip(new["url"], new["ready_us"])]
+        passed = state.getCurrentWatermarkMs() * 1000
+        out, later = [], []
+        for url, at in still:
+            if end is not None:
+                out.append((url, key[0], at, min(max(at, end), at + wait), end <= at + wait))
+            elif at + wait < passed:
+                out.append((url, key[0], at, at + wait, False))
+            else:
+                later.append((url, at))
+        state.update((end, [u for u, _ in later], [t for _, t in later]))
+        if later:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (min(t for _, t in later) + wait) // 1000 + 1))
+        yield pd.DataFrame(out, columns=["url", "previous", "ready_us", "release_us", "has_memory"])
+
+    both = waiting.unionByName(ends).withWatermark("at", late)
+    held = both.groupBy("key").applyInPandasWithState(release, RELEASED, "end_us long, urls array<string>, readies array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    own = {c: ready.schema[c].dataType for c in ("url", "previous")}
+    return free.unionByName(held.withColumns({c: F.col(c).cast(t) for c, t in own.items()}))
 
 
 def append_once(stream: DataFrame, folder: str) -> DataFrame:

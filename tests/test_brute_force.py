@@ -326,6 +326,99 @@ def test_alias_becomes_later_name(spark):
     assert [(r.name, r.hits) for r in sorted(seen[4], key=lambda r: r.rank)] == [("Kang", 1), ("Mira", 1)]
 
 
+def test_context_of_an_episode_without_sheet(spark):
+    cards = spark.createDataFrame([("s", 1, 0, "Kang", ["The Hero"], "first"), ("s", 2, 0, " ", [], "x"), (None, 1, 0, "Nobody", [], "y"), (None, 2, 0, "nobody", ["N"], "z")],
+                                  "series string, ep long, pos long, name string, aliases array<string>, who string")
+    sheets = spark.createDataFrame([("s", 1, "one"), ("s", 2, "two")], "series string, ep long, tail string")
+    asked = spark.createDataFrame([("s", 1), ("s", 2), ("s", 7), ("other", 3), ("s", None)], "series string, ep long")
+    got = {(r.series, r.ep): ([c.name for c in r.cards], r.tail) for r in mm.series_context(cards, sheets, asked).collect()}
+    assert got == {("s", 1): ([], ""), ("s", 2): (["Kang"], "one"), ("s", 7): (["Kang"], "two"), ("other", 3): ([], ""), ("s", None): ([], "")}
+    merged = {(r.series, r.ord): (r.name, list(r.aliases)) for r in mm.merge_entities(cards).collect()}
+    assert merged == {("s", 0): ("Kang", ["The Hero"]), (None, 0): ("Nobody", ["N"])}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_null_keys_are_one_group(spark, request, hot):
+    from stripweave.functions import ordered as o
+
+    if hot:
+        request.getfixturevalue("chunked")
+    df = spark.createDataFrame([(k, i, i * 10) for k in (None, 1) for i in range(5)], "k int, pos int, v int")
+    rows = o.scan(o.number_rows(df, ["k"], ["pos"], "n"), ["k"], ["pos"], hot, run=o.sum_to(F.lit(1)))
+    assert sorted((str(r.k), r.n, r.run) for r in rows.collect()) == sorted((str(k), i, i + 1) for k in (None, 1) for i in range(5))
+    seen = o.fold(df, ["k"], ["pos"], lambda c, s: ({}, (s or 0) + len(c["v"])), "k int, n int", hot, lambda s: {"n": [s]})
+    assert sorted((str(r.k), r.n) for r in seen.collect()) == [("1", 5), ("None", 5)]
+    assert {(r.k, r.m) for r in o.median_by(df, ["k"], "v", "m", hot).collect()} == {(None, 20.0), (1, 20.0)}
+    at = {"top": F.col("_n") - 1}
+    assert {(r.k, r.top) for r in o.nth_by(df, ["k"], "v", at, hot).collect()} == {(None, 40), (1, 40)}
+
+
+def test_group_sizes_follow_the_files(spark, tmp_path):
+    from stripweave.functions import ordered as o
+
+    path = str(tmp_path / "t")
+    spark.range(50).select(F.col("id").alias("k")).coalesce(1).write.parquet(path)
+    assert o.largest_group(spark.read.parquet(path), ["k"]) == o.largest_group(spark.read.parquet(path), ["k"]) == 1
+    spark.range(1000).select(F.lit(7).cast("long").alias("k")).coalesce(1).write.mode("overwrite").parquet(path)
+    assert o.largest_group(spark.read.parquet(path), ["k"]) == 1000
+    spark.range(500).select(F.lit(7).cast("long").alias("k")).coalesce(1).write.mode("append").parquet(path)
+    assert o.largest_group(spark.read.parquet(path), ["k"]) == 1500
+
+
+def test_release_without_ids_waits_for_nobody(spark):
+    ready = spark.createDataFrame([("a", None, None, 5), ("b", None, None, 7), ("c", 1, None, 9), ("d", 1, 2, 11)], "url string, title_no long, episode_no long, ready_us long")
+    done = spark.createDataFrame([("a", 100), ("a", 200)], "url string, finished_us long")
+    assert {(r.url, r.previous, r.release_us) for r in lg.release_in_order(ready, done).collect()} == {("a", None, 5), ("b", None, 7), ("c", None, 9), ("d", None, 11)}
+
+
+def test_ledger_statuses(spark):
+    events = spark.createDataFrame([("u", None, 1.0, 1, 1), ("w", "done", None, 1, 2)], "url string, status string, step_s double, ts long, event_id long")
+    latest = lg.ledger_latest(events)
+    assert {(r.url, r.status, r.step_s) for r in latest.collect()} == {("u", "pending", 1.0), ("w", "done", None)}
+    assert {r.status: r.n for r in lg.ledger_counts(latest).collect()} == {"pending": 1, "processing": 0, "done": 1, "failed": 0}
+    with pytest.raises(Exception, match="unknown status"):
+        lg.ledger_latest(events.withColumn("status", F.lit("lost"))).collect()
+
+
+def test_open_ranges(spark):
+    from stripweave.operators import web
+
+    known = spark.createDataFrame([(1, 1, "u1"), (1, 4, "u4")], "series long, episode_no long, url string")
+    asked = spark.createDataFrame([(1, "http://x.com/en/s/list?title_no=1", None, None), (2, "http://x.com/en/s/e/viewer?title_no=2&episode_no=9", None, None), (1, "http://x.com/en/s/list?title_no=1", 3, None)],
+                                  "series long, url string, lo long, hi long")
+    got = [(r.series, r.episode_no, r.missing) for r in web.expand_range(asked, known).collect()]
+    assert sorted(got) == [(1, 1, False), (1, 3, True), (1, 4, False), (1, 4, False), (2, 9, False)]
+
+
+def test_numeric_flags_and_lists(spark):
+    from stripweave.operators import texts as op
+
+    df = spark.createDataFrame([(1.0, 5, True, "5", " oui "), (0.0, 0, False, "1", None)], "a double, b int, c boolean, d string, e string")
+    assert [tuple(r) for r in df.select(*[op.coerce_bool(F.col(c)) for c in "abcde"]).collect()] == [(True, True, True, False, True), (False, False, False, True, False)]
+    lists = spark.createDataFrame([(" a ", [" x ", "", None]), (None, None), ("", [])], "t string, l array<string>")
+    assert [tuple(r) for r in lists.select(op.coerce_texts(F.col("t")), op.coerce_list(F.col("l"))).collect()] == [(["a"], ["x"]), ([], []), ([], [])]
+
+
+def test_sound_zones_do_not_repeat(spark):
+    blocks = spark.createDataFrame([(0, 100, 50)], "block long, height int, width int")
+    zones = spark.createDataFrame([(0, 0, "drop", 10, 30, "sfx", 1), (0, 1, "drop", 20, 40, "sfx", 1), (0, 2, "drop", 35, 60, "sfx", 1)], "block long, zone long, list string, y0 int, y1 int, kind string, priority int")
+    none = frame(spark, [(1, 0, 0, 0, 1, 1, "sfx", 0.5, False, "")])
+    assert sorted((r.idx, r.y0, r.y1) for r in bx.classify_constraints(blocks, none.filter("block = 0"), zones).collect()) == [(-3, 35, 60), (-1, 10, 30)]
+
+
+def test_equal_boxes_at_threshold_one(spark, chunked):
+    rows = [(0, 0, 0, 0, 9, 9, "head", 0.5, False, ""), (0, 1, 0, 0, 9, 9, "head", 0.4, False, ""), (0, 2, 50, 50, 60, 60, "head", 0.4, False, "")]
+    assert bx.nms(frame(spark, rows), 1.0, True).count() == bx.nms(frame(spark, rows), 1.0, False).count() == 3
+
+
+def test_margin_comes_after_grouping(spark):
+    """Two figures whose rows only meet once widened stay apart; the margin is added to the groups."""
+    rows = [(0, 0, 0, 0, 20, 20, "person", 0.9, False, ""), (0, 1, 30, 22, 50, 42, "person", 0.8, False, ""), (0, 2, 5, 5, 9, 9, "head", 0.9, False, ""), (0, 3, 35, 30, 39, 34, "head", 0.9, False, "")]
+    blocks = spark.createDataFrame([(0, 100, 100)], "block long, height int, width int")
+    got = sorted((r.x0, r.y0, r.x1, r.y1, r.persons) for r in bx.extract_figures(frame(spark, rows), blocks, 0.5, group=True).collect())
+    assert got == [(0, 0, 30, 30, 1), (20, 12, 60, 52, 1)]
+
+
 PROPERTY = ["e2_nms", "e3_merge_tile_hits", "e4_fuse_boxes", "e17_extract_figures", "f5_claim_keyframes", "f8_enforce_order", "g1_merge_entities", "g3_series_cards"]
 
 
@@ -366,8 +459,8 @@ def test_release_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(done[lo:lo + 10] if n == 0 else done[lo:] + [(98, 900_000)], "url long, t long").withColumn("finished_ts", at("t")).write.parquet(str(tmp_path / "f"), mode="append")
     r = spark.readStream.schema("url long, previous long, t long, ready_ts timestamp").parquet(str(tmp_path / "r"))
     f = spark.readStream.schema("url long, t long, finished_ts timestamp").parquet(str(tmp_path / "f"))
-    out = st.append_once(st.release_stream(r.drop("t"), f.drop("t"), 600), str(tmp_path / "out")).filter("url < 90")
-    got = {x.url: (int(x.release_ts.timestamp()) - 1_700_000_000, x.has_memory) for x in out.collect()}
+    out = st.append_once(st.release_stream(r.drop("t"), f.drop("t"), 600, "10 minutes"), str(tmp_path / "out")).filter("url < 90")
+    got = {x.url: (x.release_us // 1_000_000 - 1_700_000_000, x.has_memory) for x in out.collect()}
     ready = spark.createDataFrame([(u, 1, u, t * 1_000_000) for u, _, t in rows], "url long, title_no long, episode_no long, ready_us long")
     fin = spark.createDataFrame([(u, t * 1_000_000) for u, t in done], "url long, finished_us long")
     want = {x.url: (x.release_us // 1_000_000, x.has_memory) for x in lg.release_in_order(ready, fin).collect()}
