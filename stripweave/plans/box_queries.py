@@ -41,18 +41,66 @@ def e1(spark, d):
     return out.withColumns(r6("iou", "contain", "iou1d"))
 
 
-@query("e2_nms")
+# a group's boxes one after the other, with the list of those kept so far
+@query("e2_nms", v.sql("boxes", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY block, kind ORDER BY score DESC, idx) AS n, (x1 - x0 + 1) * (y1 - y0 + 1) AS a FROM boxes),
+  r AS (SELECT block, kind, n, [{'idx': idx, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'score': score, 'a': a}] AS kept FROM o WHERE n = 1
+    UNION ALL SELECT o.block, o.kind, o.n, CASE WHEN len(list_filter(kept, lambda k: CAST(greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0) + 1) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0) + 1) AS DOUBLE)
+        / (k.a + o.a - greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0) + 1) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0) + 1)) > 0.1)) > 0 THEN kept
+      ELSE list_append(kept, {'idx': o.idx, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'score': o.score, 'a': o.a}) END
+    FROM r JOIN o ON o.block = r.block AND o.kind = r.kind AND o.n = r.n + 1),
+  l AS (SELECT block, kind, unnest(arg_max(kept, n)) AS k FROM r GROUP BY block, kind)
+  SELECT block, kind, k.idx AS idx, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1, k.score AS score FROM l""", recursive=True))
 def e2(spark, d):
     return bx.nms(v.boxes(spark, d), 0.1, hot_blocks(spark, d))
 
 
-@query("e3_merge_tile_hits")
+def _common(k: str, o: str) -> str:
+    return f"(greatest(0, least({k}.x1, {o}.x1) - greatest({k}.x0, {o}.x0)) * greatest(0, least({k}.y1, {o}.y1) - greatest({k}.y0, {o}.y0)))"
+
+
+def _size(k: str) -> str:
+    return f"(({k}.x1 - {k}.x0) * ({k}.y1 - {k}.y0))"
+
+
+def _iou(k: str, o: str) -> str:
+    return f"(CAST({_common(k, o)} AS DOUBLE) / ({_size(k)} + {_size(o)} - {_common(k, o)}))"
+
+
+def _inside(k: str, o: str) -> str:
+    return f"(CAST({_common(k, o)} AS DOUBLE) / least({_size(k)}, {_size(o)}))"
+
+
+def _round(k: str, o: str) -> str:
+    """The box around two, with the better score and both sources."""
+    return (f"{{'x0': least({k}.x0, {o}.x0), 'y0': least({k}.y0, {o}.y0), 'x1': greatest({k}.x1, {o}.x1), 'y1': greatest({k}.y1, {o}.y1), 'score': greatest({k}.score, {o}.score), "
+            f"'source': array_to_string(list_sort(list_distinct(list_concat(string_split({k}.source, '+'), string_split({o}.source, '+')))), '+')}}")
+
+
+ONE = "{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'score': score, 'source': 's' || (idx % 3)}"
+NO_BOX = "CAST([] AS STRUCT(x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT, score DOUBLE, source VARCHAR)[])"
+AS_BOX = "STRUCT(x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT, score DOUBLE, source VARCHAR)"
+
+
+@query("e3_merge_tile_hits", v.sql("boxes", f"""WITH o AS (SELECT block, kind, idx % 2 = 1 AS cut, CAST({ONE} AS {AS_BOX}) AS b, row_number() OVER (PARTITION BY block, kind ORDER BY idx % 2, score DESC, y0, x0, idx) AS n FROM boxes),
+  r AS (SELECT block, kind, CAST(0 AS BIGINT) AS n, {NO_BOX} AS kept FROM (SELECT DISTINCT block, kind FROM o)
+    UNION ALL SELECT block, kind, n, CASE WHEN len(list_filter(kept, lambda k: {_iou('k', 'b')} >= 0.5)) > 0 OR (cut AND len(list_filter(kept, lambda k: {_inside('k', 'b')} >= 0.7 AND {_size('k')} >= {_size('b')})) > 0) THEN kept
+      WHEN cut AND side > 0 THEN list_concat(kept[: side - 1], [{_round('kept[side]', 'b')}], kept[side + 1 :]) ELSE list_append(kept, b) END
+    FROM (SELECT o.block, o.kind, o.n, o.cut, o.b, r.kept, coalesce(list_position(list_transform(r.kept, lambda k: {_common('k', 'o.b')} > 0 AND least(k.x1, o.b.x1) - greatest(k.x0, o.b.x0) >= 0.6 * greatest(1, least(k.x1 - k.x0, o.b.x1 - o.b.x0))), true), 0) AS side
+      FROM r JOIN o ON o.block = r.block AND o.kind = r.kind AND o.n = r.n + 1)),
+  l AS (SELECT block, kind, unnest(arg_max(kept, n)) AS k FROM r GROUP BY block, kind)
+  SELECT block, kind, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1, k.score AS score, k.source AS source FROM l""", recursive=True))
 def e3(spark, d):
     hits = sourced(spark, d).withColumn("truncated", F.col("idx") % 2 == 1)
     return bx.merge_tile_hits(hits, 0.5, hot_blocks(spark, d))
 
 
-@query("e4_fuse_boxes")
+# each step either joins the box in hand with the first it meets, or puts it down and takes the next
+@query("e4_fuse_boxes", v.sql("boxes", f"""WITH o AS (SELECT block, kind, CAST({ONE} AS {AS_BOX}) AS b, row_number() OVER (PARTITION BY block, kind ORDER BY score DESC, y0, x0, y1, x1) AS n FROM boxes),
+  r AS (SELECT block, kind, n, CAST(1 AS BIGINT) AS step, b, {NO_BOX} AS kept FROM o WHERE n = 1
+    UNION ALL SELECT q.block, q.kind, CASE WHEN hit > 0 THEN q.n ELSE q.n + 1 END, step + 1, CASE WHEN hit > 0 THEN {_round('kept[hit]', 'q.b')} ELSE o.b END, CASE WHEN hit > 0 THEN list_concat(kept[: hit - 1], kept[hit + 1 :]) ELSE list_append(kept, q.b) END
+    FROM (SELECT *, coalesce(list_position(list_transform(kept, lambda k: {_iou('k', 'b')} >= 0.3 OR {_inside('k', 'b')} >= 0.6), true), 0) AS hit FROM r WHERE b IS NOT NULL) q LEFT JOIN o ON o.block = q.block AND o.kind = q.kind AND o.n = q.n + 1),
+  l AS (SELECT block, kind, unnest(arg_max(kept, step)) AS k FROM r GROUP BY block, kind)
+  SELECT block, kind, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1, k.score AS score, k.source AS source FROM l""", recursive=True))
 def e4(spark, d):
     return bx.fuse_boxes(sourced(spark, d), 0.3, 0.6, hot_blocks(spark, d))
 

@@ -202,7 +202,12 @@ def c4(spark, d):
     return op.scan_patterns(docs(spark, d), "doc_id", "text", PATTERNS)
 
 
-@query("c4_forbidden")
+def _found() -> str:
+    each = " UNION ALL ".join(f"SELECT doc_id, {i} AS pattern, unnest(regexp_extract_all(t, '(?i)(?:{p.replace(chr(39), chr(39) * 2)})')) AS hit FROM x" for i, p in enumerate(op.FORBIDDEN))
+    return f"WITH x AS (SELECT doc_id, 'In this panel, we can see the camera. The image shows ' || text AS t FROM documents) SELECT doc_id, pattern, trim(hit) AS hit FROM ({each})"
+
+
+@query("c4_forbidden", _found())
 def c4b(spark, d):
     t = F.concat(F.lit("In this panel, we can see the camera. The image shows "), "text")
     return op.scan_patterns(docs(spark, d).select("doc_id", t.alias("text")), "doc_id", "text")
@@ -214,7 +219,16 @@ def c4c(spark, d):
     return docs(spark, d).select("doc_id", first.alias("opening")).filter("opening is not null")
 
 
-@query("c5_scrub_text")
+SCRUBBED = r"""WITH a AS (SELECT doc_id, 'In this panel, we can see that ' || text || ' Here, we now watch how it ends. we see more.' AS t FROM documents),
+  b AS (SELECT doc_id, regexp_replace(t, '(^|[.!?]\s+)in (?:this|the|that) (?:panel|panels|scene|image|frame|picture|illustration|shot|page),?\s+', '\1', 'gi') AS t FROM a),
+  c AS (SELECT doc_id, regexp_replace(t, '(^|[.!?]\s+)(?:here|ici),?\s+', '\1', 'gi') AS t FROM b),
+  e AS (SELECT doc_id, regexp_replace(t, '(^|[.!?]\s+)we (?:can |then |now )?(?:see|watch|observe) (?:that |how )?', '\1', 'gi') AS t FROM c),
+  f AS (SELECT doc_id, regexp_replace(t, '\bwe (?:can |then |now )?(?:see|watch) (?:that |how )?', '', 'gi') AS t FROM e),
+  g AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?]\s+)([a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM f)
+  SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(s, lambda x: CASE WHEN regexp_matches(x, '^[a-z]') THEN upper(x[1]) || x[2:] ELSE x END), ''), '\s+', ' ', 'g')) AS text FROM g""".replace("\\\\", "\\")
+
+
+@query("c5_scrub_text", SCRUBBED)
 def c5(spark, d):
     t = F.concat(F.lit("In this panel, we can see that "), "text", F.lit(" Here, we now watch how it ends. we see more."))
     return docs(spark, d).select("doc_id", op.scrub_text(t).alias("text"))
