@@ -83,39 +83,36 @@ def candidates_topk(lists: DataFrame, beats: DataFrame, panels: DataFrame, k: in
     return kept.select("ch", "par", (F.row_number().over(w) - 1).alias("pos"), F.col("panel").alias("id"), "height")
 
 
-def _tallest(ids, heights, k):
-    return sorted(sorted(ids, key=lambda p: -heights[p])[:k])
+def _by_height(id: str = "id") -> Column:
+    """Sort key of panels: tallest first, then as listed."""
+    return F.struct((-F.col("height")).alias("_h"), "pos", id)
 
 
 def claim_keyframes(wanted: DataFrame, candidates: DataFrame, k: int = 4, hot: bool | None = None) -> DataFrame:
     """Key panels per paragraph, in paragraph order: wanted candidates nobody took, at most ``k``.
 
     Without any: the tallest candidate nobody took, else the lowest candidate. ``wanted (ch, par, pos,
-    id)``, ``candidates (ch, par, pos, id, height)``, at most eight per paragraph; a paragraph is one row
-    of the fold.
+    id)``, ``candidates (ch, par, pos, id, height)``, at most eight per paragraph. A paragraph is one row with its wanted
+    panels and its candidates, both tallest first; only the panels taken so far go from one to the next.
     """
     hot = _hot(candidates, hot)
     # only candidates can be claimed, so the asked list is as short as the candidates
-    asked = wanted.join(candidates.select("ch", "par", "id"), ["ch", "par", "id"], "left_semi").groupBy("ch", "par", "id").agg(F.min("pos").alias("pos"))
-    asked = asked.groupBy("ch", "par").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_w"))
-    pool = candidates.groupBy("ch", "par").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "height"))).alias("_c"))
-    rows = pool.join(asked, ["ch", "par"], "left")
-
-    def step(c, used):
-        used = used or set()
+    asked = wanted.groupBy("ch", "par", "id").agg(F.min("pos").alias("pos")).join(candidates.select("ch", "par", "id", "height").distinct(), ["ch", "par", "id"])
+    asked = asked.groupBy("ch", "par").agg(F.sort_array(F.collect_list(_by_height())).alias("_w"))
+    pool = candidates.groupBy("ch", "par").agg(F.sort_array(F.collect_list(_by_height())).alias("_c"))
+    rows = pool.join(asked, ["ch", "par"], "left").select(
+        "ch", "par", F.transform("_w", lambda x: x["id"]).alias("_want"), F.transform("_c", lambda x: x["id"]).alias("_free"), F.array_min(F.transform("_c", lambda x: x["id"])).alias("_low"))
+
+    def step(c, taken):
+        taken = set() if taken is None else taken
         out = {"par": [], "id": []}
-        for par, cands, want in zip(c["par"], c["_c"], c["_w"]):
-            heights = {x["id"]: x["height"] for x in cands}
-            kept = [] if want is None else [x["id"] for x in want if x["id"] not in used]
-            if len(kept) > k:
-                kept = _tallest(kept, heights, k)
-            if not kept:
-                order = sorted((x["id"] for x in cands), key=lambda p: -heights[p])
-                kept = [p for p in order if p not in used][:1] or [min(heights)]
-            used.update(kept)
-            for p in sorted(kept):
-                out["par"].append(par), out["id"].append(p)
-        return out, used
+        for par, want, free, low in zip(c["par"], c["_want"], c["_free"], c["_low"]):
+            open_ = [] if want is None else [x for x in want if x not in taken][:k]
+            own = open_ or [next((x for x in free if x not in taken), low)]
+            taken |= set(own)
+            out["par"] += [par] * len(own)
+            out["id"] += sorted(own)
+        return out, taken
 
     return fold(rows, CH, ["par"], step, "ch long, par long, id long", hot)
 
@@ -134,7 +131,7 @@ def claim_from_pool(wanted: DataFrame, paragraphs: DataFrame, panels: DataFrame,
     ranked = number_rows(panels, CH, [F.desc("height"), F.asc("id")], "_r", hot=hot)
     brought = ranked.groupBy("ch", F.floor(F.col("_r") / (k + 1)).alias("_p")).agg(F.sort_array(F.collect_list(F.struct("_r", "id"))).alias("_f"))
     known = wanted.join(panels, ["ch", "id"]).groupBy("ch", "par", "id", "height").agg(F.min("pos").alias("pos"))
-    asked = known.groupBy("ch", "par").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "height"))).alias("_w"))
+    asked = known.groupBy("ch", "par").agg(F.transform(F.sort_array(F.collect_list(_by_height())), lambda x: x["id"]).alias("_w"))
     rows = numbered.join(brought, ["ch", "_p"], "left").join(asked, ["ch", "par"], "left")
 
     def step(c, state):
@@ -143,9 +140,7 @@ def claim_from_pool(wanted: DataFrame, paragraphs: DataFrame, panels: DataFrame,
         for par, more, want in zip(c["par"], c["_f"], c["_w"]):
             for x in [] if more is None else more:
                 heapq.heappush(free, (x["_r"], x["id"]))
-            kept = [] if want is None else [x["id"] for x in want if x["id"] not in used]
-            if len(kept) > k:
-                kept = _tallest(kept, {x["id"]: x["height"] for x in want}, k)
+            kept = [] if want is None else [x for x in want if x not in used][:k]
             if not kept:
                 while free and free[0][1] in used:
                     heapq.heappop(free)

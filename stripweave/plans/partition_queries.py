@@ -76,12 +76,28 @@ def _wanted(spark, d):
     return faulty(spark, d).select("ch", F.floor(F.col("element") / 2).alias("par"), (F.col("element") % 2 * 3 + F.col("pos")).alias("pos"), "id")
 
 
-@query("f5_claim_keyframes")
+# paragraphs of a chapter one after the other, with the panels taken so far; {step} is what a paragraph takes
+CLAIMS = """o AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY par) AS n FROM turns),
+  r AS (SELECT ch, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS par, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS took FROM (SELECT DISTINCT ch FROM o)
+    UNION ALL SELECT ch, n, par, list_concat(used, took), took FROM (
+      SELECT o.ch, o.n, o.par, r.used, CASE WHEN len(list_filter(o.want, lambda x: NOT list_contains(r.used, x))) > 0 THEN list_filter(o.want, lambda x: NOT list_contains(r.used, x))[:2]
+        WHEN len(list_filter(o.free, lambda x: NOT list_contains(r.used, x))) > 0 THEN list_filter(o.free, lambda x: NOT list_contains(r.used, x))[:1] ELSE {none} END AS took
+      FROM r JOIN o ON o.ch = r.ch AND o.n = r.n + 1))
+  SELECT ch, par, unnest(took) AS id FROM r WHERE par IS NOT NULL"""
+
+
+@query("f5_claim_keyframes", v.sql("scene_panels", f"""WITH {FAULTS}, ca AS (SELECT ch, CAST(scene // 2 AS BIGINT) AS par, panel AS id, height, row_number() OVER (PARTITION BY ch, scene // 2 ORDER BY height DESC, panel) AS k FROM scene_panels QUALIFY k <= 4),
+  wa AS (SELECT li.ch, CAST(element // 2 AS BIGINT) AS par, id, min(element % 2 * 3 + pos) AS pos FROM li GROUP BY ALL),
+  wl AS (SELECT ch, par, list(id ORDER BY height DESC, pos, id) AS want FROM wa JOIN ca USING (ch, par, id) GROUP BY ch, par),
+  turns AS (SELECT ch, par, list(id ORDER BY height DESC, id) AS free, coalesce(any_value(want), []) AS want FROM ca LEFT JOIN wl USING (ch, par) GROUP BY ch, par), {CLAIMS.replace("{none}", "[list_min(o.free)]")}""", recursive=True))
 def f5(spark, d):
     return pt.claim_keyframes(_wanted(spark, d), _candidates(spark, d), 2, hot(spark, d))
 
 
-@query("f5_claim_from_pool")
+@query("f5_claim_from_pool", v.sql("scene_panels", f"""WITH {FAULTS}, al AS (SELECT ch, list(panel ORDER BY height DESC, panel) AS free FROM scene_panels GROUP BY ch),
+  wl AS (SELECT w.ch, w.par, list(w.id ORDER BY height DESC, pos, w.id) AS want FROM (SELECT ch, element AS par, id, min(pos) AS pos FROM li GROUP BY ALL) w JOIN scene_panels s ON s.ch = w.ch AND s.panel = w.id GROUP BY w.ch, w.par),
+  turns AS (SELECT p.ch, CAST(p.scene AS BIGINT) AS par, free, coalesce(want, []) AS want FROM (SELECT DISTINCT ch, scene FROM scene_panels WHERE (scene + ch) % 6 <> 5) p JOIN al USING (ch) LEFT JOIN wl ON wl.ch = p.ch AND wl.par = p.scene),
+  {CLAIMS.replace("{none}", "[]")}""", recursive=True))
 def f5b(spark, d):
     p = v.scene_panels(spark, d)
     pars = p.select("ch", F.col("scene").cast("long").alias("par"), F.when((F.col("scene") + F.col("ch")) % 6 == 5, "...").otherwise("told").alias("text")).distinct()
