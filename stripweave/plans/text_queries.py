@@ -44,6 +44,18 @@ def a1(spark, d):
     return rows.select("folder", "index", "narration", "emotion", "is_filler")
 
 
+@query("a1_read_listed", v.sql("scenes", "SELECT 'ch=' || ch AS folder, idx AS \"index\", narration, emotion, is_filler FROM scenes WHERE ch % 6 <> 5 UNION ALL SELECT DISTINCT 'ch=' || ch, -1, NULL, NULL, NULL FROM scenes WHERE ch % 6 = 5"))
+def a1b(spark, d):
+    """One object per chapter with its scenes in a list; every sixth chapter's file is cut short, and comes out apart."""
+    path = working_folder(spark) + "/listed"
+    s = v.scenes(spark, d)
+    whole = s.groupBy("ch").agg(F.to_json(F.struct(F.lit("m").alias("model"), F.collect_list(F.struct(F.col("idx").cast("int").alias("index"), "narration", "emotion", "is_filler")).alias("scenes"))).alias("value"))
+    whole.withColumn("value", F.when(F.col("ch") % 6 == 5, F.expr("left(value, length(value) - 2)")).otherwise(F.col("value"))).repartition("ch").write.partitionBy("ch").text(path)
+    rows, bad = ar.read_artifacts(spark, path, "scenes")
+    lost = bad.select("folder", F.lit(-1).alias("index"), *[F.lit(None).cast(t).alias(n) for n, t in (("narration", "string"), ("emotion", "string"), ("is_filler", "boolean"))])
+    return rows.select("folder", "index", "narration", "emotion", "is_filler").unionByName(lost)
+
+
 @query("a2_write_artifacts", v.sql("scenes", "SELECT ch, idx AS \"index\", emotion FROM scenes WHERE ch % 5 <> 0 OR idx < 2"))
 def a2(spark, d):
     s, path = _stored(spark, d, "parquet")

@@ -24,21 +24,33 @@ SCHEMAS = {
 }
 
 
+# Families whose file is one object that holds the rows in a list of this name.
+LISTED = {"scenes": "scenes", "reference": "crops"}
+
+
 def read_artifacts(spark: SparkSession, path: str | Sequence[str], kind: str, lines: bool = False,
                    schema: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of one artifact family and, apart, the files or rows that could not be read.
 
     Schemas are declared, never inferred; a bad file never fails the job. The chapter is the name of the
-    folder (``ch=...`` partitions too).
+    folder (``ch=...`` partitions too). Files are read in the shape of their family: a list of rows, one object, or an
+    object with a list (``LISTED``), whose members come out as rows. ``lines`` reads one row per line instead.
     """
-    want = T.StructType.fromDDL(schema or SCHEMAS[kind]).add("_bad", T.StringType())
+    rows = T.StructType.fromDDL(schema or SCHEMAS[kind])
+    listed = None if lines else LISTED.get(kind)
+    want = (T.StructType([T.StructField(listed, T.ArrayType(rows))]) if listed else T.StructType(rows.fields)).add("_bad", T.StringType())
     df = (spark.read.schema(want).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
           .option("multiLine", not lines).json(path))
     df = df.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
     # a row without its first field is as useless as an unparsable one
-    first = want.fields[0].name
-    broken = F.col("_bad").isNotNull() | F.col(first).isNull()
-    return df.filter(~broken).drop("_bad"), df.filter(broken).select("folder", "_bad", F.col("_metadata.file_path").alias("file"))
+    file, first = F.col("_metadata.file_path").alias("file"), rows.fields[0].name
+    broken = F.col("_bad").isNotNull() | F.col(want.fields[0].name).isNull()
+    bad = df.filter(broken).select("folder", "_bad", file)
+    if listed is None:
+        return df.filter(~broken).drop("_bad"), bad
+    each = df.filter(~broken).select("folder", file, F.explode(listed).alias("_row"))
+    lost = F.col(f"_row.{first}").isNull()
+    return each.filter(~lost).select("_row.*", "folder"), bad.unionByName(each.filter(lost).select("folder", F.to_json("_row").alias("_bad"), "file"))
 
 
 def duplicate_index(rows: DataFrame, keys: Sequence[str] = ("folder", "index")) -> DataFrame:
@@ -49,9 +61,10 @@ def duplicate_index(rows: DataFrame, keys: Sequence[str] = ("folder", "index"))
 def write_artifacts(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> None:
     """Replace the artifacts of exactly the chapters in ``df``; members they no longer have disappear.
 
-    Only the partitions present in ``df`` are overwritten, each in one commit.
+    Only the partitions present in ``df`` are overwritten, each in one commit. A chapter too large for one task is split
+    over several by adaptive execution, which gives it several files.
     """
-    (df.repartition(*keys).write.partitionBy(*keys).mode("overwrite")
+    (df.hint("rebalance", *keys).write.partitionBy(*keys).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").format(fmt).save(path))
 
 

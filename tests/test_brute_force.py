@@ -419,6 +419,27 @@ def test_margin_comes_after_grouping(spark):
     assert got == [(0, 0, 30, 30, 1), (20, 12, 60, 52, 1)]
 
 
+def test_artifact_families(spark, tmp_path):
+    """Literal files in the shape of their families; what is corrupt or lacks its key comes out apart."""
+    from stripweave.sources import artifacts as ar
+
+    files = {"a/scenes.json": '{"model": "m",\n "scenes": [{"index": 0, "narration": "x", "panel_ids": [1]}, {"narration": "lost"}]}', "b/scenes.json": '{"scenes": [{"index": 1', "c/scenes.json": '{"model": "m"}', "d/scenes.json": "[]",
+             "a/reference.json": '{"strip": "s.webp",\n "crops": [{"label": "one", "y0": 5, "y1": 9}]}', "a/panels.json": '[{"index": 0, "y_start": 0},\n {"index": 1, "y_start": 7}]', "b/panels.json": "no json",
+             "a/characters.json": '{"series": "t1",\n "episode_no": 3, "characters": [{"name": "K", "also_called": ["L"], "who": "w"}], "tail": "end"}'}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows, bad = ar.read_artifacts(spark, str(tmp_path / "*" / "scenes.json"), "scenes")
+    assert [(r.folder, r["index"], r.narration, r.panel_ids) for r in rows.collect()] == [("a", 0, "x", [1])]
+    assert {r.folder for r in bad.collect()} >= {"a", "b", "c"}
+    rows, bad = ar.read_artifacts(spark, str(tmp_path / "*" / "reference.json"), "reference")
+    assert [(r.folder, r.label, r.y0, r.y1) for r in rows.collect()] == [("a", "one", 5, 9)] and bad.count() == 0
+    rows, bad = ar.read_artifacts(spark, str(tmp_path / "*" / "panels.json"), "panels")
+    assert sorted((r.folder, r["index"], r.y_start) for r in rows.collect()) == [("a", 0, 0), ("a", 1, 7)] and [r.folder for r in bad.collect()] == ["b"]
+    rows, _ = ar.read_artifacts(spark, str(tmp_path / "*" / "characters.json"), "characters")
+    assert [(r.series, r.episode_no, r.characters[0].name) for r in rows.collect()] == [("t1", 3, "K")]
+
+
 PROPERTY = ["e2_nms", "e3_merge_tile_hits", "e4_fuse_boxes", "e17_extract_figures", "f5_claim_keyframes", "f8_enforce_order", "g1_merge_entities", "g3_series_cards"]
 
 
