@@ -270,19 +270,38 @@ def background_palette(row_means: DataFrame, flat_std: float = 5.0, min_share: f
         "strip", "pos", "_k.r", "_k.g", "_k.b")
 
 
+def _p99(xs: Column) -> Column:
+    """99th percentile of a sorted array, interpolated."""
+    at = (F.size(xs) - 1) * F.lit(0.99)
+    lo = F.floor(at).cast("int")
+    low, high = F.element_at(xs, lo + 1), F.element_at(xs, F.least(lo + 2, F.size(xs)))
+    return low + (high - low) * (at - lo)
+
+
+def strip_background_score(rows: DataFrame, palette: DataFrame, scale: float = 48.0, ink: float = 64.0) -> DataFrame:
+    """Background score and ink flag of each colour row ``(strip, y, r, g, b)``, against its own strip's colours.
+
+    ``palette (strip, r, g, b)`` as from :func:`background_palette`, a bounded list per strip. A pixel is as far from a
+    colour as its farthest channel; the nearest colour counts.
+    """
+    listed = palette.groupBy("strip").agg(F.collect_list(F.struct("r", "g", "b")).alias("_p"))
+    each = rows.join(listed, "strip").select("strip", "y", "r", "g", "b", F.explode("_p").alias("_k"))
+    def apart(c: str) -> Column:
+        return F.transform(c, lambda x: F.abs(x - F.col(f"_k.{c}")).cast("double"))
+
+    far = F.zip_with(F.zip_with(apart("r"), apart("g"), lambda a, b: F.greatest(a, b)), apart("b"), lambda a, b: F.greatest(a, b))
+    sorted_ = once(each.select("strip", "y", far.alias("_f")), _d=F.array_sort("_f"))
+    near = sorted_.groupBy("strip", "y").agg(F.least(F.min(_p99(F.col("_d"))), F.lit(255.0)).alias("_best"), F.least(F.min(F.element_at("_d", -1)), F.lit(255.0)).alias("_worst"))
+    return near.select("strip", "y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_best") / scale)).alias("score"), (F.col("_worst") > ink).alias("ink"))
+
+
 def row_background_score(rows: DataFrame, palette: Sequence[int] = (255, 0), scale: float = 48.0, ink: float = 64.0) -> DataFrame:
     """Background score and ink flag of each row, against the grey levels of ``palette``."""
     def far(level: int) -> Column:
         return F.array_sort(F.transform("px", lambda x: F.abs(x - level).cast("double")))
 
-    def p99(xs: Column) -> Column:
-        at = (F.size(xs) - 1) * F.lit(0.99)
-        lo = F.floor(at).cast("int")
-        low, high = F.element_at(xs, lo + 1), F.element_at(xs, F.least(lo + 2, F.size(xs)))
-        return low + (high - low) * (at - lo)
-
     sorted_ = once(rows, **{f"_d{i}": far(c) for i, c in enumerate(palette)})
-    best = F.least(*[p99(F.col(f"_d{i}")) for i in range(len(palette))], F.lit(255.0))
+    best = F.least(*[_p99(F.col(f"_d{i}")) for i in range(len(palette))], F.lit(255.0))
     worst = F.least(*[F.element_at(f"_d{i}", -1) for i in range(len(palette))], F.lit(255.0))
     return sorted_.select("strip", "y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - best / scale)).alias("score"),
                           (worst > ink).alias("ink"))

@@ -154,6 +154,22 @@ def d10(spark, d):
     return strips.row_background_score(v.strip_rows(spark, d), (255, 0, 128), ink=40).withColumns(r6("score"))
 
 
+COLOURS = """co AS (SELECT strip, y, px AS r, list_transform(px, lambda x: 255 - x) AS g, list_transform(px, lambda x: x // 2) AS b FROM strip_rows),
+  pa AS (SELECT DISTINCT strip, unnest([{'r': 255, 'g': 255, 'b': 255}, {'r': 0, 'g': 0, 'b': 0}, {'r': 100 + strip % 90, 'g': 120, 'b': 64}]) AS k FROM strip_rows),
+  de AS (SELECT strip, y, list_transform(range(1, len(r) + 1), lambda i: CAST(greatest(abs(r[i] - k.r), abs(g[i] - k.g), abs(b[i] - k.b)) AS DOUBLE)) AS d FROM co JOIN pa USING (strip))"""
+
+
+@query("d10_strip_background", v.sql("strip_rows", f"""WITH {COLOURS}, ne AS (SELECT strip, y, least(min(list_aggregate(d, 'quantile_cont', 0.99)), 255) AS best, least(min(list_max(d)), 255) AS worst FROM de GROUP BY strip, y)
+  SELECT strip, y, round(greatest(0.0, least(1.0, 1 - best / 48.0)), 6) AS score, worst > 64 AS ink FROM ne"""))
+def d10b(spark, d):
+    """Every strip against white, black and a colour of its own."""
+    rows = v.strip_rows(spark, d)
+    colour = rows.select("strip", "y", F.col("px").alias("r"), F.transform("px", lambda x: 255 - x).alias("g"), F.transform("px", lambda x: F.floor(x / 2).cast("int")).alias("b"))
+    own = F.array(*[F.struct(r.cast("int").alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b")) for r, g, b in ((F.lit(255), 255, 255), (F.lit(0), 0, 0), (100 + F.col("strip") % 90, 120, 64))])
+    palette = rows.select("strip").distinct().select("strip", F.explode(own).alias("k")).select("strip", "k.*")
+    return strips.strip_background_score(colour, palette).withColumns(r6("score"))
+
+
 def _scores(spark, d):
     """Row scores with long background stretches, from the mean of each pixel row."""
     rows = v.strip_rows(spark, d).withColumn("_s", F.aggregate("px", F.lit(0), lambda a, x: a + x))
