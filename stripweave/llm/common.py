@@ -51,10 +51,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_slot: list = []
+
+
+def slot(owner, make):
+    """What a worker process keeps between batches for ``owner``; only the last owner's is kept, whatever ran before."""
+    if not _slot or _slot[0] is not owner:
+        _slot[:] = [owner, make()]
+    return _slot[1]
+
+
 class HashedWords(dict):
     """Word -> 64-bit hash, computed once per distinct word; emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bounds, held, saved
+from .common import bounds, held, saved, slot
 
 #: About so many training documents of each language are counted.
 PER_LANG = 1_500
@@ -68,7 +68,7 @@ class Languages:
     def score(self, words: list[str]) -> np.ndarray:
         """Log score of each language for each word, relative to the word's best; -60 where the script rules it out."""
         cache, n = self.cache, len(self.langs)
-        if len(cache) > 300_000:
+        if len(cache) > 150_000:
             cache.clear()
         new = [w for w in dict.fromkeys(words) if w not in cache]
         if new:
@@ -218,9 +218,10 @@ def label_spans(docs: DataFrame, model: Languages, *, text: str = "text", into:
 
     @arrow_udf(RESULT)
     def scan(column: pa.Array) -> pa.Array:
+        model = slot(shared.value, lambda: replace(shared.value, cache={}, table=[]))
         rows = []
         for part in _parts(column.to_pylist()):
-            rows += _judge(shared.value, part)
+            rows += _judge(model, part)
         spans = [s for r in rows for s in r[2]]
         names = shared.value.langs
         span = pa.StructArray.from_arrays(
@@ -232,7 +233,7 @@ def label_spans(docs: DataFrame, model: Languages, *, text: str = "text", into:
     return docs.withColumn(into, scan(F.col(text).cast("string")))
 
 
-def _parts(texts, chars: int = 4_000_000):
+def _parts(texts, chars: int = 2_000_000):
     part, n = [], 0
     for t in texts:
         part.append(t)

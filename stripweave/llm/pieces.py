@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import U64, bounds, mix
+from .common import U64, bounds, mix, slot
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -34,7 +34,7 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 _ENDS = 4096
 _CELLS = 1_000_000
 #: Words whose ids a worker keeps between batches.
-_KEPT = 300_000
+_KEPT = 150_000
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -245,17 +245,14 @@ class Encoder:
         return out
 
 
-_state: dict = {}
-
-
 def _encoder(shared, rule: str) -> Encoder:
-    table = shared.value
-    if _state.get("table") is not table or _state["encoder"].rule != rule:
-        _state.update(table=table, encoder=Encoder(table, rule))
-    return _state["encoder"]
+    by_rule = slot(shared.value, dict)
+    if rule not in by_rule:
+        by_rule[rule] = Encoder(shared.value, rule)
+    return by_rule[rule]
 
 
-def _parts(texts, chars: int = 2_000_000):
+def _parts(texts, chars: int = 1_000_000):
     part, n = [], 0
     for t in texts:
         part.append(t)

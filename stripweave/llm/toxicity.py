@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held, saved
+from .common import held, saved, slot
 
 #: Bound on the labelled documents that the lexicon and the model are fitted on.
 SAMPLE = 20_000
@@ -40,7 +40,7 @@ ADDRESS = frozenset("you your you're youre u ur yourself du dich dein ihr sie tu
 QUOTES = "\"“”«»„"
 _SPACES = bytes(b if b >= 0x80 or chr(b).isalnum() or chr(b) in "*@$!'" else 0x20 for b in range(256))
 _TOKEN = re.compile(r"[\"“”«»„]|[\w*@$!']+")
-_EDGE = "*@$!'_"
+_EDGE = "*@$!'_‘’“”«»„…—–¿¡"
 RESULT = "struct<score: double, hits: int, quoted: int>"
 
 
@@ -124,7 +124,7 @@ class LexiconAutomaton:
 class _Matches(dict):
     """Word (bytes) -> match, worked out once per distinct word; emptied when it holds ``limit``."""
 
-    def __init__(self, automaton: LexiconAutomaton, limit: int = 400_000):
+    def __init__(self, automaton: LexiconAutomaton, limit: int = 200_000):
         super().__init__()
         self.automaton, self.limit = automaton, limit
 
@@ -254,38 +254,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, terms: int
     found = _lexicon(rows, n, terms)
     exact = [min(o, 8.0) / 4 for _, o in found]
     model = Toxicity([t for t, _ in found], [exact, _trusted(rows, [t for t, _ in found], exact, n)], [0.0] * 5)
-    x = rows.select(_scan(model)("text").alias("x"), "toxic").collect()
+    x = rows.select(_scan(docs.sparkSession.sparkContext.broadcast(model))("text").alias("x"), "toxic").collect()
     model.coef = [float(c) for c in _logistic(np.array([r["x"] for r in x]), np.array([r["toxic"] for r in x]))]
     return model
 
 
-def _scan(model: Toxicity):
+def _scan(shared):
     @arrow_udf("array<double>")
     def scan(column: pa.Array) -> pa.Array:
-        matches, weight = _ready(model)
+        matches, weight = slot(shared.value, lambda: _ready(shared.value))
         return pa.array([[float(v) for v in features(t, matches, weight)[0]] for t in column.to_pylist()], pa.list_(pa.float64()))
 
     return scan
 
 
-_cache: list = []
-
-
 def _ready(model: Toxicity):
-    """The worker's automaton for a model, kept between batches."""
-    if not _cache or _cache[0] != (model.terms, model.weight):
-        _cache[:] = [(model.terms, model.weight), (_Matches(LexiconAutomaton(model.terms)), model.weight)]
-    return _cache[1]
+    return _Matches(LexiconAutomaton(model.terms)), model.weight
 
 
 def score_texts(docs: DataFrame, model: Toxicity, *, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``into``: score 0 to 1, lexicon hits and how many of them read as quotation."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     @arrow_udf(RESULT)
     def scan(column: pa.Array) -> pa.Array:
-        matches, weight = _ready(model)
+        matches, weight = slot(shared.value, lambda: _ready(shared.value))
         rows = [features(t, matches, weight) for t in column.to_pylist()]
-        score = model.score(np.array([r[0] for r in rows], np.float64).reshape(-1, 4))
+        score = shared.value.score(np.array([r[0] for r in rows], np.float64).reshape(-1, 4))
         return pa.StructArray.from_arrays(
             [pa.array(score, pa.float64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["score", "hits", "quoted"])
 
