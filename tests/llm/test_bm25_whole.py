@@ -1,0 +1,77 @@
+import math
+import random
+
+import numpy as np
+
+from stripweave.llm import bm25 as S
+from stripweave.llm import queries as Q
+from tests.llm.nasty import documents
+from tests.llm.test_decontam import words
+
+
+def brute(docs, k):
+    """The k best of every document whose id is divisible by 20, asked with all its distinct words."""
+    docs = [(i, words(t)) for i, t in docs if i is not None]
+    n, mean = len(docs), sum(len(w) for _, w in docs) / len(docs)
+    df = {}
+    for _, w in docs:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+
+    def units(t, w):
+        tf, idf = w.count(t), math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+        return math.floor(S.UNIT * (idf * tf * (S.K1 + 1) / (tf + S.K1 * (1 - S.B + S.B * len(w) / mean))) + 0.5)
+
+    asked = {}
+    for i, w in docs:
+        if i % 20 == 0:
+            asked.setdefault(i, set()).update(w)
+    out = []
+    for q, own in asked.items():
+        found = sorted((-sum(units(t, w) for t in own & set(w)), i) for i, w in docs if own & set(w))
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+def _rows(df):
+    return sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"] * S.UNIT)) for r in df.collect())
+
+
+def test_query_of_many_words_is_asked_whole(spark, monkeypatch):
+    random.seed(6)
+    texts = [" ".join(random.choice("abcdefghijklmnopqrstuvwxyz") + random.choice("wxyz") for _ in range(random.randint(0, 60))) for _ in range(200)]
+    texts[100:112] = [texts[60]] * 12  # ties beyond k
+    rows = [(i, t) for i, t in enumerate(texts)] + [(220, None), (240, ""), (20, "ax by cz"), (None, "ax ax ax"), (-40, "Ax bY")]
+    docs = documents(spark, rows)
+    want = brute(rows, S.K)
+    monkeypatch.setattr(Q, "read", lambda *_: docs)
+    assert _rows(Q.op4_topk_search(spark, None)) == want
+    df, n, mean = S.statistics(docs)
+    asked = S.queries_from(docs.where("doc_id % 20 = 0").select("doc_id", "text"), df, n, mean, None)
+    assert max(r["count"] for r in asked.groupBy("query_id").count().collect()) > S.WALKED > S.QUERY_TERMS
+    assert _rows(S.search_in_place(docs, asked, n, mean, most=90, shard_docs=17)) == want
+    assert _rows(S.search(S.build_index(docs, shard_docs=17), asked, n, mean, query_block=3, group=2)) == want
+
+
+def test_document_without_the_twelve_best_words_is_found(spark):
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(12)]
+    rows = [(20, " ".join(common + rare)), (1, " ".join(common)), (2, " ".join(rare[:6])), (3, " ".join(rare[6:]))] + [(100 + 2 * i + 1, f"c{i} other") for i in range(30)]
+    got = [r[2] for r in _rows(S.search_report(documents(spark, rows), None)) if r[0] == 20]
+    assert got[:2] == [20, 1]
+
+
+def test_sums_are_wand():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        length, sums, walks = rng.integers(5, 60, 500), [], []
+        mean, idfs = length.mean(), rng.random(24) * 3
+        for shard in range(3):
+            ids, terms = np.arange(500) * 3 + shard, []
+            for idf in idfs:
+                docs = np.sort(rng.choice(500, rng.integers(1, 300), replace=False)).astype(np.int32)
+                tfs, cuts = rng.integers(1, 5, len(docs)).astype(np.int32), np.arange(0, len(docs), S.BLOCK)
+                bound = S.block_bounds(np.maximum.reduceat(tfs, cuts).astype(float), np.minimum.reduceat(length[docs], cuts).astype(float), idf, mean)
+                terms.append(S.Postings(docs, ids[docs], tfs, length[docs], bound, int(bound.max()), idf, mean))
+            S.best_in_shard(terms, 10, sums)
+            S.block_max_wand(terms, 10, walks)
+        assert sorted(sums) == sorted(walks)
