@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays, the one with the smallest id; links from similarity 0.8 on, bands sized for it."""
+    return neardup.drop_near_duplicates(docs, percent=80, bands=48, rows=4)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
