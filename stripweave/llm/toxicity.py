@@ -38,8 +38,8 @@ WINDOW = 8
 REPORTING = frozenset("said says say called calls quoted quote quotes wrote writes word words term slur insult report reported alleged sagte nannte dit appelé dijo llamó".split())
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dein ihr sie tu te toi vous votre usted eres ustedes".split())
 QUOTES = "\"“”«»„"
-_SPACES = bytes(b if b >= 0x80 or chr(b).isalnum() or chr(b) in "*@$!'" else 0x20 for b in range(256))
-_TOKEN = re.compile(r"[\"“”«»„]|[\w*@$!']+")
+#: The one cutting of texts: quotation marks, and runs of letters, digits and the signs that spell words.
+_TOKEN = re.compile(r"[\"“”«»„]|(?:[^\W_]|[*@$!'])+")
 _EDGE = "*@$!'_‘’“”«»„…—–¿¡"
 RESULT = "struct<score: double, hits: int, quoted: int>"
 
@@ -122,16 +122,16 @@ class LexiconAutomaton:
 
 
 class _Matches(dict):
-    """Word (bytes) -> match, worked out once per distinct word; emptied when it holds ``limit``."""
+    """Word -> match, worked out once per distinct word; emptied when it holds ``limit``."""
 
     def __init__(self, automaton: LexiconAutomaton, limit: int = 200_000):
         super().__init__()
         self.automaton, self.limit = automaton, limit
 
-    def __missing__(self, word: bytes):
+    def __missing__(self, word: str):
         if len(self) >= self.limit:
             self.clear()
-        self[word] = m = self.automaton.match(word.decode("utf-8", "replace").strip(_EDGE))
+        self[word] = m = self.automaton.match(word.strip(_EDGE))
         return m
 
 
@@ -139,13 +139,12 @@ def features(text: str | None, matches: _Matches, weight: list[list[float]]) ->
     """Hit sums of one whole text: direct, quoted, strongest, hits per word; and the hits, all and quoted."""
     if not text:
         return [0.0] * 4, 0, 0
-    low = text.lower()
-    if not any([matches[w] for w in low.encode().translate(_SPACES).split()]):
+    tokens = _TOKEN.findall(text.lower())
+    if not any([matches[w] for w in tokens]):
         return [0.0] * 4, 0, 0
-    tokens = _TOKEN.findall(low)
     marks = np.array([t in QUOTES for t in tokens])
     quotes = np.flatnonzero(marks)
-    hits = [(i, m) for i, t in enumerate(tokens) if not marks[i] and (m := matches[t.encode()]) and weight[min(m[0], 1)][m[1]]]
+    hits = [(i, m) for i, t in enumerate(tokens) if not marks[i] and (m := matches[t]) and weight[min(m[0], 1)][m[1]]]
     at = np.array([i for i, _ in hits])
     sums, strongest, quoted = [0.0, 0.0], 0.0, 0
     for i, (e, term) in hits:
@@ -185,14 +184,14 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def _lexicon(sample: DataFrame, n: tuple[int, int], most: int) -> list[tuple[str, float]]:
     def count(batches):
-        seen: dict[bytes, list[int]] = {}
+        seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in set((text or "").lower().encode().translate(_SPACES).split()):
+                for w in set(_TOKEN.findall((text or "").lower())):
                     seen.setdefault(w, [0, 0])[toxic] += 1
         words: dict[str, list[int]] = {}
         for w, c in seen.items():
-            if 3 <= len(t := w.decode("utf-8", "replace").strip(_EDGE)) <= 40:
+            if 3 <= len(t := w.strip(_EDGE)) <= 40:
                 own = words.setdefault(t, [0, 0])
                 own[0] += c[0]
                 own[1] += c[1]
@@ -218,7 +217,7 @@ def _trusted(sample: DataFrame, terms: list[str], exact: list[float], n: tuple[i
         matches, seen = _Matches(LexiconAutomaton(terms)), np.zeros((2, len(terms)), np.int64)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {m[1] for w in (text or "").lower().encode().translate(_SPACES).split() if (m := matches[w]) and m[0]}
+                own = {m[1] for w in _TOKEN.findall((text or "").lower()) if (m := matches[w]) and m[0]}
                 seen[toxic, list(own)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(seen[0]), pa.array(seen[1])], ["term", "clean", "toxic"])
 
