@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the columns of
 ``documents``. ``run`` applies them to the documents, each stage written as Parquet in the shared folder and read again,
 so a lost executor costs one stage at most. Null and empty texts: toxicity scores them like any text without
-hits, language ID rejects them (they have no language). Empty tables pass through every stage.
+hits, language ID rejects them (they have no letters). Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that holds half of their letters, go."""
+    """Documents without a letter, or without a span in a learned language, go; where none was learned, texts with letters stay."""
     return langid.keep_known(docs)
 
 

@@ -252,8 +252,15 @@ def language_report(docs: DataFrame) -> DataFrame:
         "doc_id", held(F.col("doc_id"), 3, 1).alias("held_out"), x["lang"].alias("lang_pred"), x["score"].alias("score"), F.size(x["spans"]).cast("bigint").alias("n_spans"))
 
 
-def keep_known(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """The documents in one known language: not ``und``, and at least ``least`` of the letters in its spans."""
-    judged = label_spans(docs, fit(docs), into="__language")
-    x = F.col("__language")
-    return judged.where((x["lang"] != "und") & (x["score"] >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents with a span in a learned language, in however many languages; where none was learned, those with a letter."""
+    model = fit(docs)
+    if not model.langs:
+
+        @arrow_udf("boolean")
+        def lettered(column: pa.Array) -> pa.Array:
+            return pa.array([t is not None and _WORD.search(t) is not None for t in column.to_pylist()], pa.bool_())
+
+        return docs.where(lettered(F.col("text").cast("string")))
+    judged = label_spans(docs, model, into="__language")
+    return judged.where(F.size(F.col("__language")["spans"]) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
