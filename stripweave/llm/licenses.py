@@ -7,6 +7,12 @@ Then a pair can only qualify if the template's prefix and the block's prefix sha
 block holds enough template words (length filter), and the words after the first shared one could still reach
 the overlap (positional filter). What passes is verified on the whole sets, so nothing is missed or invented.
 
+Notices also run over line ends, and a line may be a whole document. So for each template the report takes as blocks
+the lines of at most its ``SPREAD``-fold number of words, and every window of that many words of the text, whatever the
+lines (each start; a block of consecutive lines of that size lies inside one). The whole text goes through the same
+filters first: a window holds no more than the text. Overlapping windows that match are one notice, given
+beside the lines where it finds more than they do.
+
 Words of a block outside all templates cannot add to an overlap and are dropped first. Null and empty texts
 have no blocks; documents of any length are scanned whole; repeated documents are judged each.
 """
@@ -40,8 +46,11 @@ TEMPLATES = [
     ("reserved", "all rights reserved"),
 ]
 PERCENT = 85
+#: A notice may be spread over so many times its own number of words.
+SPREAD = 2
 RESULT = ("struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base: array<string>, "
-          "blocks: array<struct<block: int, label: string, containment: double>>>")
+          "blocks: array<struct<block: int, label: string, containment: double>>, "
+          "notices: array<struct<first: int, last: int, label: string, containment: double>>>")
 
 
 class Templates:
@@ -50,6 +59,7 @@ class Templates:
     def __init__(self, templates, frequency: dict[bytes, int], percent: int):
         self.sets = [frozenset(t.encode().translate(_WORD_BYTES).split()) for _, t in templates]
         self.labels = [label for label, _ in templates]
+        self.window = [SPREAD * len(t.encode().translate(_WORD_BYTES).split()) for _, t in templates]
         self.words = frozenset().union(*self.sets)
         self.rank = {w: i for i, w in enumerate(sorted(self.words, key=lambda w: (frequency.get(w, 0), w)))}
         self.need = [-(-percent * len(s) // 100) for s in self.sets]
@@ -78,6 +88,30 @@ class Templates:
                     out.append((t, shared / size))
         return sorted(out)
 
+    def runs(self, t: int, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """Overlapping windows of ``words`` that match template ``t``, joined: first and last word and the best containment.
+
+        Windows start at the template's words, as no other start holds more.
+        """
+        at = [i for i, w in enumerate(words) if w in self.sets[t]]
+        out: list[tuple[int, int, float]] = []
+        held: Counter = Counter()
+        end = 0
+        for start, i in enumerate(at):
+            while end < len(at) and at[end] < i + self.window[t]:
+                held[words[at[end]]] += 1
+                end += 1
+            if len(held) >= self.need[t]:
+                c = len(held) / len(self.sets[t])
+                if out and i <= out[-1][1]:
+                    out[-1] = (out[-1][0], at[end - 1], max(c, out[-1][2]))
+                else:
+                    out.append((i, at[end - 1], c))
+            held[words[i]] -= 1
+            if not held[words[i]]:
+                del held[words[i]]
+        return out
+
 
 def block_frequency(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict[bytes, int]:
     """How many blocks of the whole corpus hold each template word; the answer has a row per template word at most."""
@@ -113,19 +147,20 @@ def _places(words: list[bytes], phrases) -> list[tuple[int, str]]:
 
 
 def scan_blocks(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, percent: int = PERCENT, text: str = "text", into: str = "license") -> DataFrame:
-    """``docs`` with a struct ``into``: words, places of the base phrases, and every block that a template matches."""
+    """``docs`` with a struct ``into``: words, places of the base phrases, every line that a template matches (``blocks``), and
+    the notices: matching lines within a template's window, and runs of matching windows that find more (``notices``)."""
     index = Templates(templates, block_frequency(docs, templates, text), percent)
     spoken = [(p.encode().split(), label) for p, label in phrases.items()]
     asked = index.words.union(w for p, _ in spoken for w in p)
 
     @arrow_udf(RESULT)
     def scan(column: pa.Array) -> pa.Array:
-        n_words, n_base, first, last, base, base_n, hits, hit_n = [], [], [], [], [], [], [], []
+        n_words, n_base, first, last, base, base_n, hits, hit_n, notices, notice_n = [], [], [], [], [], [], [], [], [], []
         for t in binary(column):
             lines = [line.split() for line in (t or b"").translate(_KEEP_LINES).split(b"\n")]
             words = [w for line in lines for w in line]
             n_words.append(len(words))
-            here, own = set(), 0
+            here, own, start, close = set(), 0, 0, []
             for number, line in enumerate(lines):
                 found = asked.intersection(line)
                 if found:
@@ -133,7 +168,14 @@ def scan_blocks(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, percen
                     for k, c in index.matches(found & index.words):
                         hits.append((number, index.labels[k], c))
                         own += 1
+                        if len(line) <= index.window[k]:
+                            close.append((start, start + len(line) - 1, k, c))
+                start += len(line)
             hit_n.append(own)
+            more = [(a, b, k, c) for k, _ in index.matches(here & index.words) for a, b, c in index.runs(k, words)
+                    if c > max((x[3] for x in close if x[2] == k and x[0] <= b and a <= x[1]), default=0)]
+            notices += [(a, b, index.labels[k], c) for a, b, k, c in close + more]
+            notice_n.append(len(close) + len(more))
             places = _places(words, [p for p in spoken if here.issuperset(p[0])])
             n_base.append(len(places))
             first.append(min((a for a, _ in places), default=None))
@@ -144,11 +186,14 @@ def scan_blocks(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, percen
         block = pa.StructArray.from_arrays(
             [pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.string()), pa.array(np.array([h[2] for h in hits], np.float64))],
             ["block", "label", "containment"])
+        notice = pa.StructArray.from_arrays(
+            [pa.array([h[0] for h in notices], pa.int32()), pa.array([h[1] for h in notices], pa.int32()), pa.array([h[2] for h in notices], pa.string()),
+             pa.array(np.array([h[3] for h in notices], np.float64))], ["first", "last", "label", "containment"])
         return pa.StructArray.from_arrays(
             [pa.array(n_words, pa.int64()), pa.array(n_base, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()),
              pa.ListArray.from_arrays(pa.array(bounds(base_n), pa.int32()), pa.array(base, pa.string())),
-             pa.ListArray.from_arrays(pa.array(bounds(hit_n), pa.int32()), block)],
-            ["n_words", "n_base", "first_word", "last_word", "base", "blocks"])
+             pa.ListArray.from_arrays(pa.array(bounds(hit_n), pa.int32()), block), pa.ListArray.from_arrays(pa.array(bounds(notice_n), pa.int32()), notice)],
+            ["n_words", "n_base", "first_word", "last_word", "base", "blocks", "notices"])
 
     return docs.withColumn(into, scan(F.col(text).cast("string")))
 
@@ -160,12 +205,12 @@ def _joined(labels: Column) -> Column:
 def license_report(docs: DataFrame) -> DataFrame:
     """Digest per document; ``score`` is 1 where a base phrase stands, else the best containment found, else 0."""
     x = F.col("license")
-    found = F.transform(x["blocks"], lambda b: b["label"])
-    best = F.coalesce(F.array_max(F.transform(x["blocks"], lambda b: b["containment"])), F.lit(0.0))
+    found = F.transform(x["notices"], lambda b: b["label"])
+    best = F.coalesce(F.array_max(F.transform(x["notices"], lambda b: b["containment"])), F.lit(0.0))
     return scan_blocks(docs.select("doc_id", "text")).select(
         "doc_id", x["n_words"].alias("n_words"), x["n_base"].alias("n_base"), x["first_word"].alias("first_word"), x["last_word"].alias("last_word"),
         _joined(x["base"]).alias("base_labels"), _joined(F.concat(x["base"], found)).alias("labels"),
-        F.when(x["n_base"] > 0, 1.0).otherwise(best).alias("score"), F.size(x["blocks"]).cast("bigint").alias("n_blocks"))
+        F.when(x["n_base"] > 0, 1.0).otherwise(best).alias("score"), F.size(x["notices"]).cast("bigint").alias("n_blocks"))
 
 
 def _values(rows) -> str:
