@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bm25, chat, decontam, langid, licenses, neardup, pieces, reshard, toxicity, urlfilter
+from . import bm25, chat, decontam, langid, licenses, neardup, packing, pieces, reshard, toxicity, urlfilter
 from .common import read
 
 
@@ -48,6 +48,10 @@ def op4_topk_search(spark, d):
     return bm25.search_report(read(spark, d, "documents"), most=None)
 
 
+def op13_packing(spark, d):
+    return packing.packing_report(read(spark, d, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
@@ -60,6 +64,7 @@ QUERIES = {
     "op8_reshard": op8_reshard,
     "op9_near_dedup": op9_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_packing": op13_packing,
 }
 SQL = {
     "op4_topk_search": bm25.REPORT_SQL,
