@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bm25, chat, decontam, langid, licenses, neardup, packing, pieces, reshard, toxicity, urlfilter
+from . import bm25, chat, decontam, langid, licenses, neardup, packing, pieces, reshard, structure, toxicity, urlfilter
 from .common import read
 
 
@@ -48,6 +48,10 @@ def op4_topk_search(spark, d):
     return bm25.search_report(read(spark, d, "documents"), most=None)
 
 
+def op11_structure_repair(spark, d):
+    return structure.repair_report(read(spark, d, "conversations"))
+
+
 def op13_packing(spark, d):
     return packing.packing_report(read(spark, d, "documents"))
 
@@ -64,9 +68,11 @@ QUERIES = {
     "op8_reshard": op8_reshard,
     "op9_near_dedup": op9_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_structure_repair": op11_structure_repair,
     "op13_packing": op13_packing,
 }
 SQL = {
+    "op11_structure_repair": structure.REPORT_SQL,
     "op4_topk_search": bm25.REPORT_SQL,
     "op7_chat_format": chat.REPORT_SQL,
     "op5_url_filter": urlfilter.REPORT_SQL,
