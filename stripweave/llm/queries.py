@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bm25, chat, decontam, langid, licenses, neardup, packing, pieces, reshard, structure, toxicity, urlfilter
+from . import bm25, chat, decontam, langid, licenses, masks, neardup, packing, pieces, reshard, structure, toxicity, urlfilter
 from .common import read
 
 
@@ -52,6 +52,10 @@ def op11_structure_repair(spark, d):
     return structure.repair_report(read(spark, d, "conversations"))
 
 
+def op12_ranked_search(spark, d):
+    return masks.search_report(spark, d)
+
+
 def op13_packing(spark, d):
     return packing.packing_report(read(spark, d, "documents"))
 
@@ -69,9 +73,11 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_structure_repair": op11_structure_repair,
+    "op12_ranked_search": op12_ranked_search,
     "op13_packing": op13_packing,
 }
 SQL = {
+    "op12_ranked_search": masks.REPORT_SQL,
     "op11_structure_repair": structure.REPORT_SQL,
     "op4_topk_search": bm25.REPORT_SQL,
     "op7_chat_format": chat.REPORT_SQL,
