@@ -2,7 +2,7 @@
 
 * **Tokens**: a document is its tokenizer's ids and then ``END``. White space ends every pre-token of this tokenizer and is
   dropped, so texts are cut at ASCII blanks and each distinct word goes through the tokenizer once; a worker keeps the ids of
-  short words in a bounded table. A null text is an empty one.
+  short words in bounded tables. A null text is an empty one.
 * **Levels**: of a document the whole windows are cut off first. The rest, of ``s`` tokens, goes into an open window whose fill
   level ``h`` makes the sum over all levels of (open windows at the level) squared least; a new window is level 0, and a window
   that becomes full counts no more. Only the number of open windows a level is needed for this: one array of ``WINDOW`` counts.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import binary, slot
 
 WINDOW, END, OPEN = 4096, 2, 1024
-_KEPT, _SHORT = 400_000, 40
+_KEPT, _SHORT, _MARK = 500_000, 40, "|"
 _PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -36,33 +36,50 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """UTF-8 word without ASCII blanks -> its ids as little-endian 32-bit numbers; emptied when it holds too many."""
+class WordIds:
+    """Ids of UTF-8 texts as little-endian 32-bit numbers, each word between ASCII blanks encoded once while it is kept.
+
+    Words are kept in two generations of at most ``_KEPT``: a full younger one becomes the older, whose words that come again move on.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words together that are not known yet."""
-        new = [w for w in set(words).difference(self) if len(w) <= _SHORT]
-        if len(self) + len(new) > _KEPT:
-            self.clear()
-            new = [w for w in set(words) if len(w) <= _SHORT]
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def text(self, text: bytes | None) -> bytes:
-        words = text.split() if text else []  # bytes: splits at ASCII blanks alone
-        self.learn(words)
-        return b"".join(map(self.__getitem__, words))
+        self.mark = np.array(self._ids([_MARK])[0], "<u4").tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Encode many words in one text, a mark between any two; those that hold the mark one by one."""
+        plain = [w for w in words if b"|" not in w]
+        for lo in range(0, len(plain), 500):
+            some = plain[lo : lo + 500]
+            flat = np.array(self._ids([f" {_MARK} ".join(w.decode() for w in some)])[0], "<u4")
+            cut = [-1, *np.flatnonzero(flat == np.frombuffer(self.mark, "<u4")[0]).tolist(), len(flat)]
+            raw = flat.tobytes()
+            into.update((w, raw[4 * (a + 1) : 4 * b]) for w, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+        odd = [w for w in words if b"|" in w]
+        into.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(odd, self._ids([w.decode() for w in odd])))
+
+    def texts(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text; words are looked up and learned together."""
+        cut = [t.split() if t else [] for t in texts]  # bytes: splits at ASCII blanks alone
+        young, old = self.young, self.old
+        new = set().union(*cut).difference(young)
+        again = new.intersection(old)
+        young.update((w, old[w]) for w in again)
+        new -= again
+        self._learn([w for w in new if len(w) <= _SHORT], young)
+        rare: dict[bytes, bytes] = {}
+        self._learn([w for w in new if len(w) > _SHORT], rare)
+        out = [b"".join(map(young.__getitem__, words)) if rare.keys().isdisjoint(words) else b"".join([rare[w] if w in rare else young[w] for w in words]) for words in cut]
+        if len(young) > _KEPT:
+            self.young, self.old = {}, young
+        return out
 
 
 class Packer:
@@ -161,6 +178,17 @@ class Packer:
             held, left = rest, left - size
 
 
+def _some(ids: list, texts: list[bytes | None]):
+    """Consecutive documents of a few megabytes together; a longer one alone."""
+    lo = size = 0
+    for hi, text in enumerate(texts):
+        size += len(text or b"")
+        if size > 4_000_000:
+            yield ids[lo : hi + 1], texts[lo : hi + 1]
+            lo, size = hi + 1, 0
+    yield ids[lo:], texts[lo:]
+
+
 def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, limit: int = OPEN, end: int = END) -> DataFrame:
     """One row per piece: doc_id, start (tokens of its document before it), length, ids (little-endian 32-bit numbers), doc_tokens, sequence_id, offset.
 
@@ -188,8 +216,9 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
                     ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1))):
-                packer.add(doc_id, words.text(text) + last)
+            for ids, texts in _some(batch.column(0).to_pylist(), binary(batch.column(1))):
+                for doc_id, own in zip(ids, words.texts(texts)):
+                    packer.add(doc_id, own + last)
                 if len(packer.out) >= 2048:
                     yield from rows()
         packer.end()

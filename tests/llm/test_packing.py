@@ -110,9 +110,12 @@ def test_sequences_hold_the_ids(spark):
     assert all(len(r["ids"]) == len(r["segments"]) and len(r["ids"]) & (len(r["ids"]) - 1) == 0 for r in rows.values())
 
 
-def test_words_are_kept_within_bounds():
-    w = WordIds(open(tokenizer_file(), encoding="utf-8").read())
+def test_words_are_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr("stripweave.llm.packing._KEPT", 50)
     t = Tokenizer.from_file(tokenizer_file())
-    text = "Ab ab " + "z" * 100 + "\tq\n"
-    assert np.frombuffer(w.text(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
-    assert all(len(k) <= 40 for k in w)
+    w = WordIds(open(tokenizer_file(), encoding="utf-8").read())
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["Ab", "|", "<|endoftext|>", " ", " ", "\t", "\n", "\x0b", "é", "́", "\u2003", "7", "'s", "…", "z" * 60, "ß", "𝒳", "\x00", "Σ", str(rng.randrange(1000))]) for _ in range(rng.choice([1, 5, 60])))
+        assert np.frombuffer(w.texts([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+        assert all(len(k) <= 40 for k in w.young) and len(w.young) <= 200 and len(w.old) <= 250
