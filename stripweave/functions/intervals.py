@@ -6,17 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stripweave.functions.ordered import join_on
+
 SALTS = 64
 
 
 def on_group(df: DataFrame, facts: DataFrame, keys: Sequence[str], spread: Column, hot: bool, how: str = "inner") -> DataFrame:
-    """Attach one row of facts per group. In hot groups the rows are spread over salts first."""
+    """Attach one row of facts per group. In hot groups the rows are spread over salts first. A null key is a key like any other."""
     keys = list(keys)
     if not hot:
-        return df.join(facts, keys, how)
-    salted = df.withColumn("_salt", F.pmod(spread.cast("long"), F.lit(SALTS)).cast("int"))
+        return join_on(df, facts, keys, how)
+    salted = df.withColumn("_salt", F.coalesce(F.pmod(spread.cast("long"), F.lit(SALTS)), F.lit(0)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return join_on(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def points_in(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, start: Column, end: Column,

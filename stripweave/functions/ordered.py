@@ -27,22 +27,25 @@ DEFAULT_CHUNK_ROWS = 65_536
 _largest: dict[tuple, int] = {}
 
 
-def _files(df: DataFrame) -> tuple | None:
-    """The files a plan reads, with lengths and times of change; None where it reads anything else."""
+def _sizes(df: DataFrame) -> tuple | None:
+    """Bytes of each stored table a plan reads, one number a table; None where it reads anything else."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     found = []
     for i in range(leaves.size()):
         leaf = leaves.apply(i)
         if not leaf.getClass().getSimpleName().startswith("LogicalRelation"):
             return None
-        found.append(leaf.relation().location().allFiles().toString())
+        found.append(leaf.relation().location().sizeInBytes())
     return tuple(found)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; counted again unless the plan and the very files it reads are the same."""
+    """Rows of the largest group; counted again unless the plan and the sizes of the tables it reads are the same.
+
+    Only the form of a plan depends on this, never its rows, so a table rewritten with the same size costs no more than speed.
+    """
     probe = df.groupBy(*keys).count().agg(F.max("count").alias("n"))
-    files = _files(df)
+    files = _sizes(df)
     mark = None if files is None else (df.sparkSession.sparkContext.applicationId, probe.semanticHash(), files)
     if mark is not None and mark in _largest:
         return _largest[mark]
@@ -251,6 +254,19 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumn("_once", packed).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in names])
 
 
+def spread(df: DataFrame, low: Column, high: Column, step: Column | int, name: str, span: int = 1024) -> DataFrame:
+    """A row for each of ``low, low + step, .. <= high`` in the long column ``name``; none where ``high`` is lower or null.
+
+    Made in two levels, stretches and then at most ``span`` values of each, so no array grows with the range.
+    """
+    step = F.lit(step) if isinstance(step, int) else step
+    far = df.withColumns({"_sp0": low.cast("long"), "_sp1": high.cast("long"), "_sps": step.cast("long")}).filter("_sp1 >= _sp0")
+    wide = F.col("_sps") * span
+    cut = far.withColumn("_spc", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_sp1") - F.col("_sp0")) / (wide * span)))))
+    cut = cut.withColumn("_spd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(span - 1).cast("long")))).withColumn("_spa", F.col("_sp0") + (F.col("_spc") * span + F.col("_spd")) * wide).filter("_spa <= _sp1")
+    return cut.withColumn(name, F.explode(F.sequence("_spa", F.least(F.col("_sp1"), F.col("_spa") + wide - F.col("_sps")), F.col("_sps")))).drop("_sp0", "_sp1", "_sps", "_spc", "_spd", "_spa")
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per group, the first by ``order``; combines before the shuffle, so hot keys are safe."""
     rest = [c for c in df.columns if c not in keys]

@@ -154,6 +154,7 @@ def call_stats(calls: DataFrame, hot: bool | None = None) -> DataFrame:
 
 # Waits between attempts, and the longest wait, in seconds.
 BACKOFF, LONGEST_WAIT = [2.0, 4.0, 8.0, 16.0], 65.0
+# How a service words the wait it asks for.
 HINTS = [r"(?i)retry in ([\d.]+)\s*s", r"(?i)retryDelay['\"]?\s*[:=]\s*['\"]?([\d.]+)s"]
 
 

@@ -76,6 +76,7 @@ def generic_opening(text: Column, patterns: Sequence[str] = GENERIC_INTRO) -> Co
 def scrub_text(text: Column) -> Column:
     """Text without the most frequent describing phrases, sentences capitalised again."""
     head = r"(^|[.!?]\s+)"
+    # The describing phrases that go.
     for p, r in [
         (head + r"in (?:this|the|that) (?:panel|panels|scene|image|frame|picture|illustration|shot|page),?\s+", "$1"),
         (head + r"(?:here|ici),?\s+", "$1"),

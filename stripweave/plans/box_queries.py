@@ -164,7 +164,41 @@ def _pixel_zones(b):
         (F.col("list") == "keep") | (F.col("idx") % 2 == 0))
 
 
-@query("e9_classify_constraints")
+def _snapped(name: str, asked: str) -> str:
+    """Keep rows of ``asked`` (block, k0, k1) grown to every head and attached bubble they touch: the island of each among all spans."""
+    return f"""{name}_s AS (SELECT block, k0 AS y0, k1 AS y1, true AS own FROM {asked} UNION ALL SELECT block, y0, y1, false FROM tb WHERE role IN ('head', 'attached') AND y1 > y0),
+  {name}_t AS (SELECT block, y0, max(y1) AS y1, bool_or(own) AS own FROM {name}_s GROUP BY block, y0),
+  {name}_r AS (SELECT *, max(y1) OVER (PARTITION BY block ORDER BY y0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {name}_t),
+  {name}_g AS (SELECT *, sum(CASE WHEN reach IS NULL OR y0 >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY block ORDER BY y0 ROWS UNBOUNDED PRECEDING) AS isl FROM {name}_r),
+  {name} AS (SELECT block, min(y0) AS k0, max(y1) AS k1 FROM {name}_g GROUP BY block, isl HAVING bool_or(own))"""
+
+
+# typed boxes ``tb`` and keep rows by policy ``rg`` from blocks ``bl``, boxes ``bb`` and zones ``zz``
+CONSTRAINTS = f"""ins AS (SELECT bb.block, bb.idx, bool_or(zz.kind = 'narration') AS narr FROM bb JOIN zz ON zz.block = bb.block AND zz.list = 'drop' AND zz.kind IN ('narration', 'detached_bubble')
+    WHERE least(bb.y1, zz.y1) - greatest(bb.y0, zz.y0) > 0 AND least(bb.y1, zz.y1) - greatest(bb.y0, zz.y0) >= 0.5 * greatest(1, bb.y1 - bb.y0) GROUP BY bb.block, bb.idx),
+  roles AS (SELECT bb.*, height, width, CASE WHEN kind IN ('head', 'person') THEN kind WHEN kind = 'bubble' THEN CASE WHEN narr IS NULL THEN 'attached' ELSE 'excluded' END WHEN kind = 'narration' OR narr THEN 'narration' ELSE 'sfx' END AS role
+    FROM bb LEFT JOIN ins ON ins.block = bb.block AND ins.idx = bb.idx JOIN bl ON bl.block = bb.block),
+  padded AS (SELECT block, CASE WHEN role = 'head' THEN greatest(0, y0 - round_even(0.08 * (y1 - y0), 0)) ELSE y0 END AS y0, CASE WHEN role = 'head' THEN least(height, y1 + round_even(0.08 * (y1 - y0), 0)) ELSE y1 END AS y1, role FROM roles),
+  loud AS (SELECT zz.block, list({{'zone': zz.zone, 'y0': zz.y0, 'y1': zz.y1, 'c0': greatest(0, zz.y0), 'c1': least(height, zz.y1)}} ORDER BY zz.zone) AS l FROM zz JOIN bl ON bl.block = zz.block
+    WHERE list = 'drop' AND kind = 'sfx' AND NOT EXISTS (SELECT 1 FROM padded p WHERE p.block = zz.block AND p.role = 'sfx' AND p.y1 > p.y0 AND zz.y1 > zz.y0 AND least(p.y1, zz.y1) > greatest(p.y0, zz.y0)) GROUP BY zz.block),
+  apart AS (SELECT block, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: least(k.c1, x.y1) > greatest(k.c0, x.y0))) > 0 THEN acc ELSE list_append(acc, x) END, l[1:0])) AS k FROM loud),
+  tb AS (SELECT block, CAST(y0 AS BIGINT) AS y0, CAST(y1 AS BIGINT) AS y1, role FROM padded UNION ALL SELECT block, k.c0, k.c1, 'sfx' FROM apart),
+  asked AS (SELECT block, CAST(min(y0) AS BIGINT) AS k0, CAST(max(y1) AS BIGINT) AS k1 FROM zz WHERE list = 'keep' GROUP BY block),
+  {_snapped('base', 'asked')},
+  tx AS (SELECT base.block, base.k0, base.k1, tb.y0 AS b0, tb.y1 AS b1, (tb.y0 + tb.y1) / 2.0 >= (k0 + k1) / 2.0 AS low FROM base JOIN tb ON tb.block = base.block AND tb.role IN ('excluded', 'narration') AND tb.y1 > tb.y0 AND k1 > k0 AND least(k1, tb.y1) > greatest(k0, tb.y0)),
+  cf AS (SELECT block, any_value(k0) AS k0, any_value(k1) AS k1, count(*) AS conflicts, min(b0) AS t0, max(b1) AS t1, min(b0) FILTER (low) AS c1, max(b1) FILTER (NOT low) AS c0 FROM tx GROUP BY block),
+  texts AS (SELECT block, least(k0, t0) AS k0, greatest(k1, t1) AS k1 FROM cf),
+  {_snapped('wide', 'texts')},
+  trim AS (SELECT cf.block, k0, k1, greatest(k0, coalesce(c0, k0)) AS n0, least(k1, coalesce(c1, k1)) AS n1, conflicts, height FROM cf JOIN bl ON bl.block = cf.block),
+  rg AS (SELECT block, policy, greatest(0, k0) AS k0, least(height, k1) AS k1, conflicts FROM (
+    SELECT base.block, unnest(['default', 'sfx_whole']) AS policy, base.k0, base.k1, coalesce(conflicts, 0) AS conflicts, height FROM base JOIN bl ON bl.block = base.block LEFT JOIN cf ON cf.block = base.block
+    UNION ALL SELECT cf.block, 'keep_text', wide.k0, wide.k1, conflicts, height FROM cf JOIN wide ON wide.block = cf.block JOIN bl ON bl.block = cf.block
+    UNION ALL SELECT block, 'cut_subject', n0, n1, conflicts, height FROM trim WHERE n1 - n0 >= 0.2 * height AND NOT EXISTS (SELECT 1 FROM tb WHERE tb.block = trim.block AND role = 'head' AND tb.y1 > tb.y0 AND k1 > k0 AND least(k1, tb.y1) > greatest(k0, tb.y0) AND (tb.y0 < n0 OR tb.y1 > n1))))"""
+
+
+@query("e9_classify_constraints", v.sql("boxes", f"""WITH bl AS (SELECT DISTINCT block, 920 AS height, 800 AS width FROM boxes), bb AS (SELECT block, idx, y0, y1, kind FROM boxes),
+  zz AS (SELECT block, idx AS zone, CASE WHEN kind = 'person' THEN 'keep' ELSE 'drop' END AS list, y0 + 10 AS y0, y0 + 70 AS y1, ['narration', 'detached_bubble', 'sfx'][idx % 3 + 1] AS kind FROM boxes WHERE kind = 'person' OR idx % 2 = 0),
+  {CONSTRAINTS} SELECT block, policy, CAST(k0 AS BIGINT) AS k0, CAST(k1 AS BIGINT) AS k1, CAST(conflicts AS BIGINT) AS conflicts FROM rg"""))
 def e9(spark, d):
     b = v.boxes(spark, d)
     blocks = b.select("block").distinct().select("block", F.lit(920).alias("height"), F.lit(800).alias("width"))
@@ -183,6 +217,13 @@ def e10(spark, d):
     return bx.boundary_counts(b, b.select("block").distinct().withColumn("height", F.lit(700)), hot_blocks(spark, d))
 
 
+ENERGY = """near AS (SELECT strip, y, px, lag(px) OVER w AS up, lead(px) OVER w AS down FROM strip_rows WINDOW w AS (PARTITION BY strip ORDER BY y)),
+  diff AS (SELECT strip, y, CASE WHEN up IS NULL OR down IS NULL THEN list_transform(px, lambda x: 0) ELSE list_transform(list_zip(down, up), lambda t: t[1] - t[2]) END AS d FROM near),
+  pad AS (SELECT strip, y, list_concat([d[2]], d, [d[len(d) - 1]]) AS d FROM diff),
+  e0 AS (SELECT strip, y, list_avg(list_transform(range(2, len(d)), lambda i: abs(d[i - 1] + 2 * d[i] + d[i + 1]))) AS e FROM pad),
+  en AS (SELECT strip AS block, y, e / (max(e) OVER (PARTITION BY strip) + 1e-6) AS e FROM e0)"""
+
+
 # Blocks, boxes and zones on the strips, for the search: a box every 7 rows, zones every 25.
 class Strips:
     def __init__(self, spark, d, width=40):
@@ -205,22 +246,53 @@ class Strips:
         return bx.classify_constraints(self.blocks, self.boxes, self.zones)
 
 
-@query("e11_search_windows")
+# the strips as blocks ``bl``, boxes ``bb`` and zones ``zz``
+STRIPS = """bl AS (SELECT strip AS block, max(y) + 1 AS height, {width} AS width FROM strip_rows GROUP BY strip),
+  bb AS (SELECT strip AS block, y AS idx, y AS y0, y + 4 AS y1, {kind} AS kind FROM strip_rows WHERE y % 7 = 0),
+  zz AS (SELECT strip AS block, y AS zone, CASE WHEN y % 25 = 5 THEN 'keep' ELSE 'drop' END AS list, y AS y0, CASE WHEN y % 25 = 5 THEN y + 12 ELSE y + 3 END AS y1, ['narration', 'detached_bubble', 'sfx'][px[3] % 3 + 1] AS kind, {priority} AS priority FROM strip_rows WHERE y % 25 IN (5, 20))"""
+KIND = "[" + ", ".join(f"'{k}'" for k in v.KINDS) + "][px[2] % 6 + 1]"
+
+# every window of an allowed height, with its score (``strict`` where it cuts nothing and covers the keep rows), for each (block, policy) of ``fc``
+SCORES = f"""row_weight AS (SELECT block, policy, y, max(w) AS w FROM (SELECT fc.block, policy, unnest(range(greatest(0, zz.y0), least(height, zz.y1))) AS y, CASE WHEN zz.kind <> 'sfx' THEN 3.0 ELSE 1.0 END AS w FROM zz JOIN fc ON fc.block = zz.block
+    WHERE list = 'drop' AND NOT (policy = 'keep_text' AND EXISTS (SELECT 1 FROM tx WHERE tx.block = zz.block AND least(tx.b1, zz.y1) - greatest(tx.b0, zz.y0) > 0 AND least(tx.b1, zz.y1) - greatest(tx.b0, zz.y0) >= 0.5 * greatest(1, tx.b1 - tx.b0)))) GROUP BY block, policy, y),
+  hs AS (SELECT *, least(CAST(ceil(width / 1.35) AS BIGINT), height) AS lo, least(CAST(floor(width / 0.55) AS BIGINT), height) AS hi FROM fc),
+  win AS (SELECT *, y0 + h AS y1, (h = hi OR (h - lo) % 4 = 0) AND (y0 % 4 = 0 OR y0 + h = height) AS coarse FROM (SELECT *, unnest(range(0, height - h + 1)) AS y0 FROM (SELECT *, unnest(range(lo, hi + 1)) AS h FROM hs))),
+  cut AS (SELECT w.block, w.policy, w.y0, w.y1, coalesce(sum(n) FILTER (role IN ('attached', 'excluded', 'narration') OR (role = 'sfx' AND w.policy = 'sfx_whole')), 0) AS bc, coalesce(sum(n) FILTER (role = 'sfx' AND w.policy <> 'sfx_whole'), 0) AS sc, coalesce(sum(n) FILTER (role = 'head'), 0) AS hc,
+      coalesce(sum((least(greatest(w.y0 - t0, 0), t1 - t0) + least(greatest(t1 - w.y1, 0), t1 - t0)) / greatest(1.0, t1 - t0)) FILTER (role = 'person' AND (k0 IS NULL OR least(k1, t1) > greatest(k0, t0))), 0) AS pc
+    FROM (SELECT w.*, tb.role, tb.y0 AS t0, tb.y1 AS t1, CAST(tb.y0 < w.y0 AND w.y0 < tb.y1 AS INT) + CAST(tb.y0 < w.y1 AND w.y1 < tb.y1 AS INT) AS n FROM win w LEFT JOIN tb ON tb.block = w.block) w GROUP BY w.block, w.policy, w.y0, w.y1),
+  lost AS (SELECT w.block, w.policy, w.y0, w.y1, coalesce(sum(r.w), 0) AS dropped FROM win w LEFT JOIN row_weight r ON r.block = w.block AND r.policy = w.policy AND r.y >= w.y0 AND r.y < w.y1 GROUP BY w.block, w.policy, w.y0, w.y1),
+  part AS (SELECT win.*, bc, sc, hc, pc, dropped, coalesce(k1 - k0, 0) > 0 AS has, coalesce(CASE WHEN win.y0 > 0 THEN u.e END, 0) + coalesce(CASE WHEN win.y1 < height THEN l.e END, 0) AS e FROM win JOIN cut USING (block, policy, y0, y1) JOIN lost USING (block, policy, y0, y1)
+    LEFT JOIN en u ON u.block = win.block AND u.y = win.y0 LEFT JOIN en l ON l.block = win.block AND l.y = win.y1),
+  cov AS (SELECT *, CASE WHEN has THEN greatest(0, least(y1, k1) - greatest(y0, k0)) / CAST(k1 - k0 AS DOUBLE) ELSE 1.0 END AS cover, CAST(width AS DOUBLE) AS wd FROM part),
+  sco AS (SELECT *, bc = 0 AND hc = 0 AND cover >= 0.98 - 1e-9 AS strict, cover - dropped / height - 0.35 * CASE WHEN has THEN (h - (k1 - k0)) / CAST(height AS DOUBLE) ELSE h / CAST(height AS DOUBLE) END - 0.15 * e
+    - 1.5 * greatest(0.0, greatest(wd / 1.05 - h, h - wd / 0.62)) / wd - 0.3 * abs(wd / h - 2 / 3) - 0.5 * sc - 0.3 * pc - bc - 3 * hc AS score, greatest(1, round_even(40 * wd / 575, 0)) AS gap FROM cov)"""
+
+
+def _picked(usable: str) -> str:
+    """The three best windows that differ: seeds among the coarse ones, windows near the seeds, then one after the other. ``usable`` says what counts where ``anys`` tells whether the block has a strict window."""
+    near = "abs(p.y0 - q.y0) <= p.gap AND abs(p.y1 - q.y1) <= p.gap"
+    picks = ", ".join(f"""p{n} AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.block, p.policy ORDER BY round(p.score, 9) DESC, p.y0, p.y1) AS rn FROM pool p
+      WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(['SELECT block, policy, y0, y1 FROM pool WHERE false', *(f'SELECT block, policy, y0, y1 FROM p{m}' for m in range(n))])}) q WHERE q.block = p.block AND q.policy = p.policy AND {near})) WHERE rn = 1)""" for n in range(3))
+    return f"""any_strict AS (SELECT block, policy, bool_or(strict) AS anys FROM sco WHERE coarse GROUP BY block, policy), ok AS (SELECT sco.*, NOT anys AS loose FROM sco JOIN any_strict USING (block, policy) WHERE {usable}),
+  seed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block, policy ORDER BY round(score, 9) DESC, y0, y1) AS rn FROM ok WHERE coarse) WHERE rn <= 30),
+  pool AS (SELECT * FROM ok p WHERE coarse OR EXISTS (SELECT 1 FROM seed q WHERE q.block = p.block AND q.policy = p.policy AND abs(q.y0 - p.y0) < 4 AND abs(q.y1 - p.y1) < 4)),
+  {picks}, picked AS (SELECT *, 0 AS rank FROM p0 UNION ALL SELECT *, 1 FROM p1 UNION ALL SELECT *, 2 FROM p2)"""
+
+
+@query("e11_search_windows", v.sql("strip_rows", f"""WITH {ENERGY}, {STRIPS.format(width=40, kind=KIND, priority='px[3] % 3 + 1')}, {CONSTRAINTS}, fc AS (SELECT bl.*, 'default' AS policy, k0, k1 FROM bl LEFT JOIN rg ON rg.block = bl.block AND rg.policy = 'default'),
+  {SCORES}, {_picked('true')} SELECT CAST(block AS BIGINT) AS block, rank, y0, y1, round(score, 6) AS score, round(cover, 6) AS cover FROM picked"""))
 def e11(spark, d):
     s = Strips(spark, d)
     typed = bx.durable(s.typed())
     ranges = bx.durable(bx.keep_ranges(s.blocks, typed, s.zones, s.hot))
-    terms = bx.durable(bx.row_terms(s.blocks, ranges, typed, s.zones, s.energy, hot=s.hot))
-    out = bx.search_windows(s.blocks, terms, ranges, relaxed=True)
+    facts = bx.search_facts(s.blocks.select("block", F.lit("default").alias("policy")), s.blocks, ranges)
+    terms = bx.durable(bx.row_terms(facts, typed, s.zones, s.energy, hot=s.hot))
+    out = bx.search_windows(facts, terms, relaxed=True)
     return out.select("block", "rank", "y0", "y1", F.round("score", 6).alias("score"), F.round("cover", 6).alias("cover"))
 
 
 # the scored windows as one expression per term, straight from boxes and rows
-@query("e11_score_windows", v.sql("strip_rows", f"""WITH near AS (SELECT strip, y, px, lag(px) OVER w AS up, lead(px) OVER w AS down FROM strip_rows WINDOW w AS (PARTITION BY strip ORDER BY y)),
-  diff AS (SELECT strip, y, CASE WHEN up IS NULL OR down IS NULL THEN list_transform(px, lambda x: 0) ELSE list_transform(list_zip(down, up), lambda t: t[1] - t[2]) END AS d FROM near),
-  pad AS (SELECT strip, y, list_concat([d[2]], d, [d[len(d) - 1]]) AS d FROM diff),
-  e0 AS (SELECT strip, y, list_avg(list_transform(range(2, len(d)), lambda i: abs(d[i - 1] + 2 * d[i] + d[i + 1]))) AS e FROM pad),
-  en AS (SELECT strip AS block, y, e / (max(e) OVER (PARTITION BY strip) + 1e-6) AS e FROM e0),
+@query("e11_score_windows", v.sql("strip_rows", f"""WITH {ENERGY},
   bl AS (SELECT strip AS block, max(y) + 1 AS height FROM strip_rows GROUP BY strip),
   b AS (SELECT strip AS block, y AS y0, y + 4 AS y1, px[2] % 6 AS k FROM strip_rows WHERE y % 7 = 0),
   h AS (SELECT block, unnest(list_distinct(list_concat(range(least(30, height), least(72, height) + 1, 4), [CAST(least(72, height) AS BIGINT)]))) AS h, height FROM bl),
@@ -243,12 +315,30 @@ def e11b(spark, d):
     # without padding the heads stay raw in this form
     typed = typed.withColumns({"y0": F.col("raw0"), "y1": F.col("raw1")})
     ranges = bx.durable(bx.keep_ranges(s.blocks, typed, none, s.hot))
-    terms = bx.durable(bx.row_terms(s.blocks, ranges, typed, none, s.energy, hot=s.hot))
-    out = bx.score_windows(bx.coarse_windows(s.blocks), terms, s.blocks, ranges, relaxed=True)
+    facts = bx.search_facts(s.blocks.select("block", F.lit("default").alias("policy")), s.blocks, ranges)
+    terms = bx.durable(bx.row_terms(facts, typed, none, s.energy, hot=s.hot))
+    out = bx.score_windows(bx.coarse_windows(facts, terms).select("block", "policy", "y0", "y1"), facts, terms)
     return out.select("block", "y0", "y1", *[F.col(c).cast("long").alias(c) for c in ("bubble_cuts", "head_cuts", "sfx_cuts")], F.round("score", 6).alias("score"))
 
 
-@query("e12_split_tall")
+# cheapest chains of crops ``chain`` (block, y0, y1) over the blocks ``big`` (block, height, width, k0, k1): the reached ends of a block in one list, row after row
+CHAINS = f"""deep AS (SELECT *, CAST(ceil(width / 1.35) AS BIGINT) AS lo, CAST(floor(width / 0.55) AS BIGINT) AS hi FROM big WHERE k1 - k0 >= 2 * ceil(width / 1.35)),
+  firm AS (SELECT block, y0, y1 FROM tb WHERE role <> 'sfx' UNION ALL SELECT block, y0, y1 FROM zz WHERE list = 'keep' AND priority <= 1),
+  cand AS (SELECT *, false AS fin FROM (SELECT *, unnest(range(k0 + lo, k1 - lo + 1, 4)) AS y FROM deep) d WHERE NOT EXISTS (SELECT 1 FROM firm WHERE firm.block = d.block AND firm.y0 < d.y AND d.y < firm.y1) UNION ALL SELECT *, true FROM (SELECT *, unnest([k0, k1]) AS y FROM deep)),
+  toll AS (SELECT c.*, CASE WHEN fin THEN 0.0 ELSE 0.15 * coalesce(en.e, 0) + 0.5 * (SELECT count(*) FROM tb WHERE tb.block = c.block AND role = 'sfx' AND tb.y0 < c.y AND c.y < tb.y1) END AS price, row_number() OVER (PARTITION BY c.block ORDER BY c.y) AS n
+    FROM cand c LEFT JOIN en ON en.block = c.block AND en.y = least(c.y, c.height - 1)),
+  trek AS (SELECT block, n, [{{'y': y, 't': CAST(0 AS DOUBLE), 'b': CAST(-1 AS BIGINT)}}] AS l FROM toll WHERE n = 1
+    UNION ALL SELECT block, n, CASE WHEN best IS NULL THEN l ELSE list_append(l, {{'y': y, 't': best.t + price, 'b': best.y}}) END FROM (
+      SELECT toll.*, trek.l, list_min(list_transform(list_filter(trek.l, lambda q: toll.y - q.y BETWEEN lo AND hi), lambda q: {{'t': q.t + greatest(0.0, greatest(width / 1.05 - (toll.y - q.y), (toll.y - q.y) - width / 0.62)) * 1.5 / width + 0.3 * abs(CAST(width AS DOUBLE) / (toll.y - q.y) - 2 / 3) + 0.1, 'y': q.y}})) AS best
+      FROM trek JOIN toll ON toll.block = trek.block AND toll.n = trek.n + 1)),
+  legs AS (SELECT block, unnest(arg_max(l, n)) AS q FROM trek GROUP BY block),
+  chain AS (SELECT legs.block, q.b AS y0, q.y AS y1 FROM legs JOIN deep ON deep.block = legs.block AND q.y = k1 WHERE q.b >= 0
+    UNION ALL SELECT legs.block, q.b, q.y FROM chain JOIN legs ON legs.block = chain.block AND q.y = chain.y0 WHERE q.b >= 0)"""
+QUIET = f"CASE WHEN y % 21 = 0 THEN {KIND} ELSE 'person' END"
+
+
+@query("e12_split_tall", v.sql("strip_rows", f"""WITH {ENERGY}, {STRIPS.format(width=12, kind=QUIET, priority='2')}, {CONSTRAINTS}, big AS (SELECT bl.*, k0, k1 FROM bl JOIN rg ON rg.block = bl.block AND policy = 'default'), {CHAINS}
+  SELECT CAST(block AS BIGINT) AS block, y0, y1 FROM chain""", recursive=True))
 def e12(spark, d):
     s = Strips(spark, d, width=12)
     quiet = s.boxes.withColumn("kind", F.when(F.col("idx") % 21 == 0, F.col("kind")).otherwise("person"))
@@ -258,7 +348,30 @@ def e12(spark, d):
     return bx.split_tall(s.blocks, ranges, typed, zones, s.energy, hot=s.hot)
 
 
-@query("e13_plan_blocks")
+def _union(a: str, b: str) -> str:
+    """Shared part of two row spans, of what both cover."""
+    return f"(greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)) / CAST(greatest({a}.y1, {b}.y1) - least({a}.y0, {b}.y0) AS DOUBLE))"
+
+
+@query("e13_plan_blocks", v.sql("strip_rows", f"""WITH {ENERGY}, every AS (SELECT strip AS block, max(y) + 1 AS height, 40 AS width, ['key', 'insert', 'text_only', 'transition'][strip % 4 + 1] AS part FROM strip_rows GROUP BY strip),
+  {STRIPS.format(width=40, kind=KIND, priority='px[3] % 3 + 1').replace("bl AS (SELECT strip AS block, max(y) + 1 AS height, 40 AS width FROM strip_rows GROUP BY strip)", "bl AS (SELECT block, height, width FROM every WHERE part <> 'text_only' AND (part <> 'transition' OR block IN (SELECT strip FROM strip_rows WHERE y % 25 = 5)))")},
+  {CONSTRAINTS}, big AS (SELECT bl.*, k0, k1 FROM bl JOIN rg ON rg.block = bl.block AND policy = 'default' WHERE k1 - k0 > floor(width / 0.55) AND height > floor(width / 0.55)), {CHAINS},
+  lone AS (SELECT * FROM bl WHERE block NOT IN (SELECT block FROM big)), strife AS (SELECT block FROM rg WHERE policy = 'default' AND conflicts > 0),
+  fc AS (SELECT lone.*, want.policy, rg.k0, rg.k1 FROM (SELECT block, 'default' AS policy FROM lone UNION ALL SELECT block, policy FROM rg WHERE policy IN ('keep_text', 'cut_subject') AND block IN (SELECT block FROM strife) UNION ALL SELECT block, policy FROM rg WHERE policy = 'sfx_whole') want
+    JOIN lone USING (block) LEFT JOIN rg ON rg.block = want.block AND rg.policy = want.policy),
+  {SCORES}, {_picked("strict OR (policy = 'default' AND NOT anys)")},
+  sliced AS (SELECT block FROM picked WHERE policy = 'default' AND rank = 0 AND sc > 0),
+  offers AS (SELECT block, y0, y1, CASE WHEN rank = 0 THEN 0 ELSE rank + 10 END AS o, loose FROM picked WHERE policy = 'default' UNION ALL SELECT block, 0, height, 0, true FROM lone WHERE block NOT IN (SELECT block FROM picked WHERE policy = 'default')
+    UNION ALL SELECT block, y0, y1, CASE policy WHEN 'keep_text' THEN 1 WHEN 'cut_subject' THEN 2 ELSE 3 END, false FROM picked WHERE rank = 0 AND (policy IN ('keep_text', 'cut_subject') OR (policy = 'sfx_whole' AND block IN (SELECT block FROM sliced)))),
+  kept AS (SELECT block, bool_or(loose AND o = 0) AS relaxed, list_reduce(list({{'y0': CAST(y0 AS BIGINT), 'y1': CAST(y1 AS BIGINT)}} ORDER BY o, y0, y1), lambda acc, x: CASE WHEN len(acc) < 3 AND len(list_filter(acc, lambda k: {_union('k', 'x')} >= 0.9)) = 0 THEN list_append(acc, x) ELSE acc END, CAST([] AS STRUCT(y0 BIGINT, y1 BIGINT)[])) AS c FROM offers GROUP BY block),
+  flagged AS (SELECT block, block IN (SELECT block FROM strife UNION SELECT block FROM sliced) AS conflict FROM every),
+  judged AS (SELECT kept.*, conflict, len(c) >= 2 AND (conflict OR {_union('c[1]', 'c[2]')} < 0.8) AS judge FROM kept JOIN flagged USING (block)),
+  shots AS (SELECT block, c[CASE WHEN judge AND block % 2 = 0 AND len(c) >= 2 THEN 2 ELSE 1 END] AS w, 'single' AS mode, conflict, relaxed, judge FROM judged)
+  SELECT CAST(block AS BIGINT) AS block, CAST(y0 AS BIGINT) AS y0, CAST(y1 AS BIGINT) AS y1, mode, conflict, relaxed, coalesce(judge, false) AS judge FROM (
+    SELECT block, w.y0 AS y0, w.y1 AS y1, mode, conflict, relaxed, judge FROM shots
+    UNION ALL SELECT block, 0, height, 'none', conflict, false, false FROM every JOIN flagged USING (block) WHERE block NOT IN (SELECT block FROM bl)
+    UNION ALL SELECT block, y0, y1, 'multi', conflict, false, false FROM chain JOIN flagged USING (block)
+    UNION ALL SELECT block, k0, k1, 'pan', conflict, false, false FROM big JOIN flagged USING (block) WHERE block NOT IN (SELECT block FROM chain))""", recursive=True))
 def e13(spark, d):
     s = Strips(spark, d)
     role = F.element_at(F.array(F.lit("key"), F.lit("insert"), F.lit("text_only"), F.lit("transition")), (F.col("block") % 4 + 1).cast("int"))

@@ -78,10 +78,10 @@ def a4(spark, d):
     return ar.chapter_catalog(t, c)
 
 
-@query("a5_strip_rows", v.sql("strip_rows", "SELECT strip, y, CAST(list_sum(list_transform(range(1, 22), lambda i: i * ((px[i] * 4899 + px[i + 21] * 9617 + px[i + 42] * 1868 + 8192) >> 14))) AS BIGINT) AS mark FROM strip_rows"))
+@query("a5_strip_rows", v.sql("strip_rows", "SELECT strip, y, CAST(list_sum(list_transform(range(1, 23), lambda i: i * ((px[i] * 4899 + px[i + 21] * 9617 + px[i + 42] * 1868 + 8192) >> 14))) AS BIGINT) AS mark FROM strip_rows"))
 def a5(spark, d):
     r = v.strip_rows(spark, d)
-    g = ar.grey_rows(r.select("strip", "y", *[F.slice("px", 1 + 21 * i, 21).alias(c) for i, c in enumerate("rgb")]))
+    g = ar.grey_rows(r.select("strip", "y", *[F.slice("px", 1 + 21 * i, 22).alias(c) for i, c in enumerate("rgb")]))
     marks = F.aggregate(F.transform("px", lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return g.select("strip", "y", marks.alias("mark"))
 
