@@ -255,16 +255,37 @@ def g3d(spark, d):
     return out.select("series", "ep", F.array_join(line, ";").alias("cards"), "tail")
 
 
-@query("g4_chapter_sheets", v.sql("scenes", f"""WITH c AS (SELECT DISTINCT ch FROM scenes), t AS (SELECT ch, {SPACED.format(c='arg_max(narration, idx)')} AS t FROM scenes WHERE NOT is_filler AND trim(narration) <> '' GROUP BY ch),
-  n AS (SELECT ch, count(*) AS cards FROM scenes WHERE trim(split_part(narration, ' ', 1)) <> '' GROUP BY ch)
-  SELECT ch, 's-' || (ch % 5) AS series, ch + 1 AS ep, coalesce(cards, 0) AS cards, coalesce({TRIM.format(t='t', n=320)}, '') AS tail FROM c LEFT JOIN t USING (ch) LEFT JOIN n USING (ch) WHERE ch % 7 <> 0"""))
-def g4(spark, d):
+# a card a scene: its first word, eight aliases of which every third is blank, the narration as description
+CARDS = f"""WITH c AS (SELECT DISTINCT ch FROM scenes), t AS (SELECT ch, {SPACED.format(c='arg_max(narration, idx)')} AS t FROM scenes WHERE NOT is_filler AND trim(narration) <> '' GROUP BY ch),
+  n AS (SELECT ch, idx, trim(split_part(narration, ' ', 1)) AS name, array_to_string(list_filter(list_transform(range(8), lambda i: CASE WHEN i % 3 <> 2 THEN 'a' || (i + idx % 4) ELSE '' END), lambda a: a <> '')[1:6], ',') AS al, {SPACED.format(c='narration')} AS w FROM scenes WHERE trim(split_part(narration, ' ', 1)) <> ''),
+  s AS (SELECT ch, 's-' || (ch % 5) AS series, ch + 1 AS ep, coalesce({TRIM.format(t='t', n=320)}, '') AS tail FROM c LEFT JOIN t USING (ch) WHERE ch % 7 <> 0)"""
+
+
+def _sheets(spark, d):
     s = v.scenes(spark, d)
     chapters = s.select("ch").distinct().select("ch", F.concat(F.lit("s-"), (F.col("ch") % 5).cast("string")).alias("series"), F.when(F.col("ch") % 7 != 0, F.col("ch") + 1).alias("ep"))
-    cards = s.select("ch", F.col("idx").alias("pos"), F.split("narration", " ", 2)[0].alias("name"), F.array(F.lit("x")).alias("aliases"), F.col("narration").alias("who"))
+    aliases = F.array(*[F.concat(F.lit(" a"), (F.col("idx") % 4 + i).cast("string"), F.lit(" ")) if i % 3 != 2 else F.lit(" ") for i in range(8)])
+    cards = s.select("ch", F.col("idx").alias("pos"), F.split("narration", " ", 2)[0].alias("name"), aliases.alias("aliases"), F.col("narration").alias("who"))
     return mm.chapter_sheets(chapters, s, cards)
 
 
+@query("g4_chapter_sheets", v.sql("scenes", CARDS + f""", l AS (SELECT ch, string_agg(name || '|' || al || '|' || {TRIM.format(t='w', n=160)}, chr(10) ORDER BY idx) AS cards FROM n GROUP BY ch)
+  SELECT ch, series, ep, coalesce(cards, '') AS cards, tail FROM s LEFT JOIN l USING (ch)"""))
+def g4(spark, d):
+    line = F.transform("cards", lambda c: F.concat_ws("|", c["name"], F.array_join(c["aliases"], ","), c["who"]))
+    return _sheets(spark, d).withColumn("cards", F.array_join(line, "\n"))
+
+
+@query("g4_sheets_to_entities", v.sql("scenes", CARDS + """, m AS (SELECT series, ep, lower(name) AS k, min(idx) AS idx, arg_min(name, idx) AS name FROM n JOIN s USING (ch) GROUP BY ALL),
+  f AS (SELECT series, k, arg_min(name, ep) AS name, min(ep) AS ep, arg_min(idx, ep) AS idx, count(*) AS sheets FROM m GROUP BY series, k)
+  SELECT series, row_number() OVER (PARTITION BY series ORDER BY ep, idx) - 1 AS ord, name, sheets FROM f"""))
+def g4b(spark, d):
+    """The sheets' cards merged over each series, with the number of sheets that name each entity."""
+    rows = mm.sheet_cards(_sheets(spark, d)).withColumn("aliases", F.expr("cast(array() as array<string>)"))
+    merged = mm.rank_entities(mm.merge_entities(rows, _hot_series(spark, d)), rows, k=2**31 - 1)
+    return merged.select("series", "ord", "name", F.col("hits").alias("sheets"))
+
+
 @query("g5_predecessors", "SELECT 'u' || o_orderkey AS url, o_custkey AS title_no, o_orderkey AS episode_no, coalesce(lag('u' || o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), '') AS previous FROM orders")
 def g5(spark, d):
     o = v.table(spark, d, "orders").select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_custkey").alias("title_no"), F.col("o_orderkey").alias("episode_no"))

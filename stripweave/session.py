@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="stripweave-")
+    if spark.sparkContext.applicationId not in _folders:
+        _folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="stripweave-")
+    return _folders[spark.sparkContext.applicationId]
+
+
+_folders: dict[str, str] = {}
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation from the start."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a Parquet table in the shared folder, so a lost executor costs no recomputation from the start.
+
+    Unlike a checkpoint the table can be pruned, and its size is known to the planner.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
