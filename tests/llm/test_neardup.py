@@ -38,7 +38,7 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
 
@@ -49,7 +49,7 @@ def brute(rows):
 
     for a, (i, s) in enumerate(sets):
         for j, t in sets[a + 1 :]:
-            if i is not None and j is not None and s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     return sorted(((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets), key=str)

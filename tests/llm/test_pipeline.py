@@ -19,13 +19,13 @@ def test_stages_against_brute_force(spark, data):
     labelled = {r["doc_id"] for r in read(spark, data, "labels").collect()}
     assert not (gone & labelled) - toxic  # no document that is known to be clean goes
     assert {r["doc_id"] for r in rows[1].collect()} - {r["doc_id"] for r in rows[2].collect()} <= {r["doc_id"] for r in rows[1].where("text is null or not rlike(text, '[a-zA-Z]{40}')").collect()}
-    kept = [i for i, _, _, own in groups_brute([(r["doc_id"], r["text"]) for r in rows[2].collect()]) if own]
+    kept = [i for i, _, _, own in groups_brute([(r["doc_id"], r["text"]) for r in rows[2].collect()], 80) if own]
     assert sorted(kept) == sorted(r["doc_id"] for r in rows[3].collect())
     items = [(r["item_id"], r["text"]) for r in read(spark, data, "benchmark").collect()]
     clean = [d for d, n, hit, _, _ in contaminated_brute([(r["doc_id"], r["text"]) for r in rows[3].collect()], items, decontam.SIZE) if not (hit and 20 * hit >= n)]
     assert sorted(clean) == sorted(r["doc_id"] for r in rows[4].collect())
     assert rows[5].where(F.col("round_trip")).count() == len(clean) == P.run(spark, data).count()
-    assert neardup.near_duplicates(rows[4]).where("not kept").count() == 0
+    assert neardup.near_duplicates(rows[4], percent=80, bands=48, rows=4).where("not kept").count() == 0
 
 
 def test_awkward_and_empty_tables(spark, data):
