@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stripweave.session import number_setting
 from stripweave.functions.intervals import on_group, points_in
 from stripweave.functions.ordered import (
-    first_by, first_from, is_hot, last_to, next_, once, prev, runs, scan, sum_before, sum_to)
+    first_by, first_from, is_hot, join_on, last_to, next_, once, prev, runs, scan, sum_before, sum_to)
 
 STRIP = ["strip"]
 CALIBRATED_WIDTH = 575
@@ -358,20 +358,69 @@ def cut_energy(rows: DataFrame, hot: bool | None = None) -> DataFrame:
 
 
 # --- D13 - D15 -------------------------------------------------------------------------------
-def window_scores(profile: DataFrame, size: int, hot: bool | None = None) -> DataFrame:
-    """Sum of every full window of ``size`` values: difference of two running sums."""
-    cum = scan(profile, STRIP, ["x"], _hot(profile, hot), _c=sum_before(F.col("v")))
+#: Part of a profile that its moving mean spans.
+SMOOTH = 0.06
+
+
+def edge_energy(rows: DataFrame, hot: bool | None = None) -> DataFrame:
+    """Absolute Laplacian ``e`` of every value of the grey rows ``(strip, y, px)``; y counts from 0 without gaps.
+
+    The two-dimensional stencil takes the four diagonal neighbours twice and the value itself eight times; beyond an edge it reflects, the edge itself not repeated.
+    """
+    near = scan(rows, STRIP, ["y"], _hot(rows, hot), _up=prev(F.col("px")), _down=next_(F.col("px")))
+    up, down = F.coalesce("_up", "_down", "px"), F.coalesce("_down", "_up", "px")
+    sides = once(near, _t=F.zip_with(up, down, lambda a, b: a + b), _n=F.size("px"))
+    left = lambda i: F.when(i == 0, F.least(F.lit(1), F.col("_n") - 1)).otherwise(i - 1)
+    right = lambda i: F.when(i == F.col("_n") - 1, F.greatest(F.lit(0), F.col("_n") - 2)).otherwise(i + 1)
+    e = F.transform("px", lambda v, i: F.abs(2 * (F.get(F.col("_t"), left(i)) + F.get(F.col("_t"), right(i))) - 8 * v).cast("double"))
+    return sides.select("strip", "y", e.alias("e"))
+
+
+def edge_profile(rows: DataFrame, axis: int = 0, hot: bool | None = None) -> DataFrame:
+    """How much is drawn along an axis of the grey rows: ``(strip, x, v)``, v between 0 and 1; axis 0 goes over columns, 1 over rows.
+
+    Edges summed over the other axis, smoothed by a moving mean of an odd length (nothing beyond the ends), divided by the greatest value.
+    Sums combine before the shuffle; the mean is a difference of two running sums, so the window's length costs nothing.
+    """
+    hot = _hot(rows, hot)
+    edges = edge_energy(rows, hot)
+    if axis == 0:
+        raw = edges.select("strip", F.posexplode("e").alias("x", "v")).groupBy("strip", F.col("x").cast("long").alias("x")).agg(F.sum("v").alias("v"))
+    else:
+        raw = edges.select("strip", F.col("y").cast("long").alias("x"), F.aggregate("e", F.lit(0.0), lambda a, v: a + v).alias("v"))
+    length = raw.groupBy("strip").agg(F.count(F.lit(1)).alias("_n"))
+    wide = F.greatest(F.lit(1), F.floor(F.col("_n") * SMOOTH).bitwiseOR(F.lit(1)))
+    half = F.when(F.col("_n") > wide, F.floor(wide / 2)).otherwise(0)
+    cum = on_group(scan(raw, STRIP, ["x"], hot, _c=sum_to(F.col("v"))), length.withColumns({"_w": F.when(F.col("_n") > wide, wide).otherwise(1), "_half": half}), STRIP, F.col("x"), hot)
+    # a running sum is asked for by the places whose window ends at it, and by those whose window begins behind it
+    asked = F.explode(F.array(F.struct(F.least(F.col("x") + F.col("_half"), F.col("_n") - 1).alias("at"), F.lit(1.0).alias("sign")), F.struct((F.col("x") - F.col("_half") - 1).alias("at"), F.lit(-1.0).alias("sign"))))
+    ends = cum.select("strip", F.col("x").alias("place"), "_w", asked.alias("a")).filter("a.at >= 0").select("strip", F.col("a.at").alias("x"), "place", "_w", F.col("a.sign").alias("sign"))
+    mean = join_on(ends, cum.select("strip", "x", "_c"), ["strip", "x"]).groupBy("strip", F.col("place").alias("x"), "_w").agg(F.sum(F.col("sign") * F.col("_c")).alias("_s"))
+    mean = mean.select("strip", "x", (F.col("_s") / F.col("_w")).alias("v"))
+    top = mean.groupBy("strip").agg(F.max("v").alias("_top"))
+    return on_group(mean, top, STRIP, F.col("x"), hot).select("strip", "x", F.when(F.col("_top") > 0, F.col("v") / F.col("_top")).otherwise(F.col("v")).alias("v"))
+
+
+def window_scores(profile: DataFrame, size: int | DataFrame, hot: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sum of every full window of ``size`` values, a number or ``(strip, size)``: difference of two running sums; and the profiles' lengths."""
+    hot = _hot(profile, hot)
     length = profile.groupBy("strip").agg((F.max("x") + 1).alias("length"))
-    ends = cum.select("strip", (F.col("x") - size + 1).alias("x"), (F.col("_c") + F.col("v")).alias("_hi"))
-    scored = cum.join(ends, ["strip", "x"]).select("strip", F.col("x").alias("offset"), (F.col("_hi") - F.col("_c")).alias("score"))
+    length = length.withColumn("size", F.lit(size)) if isinstance(size, int) else join_on(length, size.select("strip", "size"), ["strip"])
+    length = length.withColumn("size", F.greatest(F.lit(1), F.least("size", "length")).cast("long"))
+    cum = on_group(scan(profile, STRIP, ["x"], hot, _c=sum_before(F.col("v"))), length.select("strip", "size"), STRIP, F.col("x"), hot)
+    ends = cum.select("strip", (F.col("x") - F.col("size") + 1).alias("x"), (F.col("_c") + F.col("v")).alias("_hi")).filter("x >= 0")
+    scored = join_on(cum, ends, ["strip", "x"]).select("strip", F.col("x").alias("offset"), (F.col("_hi") - F.col("_c")).alias("score"))
     return scored, length
 
 
-def profile_windows(profile: DataFrame, size: int, count: int, hot: bool | None = None) -> DataFrame:
-    """``count`` window offsets per profile ``(strip, x, v)``: the best of each equal band, best band first."""
+def profile_windows(profile: DataFrame, size: int | DataFrame, count: int, hot: bool | None = None) -> DataFrame:
+    """``count`` window offsets per profile ``(strip, x, v)``: the best of each equal band, best band first.
+
+    ``size`` is a number, or the windows' sizes ``(strip, size)``.
+    """
     hot = _hot(profile, hot)
     scored, length = window_scores(profile, size, hot)
-    spans = length.withColumn("_n", F.col("length") - size + 1)
+    spans = length.select("strip", (F.col("length") - F.col("size") + 1).alias("_n"))
     short = spans.filter("_n <= 1").select("strip", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("rank"), F.lit(0).cast("long").alias("offset"))
     wide = on_group(scored, spans.filter("_n > 1"), STRIP, F.col("offset"), hot)
     many = wide.filter(F.col("_n") >= count).withColumn("band", F.ceil((F.col("offset") + 1) * count / F.col("_n")) - 1)

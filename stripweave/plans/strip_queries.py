@@ -220,6 +220,30 @@ def d13(spark, d):
     return strips.profile_windows(_profile(spark, d), 7, 4, v.hot_strips(spark, d))
 
 
+# edges of the grey rows, summed along both axes ('c' over columns, 'r' over rows), smoothed and scaled; even strips keep 20 columns
+EDGES = """near AS (SELECT strip, y, px, coalesce(lag(px) OVER w, lead(px) OVER w, px) AS up, coalesce(lead(px) OVER w, lag(px) OVER w, px) AS down FROM (SELECT strip, y, CASE WHEN strip % 2 = 0 THEN px[1:20] ELSE px END AS px FROM strip_rows) WINDOW w AS (PARTITION BY strip ORDER BY y)),
+  side AS (SELECT strip, y, px, len(px) AS k, list_transform(list_zip(up, down), lambda t: t[1] + t[2]) AS t FROM near),
+  edge AS (SELECT strip, y, list_transform(range(1, k + 1), lambda i: CAST(abs(2 * (t[CASE WHEN i = 1 THEN least(2, k) ELSE i - 1 END] + t[CASE WHEN i = k THEN greatest(1, k - 1) ELSE i + 1 END]) - 8 * px[i]) AS DOUBLE)) AS e FROM side),
+  along AS (SELECT strip, 'r' AS axis, y AS x, list_sum(e) AS v FROM edge UNION ALL SELECT strip, 'c', x - 1, sum(v) FROM (SELECT strip, unnest(range(1, len(e) + 1)) AS x, unnest(e) AS v FROM edge) GROUP BY strip, x),
+  sized AS (SELECT *, greatest(1, CAST(floor(count(*) OVER q * 0.06) AS BIGINT) | 1) AS w, count(*) OVER q AS n FROM along WINDOW q AS (PARTITION BY strip, axis)),
+  mean AS (SELECT a.strip, a.axis, a.x, CASE WHEN any_value(a.n) > any_value(a.w) THEN sum(b.v) FILTER (abs(b.x - a.x) <= a.w // 2) / any_value(a.w) ELSE any_value(a.v) END AS v FROM sized a JOIN along b ON b.strip = a.strip AND b.axis = a.axis GROUP BY a.strip, a.axis, a.x),
+  prof AS (SELECT strip, axis, x, CASE WHEN max(v) OVER q > 0 THEN v / max(v) OVER q ELSE v END AS v FROM mean WINDOW q AS (PARTITION BY strip, axis))"""
+
+
+def _grey(spark, d):
+    return v.strip_rows(spark, d).withColumn("px", F.when(F.col("strip") % 2 == 0, F.slice("px", 1, 20)).otherwise(F.col("px")))
+
+
+@query("d13_edge_profile_columns", v.sql("strip_rows", f"WITH {EDGES} SELECT strip, x, round(v, 6) AS v FROM prof WHERE axis = 'c'"))
+def d13b(spark, d):
+    return strips.edge_profile(_grey(spark, d), 0, v.hot_strips(spark, d)).withColumns(r6("v"))
+
+
+@query("d13_edge_profile_rows", v.sql("strip_rows", f"WITH {EDGES} SELECT strip, x, round(v, 6) AS v FROM prof WHERE axis = 'r'"))
+def d13c(spark, d):
+    return strips.edge_profile(_grey(spark, d), 1, v.hot_strips(spark, d)).withColumns(r6("v"))
+
+
 WINDOW = f"""win AS (SELECT *, CASE WHEN 800.0 / height > 0.5625 THEN greatest(1, CAST({even('height * 0.5625')} AS INT)) ELSE 800 END AS ww,
     CASE WHEN 800.0 / height > 0.5625 THEN height ELSE greatest(1, CAST({even('800 / 0.5625')} AS INT)) END AS wh FROM panels)"""
 
@@ -238,6 +262,35 @@ def d14(spark, d):
     return strips.crop_plan(v.panels(spark, d).select("ch", "idx", "width", "height"), 3)
 
 
+# windows of the strips' own size on both profiles, best band first, and the crops they give
+AIMED = f"""{EDGES}, pan AS (SELECT strip, max(y) + 1 AS height, any_value(len(e)) AS width FROM edge GROUP BY strip),
+  win AS (SELECT *, CASE WHEN width / CAST(height AS DOUBLE) > 0.5625 THEN greatest(1, CAST({even('height * 0.5625')} AS BIGINT)) ELSE width END AS ww, CASE WHEN width / CAST(height AS DOUBLE) > 0.5625 THEN height ELSE greatest(1, CAST({even('width / 0.5625')} AS BIGINT)) END AS wh FROM pan),
+  spot AS (SELECT prof.*, CASE axis WHEN 'c' THEN ww ELSE wh END AS size, CASE axis WHEN 'c' THEN width - ww ELSE height - wh END + 1 AS m FROM prof JOIN win USING (strip)),
+  sco AS (SELECT a.strip, a.axis, a.x, any_value(a.m) AS m, round(sum(b.v), 9) AS s FROM spot a JOIN prof b ON b.strip = a.strip AND b.axis = a.axis AND b.x >= a.x AND b.x < a.x + a.size WHERE a.x < a.m GROUP BY a.strip, a.axis, a.x),
+  band AS (SELECT *, b FROM (SELECT *, unnest(range(3)) AS b FROM sco) WHERE m > 1 AND CASE WHEN m >= 3 THEN CAST(ceil((x + 1) * 3.0 / m) AS BIGINT) - 1 = b ELSE b * m // 3 = x END),
+  lead_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strip, axis, b ORDER BY s DESC, x) AS rn FROM band) WHERE rn = 1),
+  shots AS (SELECT strip, axis, CAST(row_number() OVER (PARTITION BY strip, axis ORDER BY s DESC, b) - 1 AS BIGINT) AS shot, x AS o FROM lead_)"""
+
+
+@query("d14_crop_plan_aimed", v.sql("strip_rows", f"""WITH {AIMED}, s AS (SELECT win.*, shot, greatest(1080.0 / ww, 1920.0 / wh) AS cover, least(1080.0 / width, 1920.0 / height) AS contain FROM win, (SELECT unnest(range(3)) AS shot)),
+  a AS (SELECT s.*, cover > 40 AS whole, CASE WHEN width > ww THEN coalesce(c.o, 0) ELSE 0 END AS ox, CASE WHEN height > wh THEN CASE WHEN width > ww THEN coalesce(r0.o, 0) ELSE coalesce(r.o, 0) END ELSE 0 END AS oy FROM s
+    LEFT JOIN shots c ON c.strip = s.strip AND c.axis = 'c' AND c.shot = s.shot LEFT JOIN shots r ON r.strip = s.strip AND r.axis = 'r' AND r.shot = s.shot LEFT JOIN shots r0 ON r0.strip = s.strip AND r0.axis = 'r' AND r0.shot = 0),
+  b AS (SELECT strip, shot, width, height, whole, CASE WHEN whole THEN 0 ELSE ox END AS x, CASE WHEN whole THEN 0 ELSE oy END AS y, CASE WHEN whole THEN width ELSE ww END AS w, CASE WHEN whole THEN height ELSE wh END AS h,
+    CASE WHEN whole THEN least(0.16 * shot, greatest(0.0, 40 / greatest(contain, 1e-6) - 1)) WHEN shot % 2 = 1 THEN least(0.16, greatest(0.0, 40 / cover - 1)) ELSE 0.0 END AS am FROM a),
+  c AS (SELECT *, greatest(8, CAST({even('w * (1 / (1 + am))')} AS BIGINT)) AS tw, greatest(8, CAST({even('h * (1 / (1 + am))')} AS BIGINT)) AS th FROM b)
+  SELECT strip AS ch, 0 AS idx, CAST(shot AS INT) AS shot, CAST(CASE WHEN am > 0 THEN greatest(0, least({even('x + w / 2.0 - tw / 2.0')}, width - tw)) ELSE x END AS BIGINT) AS x, CAST(CASE WHEN am > 0 THEN greatest(0, least({even('y + h / 2.0 - th / 2.0')}, height - th)) ELSE y END AS BIGINT) AS y,
+    CAST(CASE WHEN am > 0 THEN tw ELSE w END AS BIGINT) AS w, CAST(CASE WHEN am > 0 THEN th ELSE h END AS BIGINT) AS h, CASE WHEN whole THEN 'contain' ELSE 'cover' END AS fit FROM c"""))
+def d14b(spark, d):
+    """Crops of the strips, aimed by their edge profiles along both axes."""
+    hot, rows = v.hot_strips(spark, d), _grey(spark, d)
+    panels = rows.groupBy("strip").agg(F.max(F.size("px")).alias("width"), (F.max("y") + 1).cast("int").alias("height"))
+    w, h = layout.base_window(F.col("width"), F.col("height"), 1080 / 1920)
+    sizes = panels.select("strip", w.alias("w"), h.alias("h"))
+    aimed = [strips.profile_windows(strips.edge_profile(rows, axis, hot).withColumn("v", F.round("v", 12)), sizes.select("strip", F.col(size).alias("size")), 3, hot).select(
+        F.col("strip").alias("ch"), F.lit(0).alias("idx"), F.col("rank").alias("shot"), "offset") for axis, size in ((0, "w"), (1, "h"))]
+    return strips.crop_plan(panels.select(F.col("strip").alias("ch"), F.lit(0).alias("idx"), "width", "height"), 3, max_upscale=40.0, xs=aimed[0], ys=aimed[1])
+
+
 @query("d15_chunk_layout", v.sql("panels", f"""WITH c AS (SELECT ch AS strip, idx AS pos, 700 + 50 * (height % 3) AS w, height AS h FROM panels),
   n AS (SELECT strip, w, count(*) AS n, min(pos) AS p FROM c GROUP BY strip, w),
   t AS (SELECT strip, w AS target FROM (SELECT *, row_number() OVER (PARTITION BY strip ORDER BY n DESC, p) AS rn FROM n) WHERE rn = 1),
