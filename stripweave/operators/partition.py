@@ -9,13 +9,14 @@ import bisect
 import heapq
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stripweave.functions import text as tx
 from stripweave.functions.intervals import on_group
 from stripweave.functions.ordered import (
-    first_after, first_by, first_from, fold, is_hot, last_before, last_to, max_before, min_after, number_rows, once, scan, sum_before, sum_to)
-from stripweave.session import durable
+    CHUNK_ROWS, DEFAULT_CHUNK_ROWS, first_after, first_by, first_from, fold, is_hot, join_on, last_before, last_to, max_before, min_after, number_rows, once, scan, sum_before, sum_to)
+from stripweave.session import durable, number_setting
 
 CH = ["ch"]
 
@@ -39,19 +40,51 @@ def balanced_batches(items: DataFrame, size: int, hot: bool | None = None) -> Da
 
 
 def capacity_groups(items: DataFrame, cap: int = 15, hot: bool | None = None) -> DataFrame:
-    """Groups of ``(ch, idx, load)`` in order: a new one starts where the running load would pass ``cap``."""
-    def step(c, state):
-        load, group = state or (0, -1)
-        out = []
-        for x in c["load"]:
-            if group < 0 or load + x > cap:
+    """Groups of ``(ch, idx, load)`` in order: a new one starts where the running load would pass ``cap``. Loads are whole and not negative.
+
+    All that a later item needs of those before is the load of the open group, one of ``cap + 1`` values or "full". So a chapter of
+    any length is cut into chunks; each chunk's way from every value to the one at its end is found on its own, these
+    few ways are put together along the chapter, and then each chunk is numbered on its own from where it begins.
+    """
+    hot = _hot(items, hot)
+    rows = items.select("ch", "idx", "load")
+    full = cap + 1
+    if hot:
+        size = number_setting(items.sparkSession, CHUNK_ROWS, DEFAULT_CHUNK_ROWS)
+        rows = durable(number_rows(rows, CH, ["idx"], "_n", True).withColumn("chunk", F.floor(F.col("_n") / size)).drop("_n"))
+
+        def ways(c, _):
+            load, opened = np.arange(full + 1), np.zeros(full + 1, np.int64)
+            for x in c["load"].tolist():
+                over = load + x > cap
+                load, opened = np.where(over, x, load + x), opened + over
+            return {"after": [np.minimum(load, full).tolist()], "opened": [opened.tolist()]}, None
+
+        met = fold(rows, [*CH, "chunk"], ["idx"], ways, "ch long, chunk long, after array<long>, opened array<long>", False)
+        listed = met.groupBy("ch").agg(F.array_sort(F.collect_list(F.struct("chunk", "after", "opened"))).alias("_w"))
+        start = F.array(F.struct(F.lit(full).cast("long").alias("load"), F.lit(0).cast("long").alias("opened")))
+
+        def go(acc: Column, w: Column) -> Column:
+            last = F.element_at(acc, -1)
+            at = last["load"].cast("int")
+            return F.concat(acc, F.array(F.struct(F.get(w["after"], at).alias("load"), (last["opened"] + F.get(w["opened"], at)).alias("opened"))))
+
+        entries = listed.select("ch", "_w", F.aggregate("_w", start, go).alias("_e")).select("ch", "_e", F.posexplode("_w").alias("_i", "_c"))
+        entries = entries.select("ch", F.col("_c.chunk").alias("chunk"), F.get("_e", F.col("_i")).alias("_e")).select("ch", "chunk", F.col("_e.load").alias("begin"), F.col("_e.opened").alias("opened"))
+        rows = join_on(rows, entries, [*CH, "chunk"])
+    else:
+        rows = rows.withColumns({"chunk": F.lit(0).cast("long"), "begin": F.lit(full).cast("long"), "opened": F.lit(0).cast("long")})
+
+    def step(c, _):
+        load, group, out = int(c["begin"][0]), int(c["opened"][0]) - 1, []
+        for x in c["load"].tolist():
+            if load + x > cap:
                 load, group = 0, group + 1
-            load += int(x)
+            load += x
             out.append(group)
-        return {"idx": list(c["idx"]), "load": list(c["load"]), "grp": out}, (load, group)
+        return {"idx": c["idx"].tolist(), "load": c["load"].tolist(), "grp": out}, None
 
-    # a group once opened is never empty, so "would pass the cap" also covers an item above it
-    return fold(items.select("ch", "idx", "load"), CH, ["idx"], step, "ch long, idx long, load long, grp long", _hot(items, hot))
+    return fold(rows, [*CH, "chunk"], ["idx"], step, "ch long, idx long, load long, grp long", False)
 
 
 def assign_partition(lists: DataFrame, ids: DataFrame, hot: bool | None = None) -> DataFrame:
@@ -193,7 +226,8 @@ def longest_increasing(values: Sequence[int]) -> list[int]:
 def enforce_order(ids: DataFrame, panels: DataFrame, hot: bool | None = None) -> DataFrame:
     """Strictly increasing ids over a chapter: ``ids (ch, par, id)`` by (par, id), ``panels (ch, id, height)``.
 
-    The fewest ids go. A paragraph left empty takes the tallest free panel between its neighbours,
+    The fewest ids go: a stretch is walked once forward, with the least end of each length as state and a row per id that points back,
+    and once backward along the pointers. A paragraph left empty takes the tallest free panel between its neighbours,
     else its own tallest dropped one. The sequence falls apart wherever everything before is smaller
     than everything after, so the search sees one disordered stretch at a time.
     """
@@ -207,16 +241,32 @@ def enforce_order(ids: DataFrame, panels: DataFrame, hot: bool | None = None) ->
     tangled = cut.join(cut.groupBy("ch", "_s").count().filter("count > 1").select("ch", "_s"), ["ch", "_s"], "left_semi")
     easy = cut.join(tangled.select("ch", "_s").distinct(), ["ch", "_s"], "left_anti").select("ch", "par", "id", F.lit(True).alias("kept"))
 
-    def step(c, held):
-        held = [] if held is None else held
-        held += list(zip(c["par"], c["id"]))
-        return {}, held
-
-    def finish(held):
-        keep = set(longest_increasing([x[1] for x in held or []]))
-        return {"par": [x[0] for x in held], "id": [x[1] for x in held], "kept": [i in keep for i in range(len(held))]}
-
-    hard = fold(tangled, ["ch", "_s"], ["_n"], step, "ch long, par long, id long, kept boolean", hot, finish)
+    def rank(c, tails):
+        # length of the longest rising run that ends at each row, and the row before it there; kept are only the least ends
+        ends, at = tails or ([], [])
+        out = {"par": c["par"].tolist(), "id": c["id"].tolist(), "_n": c["_n"].tolist(), "_back": [], "_len": []}
+        for n, x in zip(out["_n"], out["id"]):
+            k = bisect.bisect_left(ends, x)
+            out["_back"].append(at[k - 1] if k else -1), out["_len"].append(k + 1)
+            if k == len(ends):
+                ends.append(x), at.append(n)
+            else:
+                ends[k], at[k] = x, n
+        return out, (ends, at)
+
+    def follow(c, goal):
+        # from the last row back; the last row of the greatest length ends the run
+        kept = []
+        for n, back, length, most in zip(c["_n"].tolist(), c["_back"].tolist(), c["_len"].tolist(), c["_most"].tolist()):
+            take = length == most if goal is None else n == goal
+            kept.append(take)
+            goal = back if take else goal
+        return {"par": c["par"].tolist(), "id": c["id"].tolist(), "kept": kept}, goal
+
+    ranked = fold(tangled, ["ch", "_s"], ["_n"], rank, "ch long, _s long, par long, id long, _n long, _back long, _len long", hot)
+    ranked = durable(ranked)
+    ranked = join_on(ranked, ranked.groupBy("ch", "_s").agg(F.max("_len").alias("_most")), ["ch", "_s"]).withColumn("_down", -F.col("_n"))
+    hard = fold(ranked, ["ch", "_s"], ["_down"], follow, "ch long, par long, id long, kept boolean", hot)
     marked = durable(easy.unionByName(hard))
     kept = marked.filter("kept").select("ch", "par", "id")
     pars = marked.groupBy("ch", "par").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("_lo"), F.max(F.when(F.col("kept"), F.col("id"))).alias("_hi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stripweave.functions.intervals import on_group
-from stripweave.functions.ordered import is_hot, last_to, scan, sum_before
+from stripweave.functions.ordered import is_hot, last_to, scan, spread, sum_before
 
 CLIP = ["clip"]
 
@@ -49,7 +49,7 @@ def mix_tracks(voice: DataFrame, music: DataFrame, sounds: DataFrame, assets: Da
     m = music.join(length, "ch").join(size, "asset").withColumns({"_s": _at(F.col("start_s"), rate), "_n": _at(F.col("duration_s"), rate)})
     m = m.filter((F.col("_s") < F.col("_len")) & (F.col("_n") > 0)).withColumn("_n", F.least("_n", F.col("_len") - F.col("_s")))
     k = F.col("_k")
-    m = m.withColumn("_k", F.explode(F.expr("sequence(0L, _n - 1)"))).withColumn("i", k % F.col("_size"))
+    m = spread(m, F.lit(0), F.col("_n") - 1, 1, "_k").withColumn("i", k % F.col("_size"))
     fade = _fade(k, F.col("_n"), F.least("_n", _at(F.col("fade_in_s"), rate)), F.least("_n", _at(F.col("fade_out_s"), rate)))
     m = m.join(assets, ["asset", "i"]).select("ch", (F.col("_s") + k).alias("i"), (F.col("v") * fade * F.pow(F.lit(10.0), F.col("gain_db") / 20)).alias("_a"))
     s = sounds.join(length, "ch").withColumn("_s", _at(F.col("start_s"), rate)).filter(F.col("_s") < F.col("_len"))
@@ -69,7 +69,7 @@ def resample_linear(samples: DataFrame, rate: int, to: int) -> DataFrame:
     """Straight-line interpolation at i * rate / to; the last sample holds."""
     step = rate / to
     size = samples.groupBy("clip").agg((F.max("i") + 1).alias("_n"))
-    grid = size.withColumn("j", F.explode(F.expr(f"sequence(0L, cast(ceil(_n / {step!r}D) as bigint) - 1)"))).withColumn("_x", F.col("j") * step)
+    grid = spread(size, F.lit(0), F.ceil(F.col("_n") / F.lit(step)) - 1, 1, "j").withColumn("_x", F.col("j") * step)
     grid = grid.withColumn("_lo", F.floor("_x"))
     a = samples.select("clip", F.col("i").alias("_lo"), F.col("v").alias("_a"))
     b = samples.select("clip", (F.col("i") - 1).alias("_lo"), F.col("v").alias("_b"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stripweave.functions import text as tx
 from stripweave.functions.intervals import on_group, points_in
 from stripweave.functions.ordered import (
-    first_after, is_hot, last_to, next_, once, prev, scan, sum_before, sum_to)
+    first_after, is_hot, last_to, next_, once, prev, scan, spread, sum_before, sum_to)
 from stripweave.session import durable
 
 CH = ["ch"]
@@ -321,7 +321,7 @@ def cue_ranges(cue: DataFrame, hot: bool | None = None) -> DataFrame:
 def loop_ranges(spans: DataFrame, material_us: int) -> DataFrame:
     """Repeats of the material end to end over each span ``(start_s, duration_s)``, the last cut short."""
     p = spans.withColumns({"_a": us(F.col("start_s")), "_b": us(F.col("start_s") + F.col("duration_s"))}).filter(F.col("_b") > F.col("_a"))
-    p = p.withColumn("start_us", F.explode(F.sequence("_a", F.col("_b") - 1, F.lit(material_us).cast("long"))))
+    p = spread(p, F.col("_a"), F.col("_b") - 1, material_us, "start_us")
     return p.withColumn("length_us", F.least(F.lit(material_us), F.col("_b") - F.col("start_us"))).drop("_a", "_b")
 
 
@@ -360,33 +360,48 @@ def live_window(motion: Column, progress: Column, elapsed: Column, x: Column, y:
     return F.greatest(F.lit(0), F.least(wx, panel_w - ww)), F.greatest(F.lit(0), F.least(wy, panel_h - wh)), ww, wh
 
 
+def _first_frame(at: Column, fps: float) -> Column:
+    """The least frame i >= 0 with i / fps not before ``at``; the product alone may be off by rounding."""
+    near = F.floor(at * fps).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.when((near - 1) / F.lit(fps) >= at, near - 1).when(near / F.lit(fps) >= at, near).otherwise(near + 1))
+
+
+def _frames_of(spans: DataFrame, name: str, fps: float) -> DataFrame:
+    """Every frame of spans ``(ch, n, start_s, end_s)``."""
+    cut = spans.select("ch", F.col("n").alias(name), _first_frame(F.col("start_s"), fps).alias("_f0"), _first_frame(F.col("end_s"), fps).alias("_f1"))
+    return spread(cut, F.col("_f0"), F.col("_f1") - 1, 1, "frame").select("ch", "frame", name)
+
+
 def sample_timeline(clips: DataFrame, cue: DataFrame, effects: DataFrame, totals: DataFrame, fps: float, outro_s: float | None = None,
-                    hot: bool | None = None) -> DataFrame:
+                    hot: bool | None = None, punch_zoom: float = 0.16, pan_ratio: float = 0.85) -> DataFrame:
     """State of the picture at every frame i/fps.
 
     ``clips (ch, clip, start_s, duration_s, motion, transition_s)``: the last one started stays until the
-    next starts. ``cue`` / ``effects`` are ``(ch, n, start_s, end_s)``; ``totals (ch, total_s)``.
+    next starts. ``cue`` / ``effects`` are ``(ch, n, start_s, end_s)``; ``totals (ch, total_s)``. Clips that also have their crop
+    ``x, y, w, h`` and the panel's ``panel_w, panel_h`` give the window shown at the moment (``win_x, win_y, win_w, win_h``).
+
+    Each clip makes its own frames, and so does each cue and effect; frames then look these up by number.
     """
     hot = _hot(clips, hot)
+    cropped = {"x", "y", "w", "h", "panel_w", "panel_h"} <= set(clips.columns)
+    near = scan(clips, CH, ["start_s", "clip"], hot, _next=next_(F.col("start_s")), _before=prev(F.col("start_s")))
     n = F.bround(F.col("total_s") * fps).cast("long")
-    frames = totals.withColumn("_n", n).filter("_n > 0").select("ch", "total_s", F.explode(F.expr("sequence(0L, _n - 1)")).alias("frame")).withColumn("t", F.col("frame") / fps)
-    now = F.struct("clip", "start_s", "duration_s", "motion", "transition_s")
-    line = frames.select("ch", "t", F.lit(1).alias("_k"), "frame", "total_s", F.lit(None).cast(clips.select(now.alias("c")).schema["c"].dataType).alias("_c")).unionByName(
-        clips.select("ch", F.col("start_s").alias("t"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("frame"), F.lit(None).cast("double").alias("total_s"), now.alias("_c")))
-    # a clip starting exactly at a frame comes first, so the frame sees it
-    seen = scan(line, CH, ["t", "_k"], hot, _now=last_to(F.col("_c")), _later=first_after(F.col("_c.clip")), _first=first_after(F.col("_c"))).filter("_k = 1")
-    seen = seen.withColumn("_now", F.coalesce("_now", "_first"))
-    elapsed = F.greatest(F.lit(0.0), F.col("t") - F.col("_now.start_s"))
-    progress = F.when(F.col("_now.duration_s") > 0, F.least(F.lit(1.0), elapsed / F.col("_now.duration_s"))).otherwise(0.0)
-    begin = F.col("_now.start_s") + F.col("_now.duration_s") - F.col("_now.transition_s")
-    phase = F.when(F.col("_later").isNotNull() & (F.col("_now.transition_s") > 0) & (F.col("t") >= begin), (F.col("t") - begin) / F.col("_now.transition_s"))
-    p = seen.select("ch", "frame", "t", "total_s", F.col("_now.clip").alias("clip"), elapsed.alias("elapsed_s"), progress.alias("progress"), phase.alias("phase"),
-                    F.col("_now.motion").alias("motion"))
-    p = p.withColumn("zoom", zoom_factor(F.col("motion"), F.col("progress"), F.col("elapsed_s")))
-    p = points_in(p, cue.select("ch", F.col("n").alias("cue"), F.col("start_s").alias("_a"), F.col("end_s").alias("_b")), CH, "t", F.col("_a"), F.col("_b"), 1, "left").drop("_a", "_b")
-    p = points_in(p, effects.select("ch", F.col("n").alias("effect"), F.col("start_s").alias("_a"), F.col("end_s").alias("_b")), CH, "t", F.col("_a"), F.col("_b"), 1, "left").drop("_a", "_b")
+    near = on_group(near, totals.select("ch", "total_s"), CH, F.col("clip"), hot).withColumns({
+        "_f0": F.when(F.col("_before").isNull(), F.lit(0).cast("long")).otherwise(_first_frame(F.col("start_s"), fps)),
+        "_f1": F.when(F.col("_next").isNull(), n).otherwise(F.least(n, _first_frame(F.col("_next"), fps)))})
+    p = spread(near, F.col("_f0"), F.col("_f1") - 1, 1, "frame").withColumn("t", F.col("frame") / fps)
+    p = p.withColumn("elapsed_s", F.greatest(F.lit(0.0), F.col("t") - F.col("start_s")))
+    p = p.withColumn("progress", F.when(F.col("duration_s") > 0, F.least(F.lit(1.0), F.col("elapsed_s") / F.col("duration_s"))).otherwise(0.0))
+    begin = F.col("start_s") + F.col("duration_s") - F.col("transition_s")
+    later = F.col("_next").isNotNull() | (F.col("t") < F.col("start_s"))
+    phase = F.when(later & (F.col("transition_s") > 0) & (F.col("t") >= begin), (F.col("t") - begin) / F.col("transition_s"))
     outro = F.col("t") >= F.col("total_s") - outro_s if outro_s is not None else F.lit(False)
-    return p.withColumn("outro", outro).drop("total_s", "motion")
+    keep = ["ch", "frame", "t", "clip", "elapsed_s", "progress", phase.alias("phase"), zoom_factor(F.col("motion"), F.col("progress"), F.col("elapsed_s")).alias("zoom")]
+    if cropped:
+        window = live_window(F.col("motion"), F.col("progress"), F.col("elapsed_s"), *[F.col(c) for c in ("x", "y", "w", "h", "panel_w", "panel_h")], punch_zoom, pan_ratio)
+        keep += [c.cast("long").alias(f"win_{a}") for c, a in zip(window, "xywh")]
+    p = p.select(*keep, outro.alias("outro"))
+    return p.join(_frames_of(cue, "cue", fps), ["ch", "frame"], "left").join(_frames_of(effects, "effect", fps), ["ch", "frame"], "left")
 
 
 # --- H18 -------------------------------------------------------------------------------------

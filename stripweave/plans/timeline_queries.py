@@ -247,6 +247,26 @@ def h16(spark, d):
     return tl.loop_ranges(m, 7_000_000).drop("start_s", "duration_s")
 
 
+def _shown() -> str:
+    """The window of a clip's crop (x, y, w, h of a panel 800 wide) at progress pg and el seconds after its start."""
+    eased = "pow(pg * pg * (3 - 2 * pg), 1.6)"
+    f = "(1 + 0.16 * (1 - pow(1 - least(el / 0.2, 1), 3)))"
+    x, y, w, h, ph = "((clip % 5) * 20)", "((clip % 7) * 10)", "(300 + clip % 3 * 100)", "400", "(500 + clip % 4 * 200)"
+    nw, nh = f"greatest(8, {even(f'{w} / {f}')})", f"greatest(8, {even(f'{h} / {f}')})"
+    side = f"800 - {w} >= {ph} - {h}"
+    px = f"least(800 - {w}, {x} + CASE WHEN 800 - {w} - {x} <= 0 THEN 0 ELSE {even(f'(800 - {w} - {x}) * 0.85 * {eased}')} END)"
+    py = f"least({ph} - {h}, {y} + CASE WHEN {ph} - {h} - {y} <= 0 THEN 0 ELSE {even(f'({ph} - {h} - {y}) * 0.85 * {eased}')} END)"
+    punch, pan = "motion = 'punch_in'", "motion = 'fast_pan'"
+    ww, wh = f"CASE WHEN {punch} THEN {nw} ELSE {w} END", f"CASE WHEN {punch} THEN {nh} ELSE {h} END"
+    wx = f"CASE WHEN {punch} THEN {x} + floor(({w} - {nw}) / 2) WHEN {pan} AND {side} THEN {px} ELSE {x} END"
+    wy = f"CASE WHEN {punch} THEN {y} + floor(({h} - {nh}) / 2) WHEN {pan} AND NOT ({side}) THEN {py} ELSE {y} END"
+    at = [f"greatest(0, least({wx}, 800 - {ww}))", f"greatest(0, least({wy}, {ph} - {wh}))", ww, wh]
+    return ", ".join(f"CAST({e} AS BIGINT) AS win_{n}" for e, n in zip(at, "xywh"))
+
+
+PAN = _shown()
+
+
 @query("h17_sample_timeline", v.sql("scene_panels", f"""WITH {PLACED}, mc AS (SELECT ch, clip, motion, CAST(round(start_s * 1000) AS DOUBLE) / 1000 AS s, CAST(round(duration_s * 1000) AS DOUBLE) / 1000 AS dd, scene % 2 = 1 AS tr FROM cl),
   tt AS (SELECT ch, max(s + dd) AS total FROM mc GROUP BY ch), fr AS (SELECT ch, total, unnest(range(CAST({even('total * 2')} AS BIGINT))) AS frame FROM tt),
   fa AS (SELECT fr.*, frame / 2.0 AS t, max(mc.clip) AS clip FROM fr JOIN mc ON mc.ch = fr.ch AND mc.s <= frame / 2.0 GROUP BY ALL),
@@ -254,10 +274,11 @@ def h16(spark, d):
   SELECT ch, frame, clip, round(el, 9) AS elapsed_s, round(pg, 9) AS progress, round(CASE WHEN tr AND clip < lastc AND t >= s + dd - 0.6 THEN (t - (s + dd - 0.6)) / 0.6 ELSE 0 END, 5) AS phase,
     round(least(1.05, CASE WHEN motion = 'punch_in' THEN 1 + 0.05 * (1 - pow(1 - least(el / 0.2, 1), 3)) ELSE 1 + 0.05 * pg * pg * (3 - 2 * pg) END), 9) AS zoom,
     coalesce((SELECT clip FROM mc c WHERE c.ch = x.ch AND c.s + 0.1 * c.dd <= x.t AND x.t < c.s + 0.8 * c.dd), -1) AS cue, coalesce((SELECT clip FROM mc c WHERE c.ch = x.ch AND c.clip % 2 = 0 AND c.s <= x.t AND x.t < c.s + 0.5 * c.dd), -1) AS effect,
-    t >= total - 1.5 AS outro FROM x"""))
+    t >= total - 1.5 AS outro, WIN FROM x""".replace("WIN", PAN)))
 def h17(spark, d):
     ms = {c: F.round(F.col(c) * 1000).cast("long").cast("double") / 1000 for c in ("start_s", "duration_s")}
-    c = _clips(spark, d).withColumns(ms).select("ch", "clip", "start_s", "duration_s", "motion", F.when(F.col("scene") % 2 == 1, 0.6).alias("transition_s"))
+    c = _clips(spark, d).withColumns(ms).select("ch", "clip", "start_s", "duration_s", "motion", F.when(F.col("scene") % 2 == 1, 0.6).alias("transition_s"),
+        *[F.expr(e).cast("long").alias(n) for n, e in (("x", "clip % 5 * 20"), ("y", "clip % 7 * 10"), ("w", "300 + clip % 3 * 100"), ("h", "400"), ("panel_w", "800"), ("panel_h", "500 + clip % 4 * 200"))])
     totals = c.groupBy("ch").agg(F.max(F.col("start_s") + F.col("duration_s")).alias("total_s"))
     cue = c.select("ch", F.col("clip").alias("n"), (F.col("start_s") + 0.1 * F.col("duration_s")).alias("a"), (F.col("start_s") + 0.8 * F.col("duration_s")).alias("end_s")).withColumnRenamed("a", "start_s")
     fx = c.filter("clip % 2 = 0").select("ch", F.col("clip").alias("n"), "start_s", (F.col("start_s") + 0.5 * F.col("duration_s")).alias("end_s"))
