@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stripweave.functions.ordered import join_on
 
@@ -54,14 +54,19 @@ def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) ->
 
 
 def islands(df: DataFrame, keys: Sequence[str], lo: str, hi: str, hot: bool, name: str = "island", slack: int = 0) -> DataFrame:
-    """Number groups of spans chained by overlap (a gap below ``slack`` still chains).
+    """Number groups of spans chained by overlap (a gap below ``slack`` still chains); spans with the same start are always together.
 
-    Spans with the same start are first combined to their furthest end, so a group holds one row
+    In hot groups spans with the same start are first combined to their furthest end, so a group holds one row
     per start however many spans it has.
     """
     from stripweave.functions.ordered import max_before, scan, sum_to
 
     keys = list(keys)
+    if not hot:
+        w = Window.partitionBy(*keys).orderBy(lo)
+        reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marked = df.withColumn("_break", F.when(reach.isNull() | ((F.col(lo) >= reach + slack) & ~F.lag(lo).over(w).eqNullSafe(F.col(lo))), 1).otherwise(0))
+        return marked.withColumn(name, F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
     tops = df.groupBy(*keys, lo).agg(F.max(hi).alias("_hi"))
     reach = scan(tops, keys, [lo], hot, _reach=max_before(F.col("_hi")))
     broken = reach.withColumn("_break", F.when(F.col("_reach").isNull() | (F.col(lo) >= F.col("_reach") + slack), 1).otherwise(0))

@@ -309,20 +309,30 @@ def enforce_order(ids: DataFrame, panels: DataFrame, hot: bool | None = None) ->
     return kept.unionByName(filled)
 
 
-def coverage(scenes: DataFrame, scene_panels: DataFrame, panels: DataFrame, giant: int = 1500) -> DataFrame:
-    """Per chapter: scenes, filler, words, distinct key panels, panels left over and giant panels.
+def covered_panels(scene_panels: DataFrame) -> DataFrame:
+    """The panels ``(ch, panel)`` that at least one scene shows, each once; a chapter's list is these rows by panel."""
+    return scene_panels.select("ch", "panel").distinct()
 
-    ``scenes (ch, idx, narration, is_filler)``, ``scene_panels (ch, scene, panel)``, ``panels (ch, idx, height)``.
+
+def coverage(scenes: DataFrame, scene_panels: DataFrame, panels: DataFrame, giant: int = 1500, calls: DataFrame | None = None) -> DataFrame:
+    """Per chapter: scenes, filler, words, distinct key panels with the first and last of them, panels left over and giant panels.
+
+    ``scenes (ch, idx, narration, is_filler)``, ``scene_panels (ch, scene, panel)``, ``panels (ch, idx, height)``. With
+    ``calls (ch, prompt_tokens, output_tokens, thinking_tokens)``, one row per model call, also their number and the tokens billed.
     """
     a = scenes.groupBy("ch").agg(
         F.count(F.lit(1)).alias("scenes"), F.count_if("is_filler").alias("filler"),
         F.sum(F.when(~F.col("is_filler"), F.size(tx.words(F.col("narration")))).otherwise(0)).alias("words"))
-    used = scene_panels.select("ch", F.col("panel").alias("idx")).distinct()
-    b = used.groupBy("ch").agg(F.count(F.lit(1)).alias("key_panels"))
+    used = covered_panels(scene_panels).withColumnRenamed("panel", "idx")
+    b = used.groupBy("ch").agg(F.count(F.lit(1)).alias("key_panels"), F.min("idx").alias("first_panel"), F.max("idx").alias("last_panel"))
     c = panels.join(used.withColumn("_u", F.lit(True)), ["ch", "idx"], "left").groupBy("ch").agg(
         F.count(F.lit(1)).alias("panels"), F.count_if(F.col("_u").isNull()).alias("leftover"), F.count_if(F.col("height") > giant).alias("giant"))
     out = a.join(b, "ch", "full").join(c, "ch", "full")
-    return out.fillna(0, [x for x in out.columns if x != "ch"])
+    if calls is not None:
+        kinds = ("prompt_tokens", "output_tokens", "thinking_tokens")
+        spent = calls.groupBy("ch").agg(F.count(F.lit(1)).alias("calls"), *[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in kinds])
+        out = out.join(spent, "ch", "full")
+    return out.fillna(0, [x for x in out.columns if x not in ("ch", "first_panel", "last_panel")])
 
 
 # The sentence put in where the writer gave none, by language.
@@ -337,11 +347,11 @@ CALLS = {
 
 
 def script_conventions(paragraphs: DataFrame, call: str, intros: Sequence[str], language: str = "en", position: float = 0.4,
-                       hot: bool | None = None) -> DataFrame:
+                       hot: bool | None = None, own: str | None = None) -> DataFrame:
     """Opening and call to action of each script ``(ch, idx, text)``, ``idx`` from 0.
 
     A generic first sentence goes if others remain. One call to action in a good place stays; otherwise
-    all go and the language's own is put at about 40 %.
+    all go and the language's own is put at about 40 %. The caller's ``own`` sentence always takes their place; an empty one leaves none.
     """
     hot = _hot(paragraphs, hot)
     s = F.col("_s")
@@ -356,15 +366,16 @@ def script_conventions(paragraphs: DataFrame, call: str, intros: Sequence[str],
                                 F.max(F.when(F.col("_hits") > 0, F.struct("idx", ends.alias("ends")))).alias("_at"))
     p = on_group(p.drop("_o"), facts, CH, F.col("idx"), hot)
     n = F.col("_n")
-    well = F.coalesce((F.col("_all") == 1) & (n >= 4) & (F.col("_at.idx") >= 2) & (F.col("_at.idx") <= n - 2) & ~F.col("_at.ends"), F.lit(False))
+    well = F.coalesce((F.col("_all") == 1) & (n >= 4) & (F.col("_at.idx") >= 2) & (F.col("_at.idx") <= n - 2) & ~F.col("_at.ends"), F.lit(False)) & F.lit(own is None)
     k = F.greatest(F.lit(0), F.least(n - 2, F.greatest(F.lit(2), F.bround(position * (n - 1)))))
     # a paragraph made of calls only keeps its text
     base = F.when((F.col("_hits") > 0) & (F.size("_k") > 0), F.col("_k")).otherwise(F.col("_s"))
-    own = F.array(F.lit(CALLS.get(language, CALLS["en"])))
+    sentence = CALLS.get(language.lower(), CALLS["en"]) if own is None else own.strip()
+    put = F.array(F.lit(sentence)) if sentence else F.array().cast("array<string>")
     m = F.size("_b")
-    placed = F.when((F.col("idx") == n - 1) & (m > 1), F.concat(F.slice("_b", 1, F.greatest(m - 1, F.lit(0))), own, F.slice("_b", F.greatest(m, F.lit(1)), 1))).otherwise(F.concat("_b", own))
+    placed = F.when((F.col("idx") == n - 1) & (m > 1), F.concat(F.slice("_b", 1, F.greatest(m - 1, F.lit(0))), put, F.slice("_b", F.greatest(m, F.lit(1)), 1))).otherwise(F.concat("_b", put))
     p = p.withColumn("_b", base)
-    out = F.when(well, F.col("text")).when(F.col("idx") == k, F.array_join(placed, " ")).when(
+    out = F.when(well, F.col("text")).when((F.col("idx") == k) & F.lit(sentence != ""), F.array_join(placed, " ")).when(
         (F.col("_hits") > 0) & (F.size("_k") > 0), F.array_join("_b", " ")).otherwise(F.col("text"))
     return p.select("ch", "idx", out.alias("text"))
 

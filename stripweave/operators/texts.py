@@ -285,29 +285,30 @@ def mend_json(s: str) -> tuple[str | None, str]:
 def parse_model_json(df: DataFrame, column: str, schema: str, list_key: str, defaults: Mapping[str, str] | None = None) -> DataFrame:
     """Tolerant JSON column: ``parsed`` by ``schema`` and ``status``.
 
-    Clean objects are read natively; only the others go through one Arrow function that mends them. A bare
+    Clean objects are read natively; only the others, a separate branch, go through one Arrow function that mends them. A bare
     list is put under ``list_key``; ``defaults`` (JSON text) stand in for missing parts.
     """
     @F.pandas_udf("json string, status string")
     def mend(s: pd.Series) -> pd.DataFrame:
-        pairs = [(None, "clean") if x is None else mend_json(x) for x in s]
+        pairs = [(None, "invalid") if x is None else mend_json(x) for x in s]
         return pd.DataFrame(pairs, columns=["json", "status"])
 
     probe = F.try_parse_json(column) if hasattr(F, "try_parse_json") else None
     runaway = F.col(column).rlike(r"[0-9]{19,}")
     clean = F.coalesce(probe.isNotNull(), F.lit(False)) & ~runaway if probe is not None else F.lit(False)
     p = df.withColumn("_clean", clean)
-    p = once(p, _m=mend(F.when(~F.col("_clean"), F.col(column))))
-    text = F.when(F.col("_clean"), F.col(column)).otherwise(F.col("_m.json"))
-    status = F.when(F.col("_clean"), "ok").otherwise(F.col("_m.status"))
+    native = p.filter("_clean").select(*df.columns, F.col(column).alias("_text"), F.lit("ok").alias("status"))
+    # the mending function stands in a plan of its own, so clean rows never leave the JVM
+    mended = once(p.filter("not _clean"), _m=mend(F.col(column))).select(*df.columns, F.col("_m.json").alias("_text"), F.col("_m.status").alias("status"))
+    p, text = native.unionByName(mended), F.col("_text")
     text = F.when(F.ltrim(text).startswith("["), F.concat(F.lit(f'{{"{list_key}":'), text, F.lit("}"))).otherwise(text)
-    p = p.withColumns({"_t": text, "status": status}).withColumn("parsed", F.from_json("_t", schema))
+    p = p.withColumn("_t", text).withColumn("parsed", F.from_json("_t", schema))
     for name, value in (defaults or {}).items():
         kind = T.StructType.fromDDL(schema)[name].dataType.simpleString()
         p = p.withColumn("parsed", F.when(F.col("parsed").isNotNull(), F.col("parsed").withField(name, F.coalesce(F.col(f"parsed.{name}"), F.from_json(F.lit(value), kind)))))
     # an answer without its list is refused
     lacking = (F.col("status") == "ok") & F.col(f"parsed.{list_key}").isNull()
-    return p.withColumn("status", F.when(lacking, "invalid").otherwise(F.col("status"))).drop("_clean", "_m", "_t")
+    return p.withColumn("status", F.when(lacking, "invalid").otherwise(F.col("status"))).drop("_text", "_t")
 
 
 # --- C13 -------------------------------------------------------------------------------------

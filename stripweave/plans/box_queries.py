@@ -404,14 +404,18 @@ MATCH = """r AS (SELECT ch AS "case", idx AS ref, y_start + 300 AS y0, y_start +
   ev AS (SELECT r."case", r.ref, coalesce(block, -1) AS block, coalesce(shot, -1) AS shot, round(coalesce(iou, 0), 4) AS iou FROM r LEFT JOIN bs ON bs."case" = r."case" AND bs.ref = r.ref)"""
 
 
-def _matched(spark, d):
+def _cases(spark, d):
     p = v.panels(spark, d)
     refs = p.select(F.col("ch").alias("case"), F.col("idx").alias("ref"), (F.col("y_start") + 300).alias("y0"), (F.col("y_start") + F.col("height") + 300).alias("y1"))
     blocks = p.select(F.col("ch").alias("case"), F.col("idx").alias("block"), F.col("y_start").alias("y0"), (F.col("y_start") + F.col("height")).alias("y1"))
     half = F.floor((F.col("y1") - F.col("y0")) / 2)
     shots = blocks.withColumn("shot", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "case", "block", "shot", (F.col("y0") + F.col("shot") * half).alias("_a"), (F.col("y0") + (F.col("shot") + 1) * half).alias("_b")).withColumnsRenamed({"_a": "y0", "_b": "y1"})
-    out = bx.match_references(refs, shots, blocks)
+    return refs, shots, blocks
+
+
+def _matched(spark, d):
+    out = bx.match_references(*_cases(spark, d))
     return out.withColumns({"block": F.coalesce("block", F.lit(-1)), "shot": F.coalesce("shot", F.lit(-1))})
 
 
@@ -420,13 +424,22 @@ def e15(spark, d):
     return _matched(spark, d)
 
 
-@query("e16_evaluation_summary", v.sql("panels", f"""WITH {MATCH}, x AS (SELECT "case", iou, ref % 3 AS hc, ref % 2 AS bc, iou / 2 AS off FROM ev)
-  SELECT g AS total, name, n, round(m, 9) AS iou_mean, round(lo, 9) AS iou_min, round(md, 9) AS iou_median, round(sh, 9) AS share_iou, hc AS head_cuts, bc AS bubble_cuts, oc AS offcenter FROM (
+@query("e16_evaluation_summary", v.sql("panels", f"""WITH {MATCH}, x AS (SELECT "case", iou, ref % 3 AS hc, ref % 2 AS bc, ref % 5 AS nc, ref % 4 AS sc, iou / 2 AS off FROM ev), y AS (SELECT "case", shot + block % 2 AS hc, block % 3 AS bc, shot AS nc, 1 AS sc, (block % 10) / 20.0 AS off FROM sh),
+  k AS (SELECT grouping("case") = 1 AS g, coalesce(CAST("case" AS VARCHAR), '') AS name, count(*) AS calls, CAST(sum(height) AS DOUBLE) * 0.125 AS cost FROM (SELECT ch AS "case", height FROM panels) GROUP BY GROUPING SETS (("case"), ())),
+  z AS (SELECT grouping("case") = 1 AS g, coalesce(CAST("case" AS VARCHAR), '') AS name, count(*) AS shots, CAST(sum(hc) AS BIGINT) AS hc, CAST(sum(bc) AS BIGINT) AS bc, CAST(sum(nc) AS BIGINT) AS nc, CAST(sum(sc) AS BIGINT) AS sc, count(*) FILTER (off > 0.25) AS oc FROM y GROUP BY GROUPING SETS (("case"), ()))
+  SELECT r.g AS total, r.name, n, round(m, 9) AS iou_mean, round(lo, 9) AS iou_min, round(md, 9) AS iou_median, round(sh, 9) AS share_iou, r.hc AS head_cuts, r.bc AS bubble_cuts, r.nc AS narration_included, r.sc AS sfx_cuts, r.oc AS offcenter,
+    shots, z.hc AS shot_head_cuts, z.bc AS shot_bubble_cuts, z.nc AS shot_narration_included, z.sc AS shot_sfx_cuts, z.oc AS shot_offcenter, calls, cost FROM (
    SELECT grouping("case") = 1 AS g, coalesce(CAST("case" AS VARCHAR), '') AS name, count(*) AS n, avg(iou) AS m, min(iou) AS lo, median(iou) AS md, CAST(count(*) FILTER (iou >= 0.7) AS DOUBLE) / count(*) AS sh,
-     CAST(sum(hc) AS BIGINT) AS hc, CAST(sum(bc) AS BIGINT) AS bc, count(*) FILTER (off > 0.25) AS oc FROM x GROUP BY GROUPING SETS (("case"), ()))"""))
+     CAST(sum(hc) AS BIGINT) AS hc, CAST(sum(bc) AS BIGINT) AS bc, CAST(sum(nc) AS BIGINT) AS nc, CAST(sum(sc) AS BIGINT) AS sc, count(*) FILTER (off > 0.25) AS oc FROM x GROUP BY GROUPING SETS (("case"), ())) r JOIN z ON z.g = r.g AND z.name = r.name JOIN k ON k.g = r.g AND k.name = r.name"""))
 def e16(spark, d):
-    e = _matched(spark, d).select("case", "iou", (F.col("ref") % 3).alias("head_cuts"), (F.col("ref") % 2).alias("bubble_cuts"), (F.col("iou") / 2).alias("offcenter"))
-    return bx.evaluation_summary(e, v.hot_chapters(spark, d)).withColumns({c: F.round(c, 9) for c in ("iou_mean", "iou_min", "iou_median", "share_iou")})
+    def part(column: str, n: int, name: str):
+        return (F.col(column) % n).alias(name)
+
+    refs, shots, _ = _cases(spark, d)
+    e = _matched(spark, d).select("case", "iou", part("ref", 3, "head_cuts"), part("ref", 2, "bubble_cuts"), part("ref", 5, "narration_included"), part("ref", 4, "sfx_cuts"), (F.col("iou") / 2).alias("offcenter"))
+    s = shots.select("case", (F.col("shot") + F.col("block") % 2).alias("head_cuts"), part("block", 3, "bubble_cuts"), F.col("shot").alias("narration_included"), F.lit(1).alias("sfx_cuts"), ((F.col("block") % 10) / 20).alias("offcenter"))
+    runs = refs.select("case", F.lit(1).alias("calls"), ((F.col("y1") - F.col("y0")) * 0.125).alias("cost"))
+    return bx.evaluation_summary(e, v.hot_chapters(spark, d), s, runs).withColumns({c: F.round(c, 9) for c in ("iou_mean", "iou_min", "iou_median", "share_iou")})
 
 
 @query("e17_extract_figures")

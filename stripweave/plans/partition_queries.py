@@ -131,12 +131,21 @@ def f8(spark, d):
 
 
 @query("f9_coverage", v.sql("scenes scene_panels", """WITH a AS (SELECT ch, count(*) AS scenes, count(*) FILTER (is_filler) AS filler, CAST(sum(CASE WHEN is_filler THEN 0 ELSE len(string_split(trim(regexp_replace(narration, '\\s+', ' ', 'g')), ' ')) END) AS BIGINT) AS words FROM scenes GROUP BY ch),
-  u AS (SELECT DISTINCT ch, panel AS idx FROM scene_panels WHERE heavy), b AS (SELECT ch, count(*) AS key_panels FROM u GROUP BY ch),
-  c AS (SELECT p.ch, count(*) AS panels, count(*) FILTER (u.idx IS NULL) AS leftover, count(*) FILTER (height > 1500) AS giant FROM panels p LEFT JOIN u ON u.ch = p.ch AND u.idx = p.idx GROUP BY p.ch)
-  SELECT ch, coalesce(scenes, 0) AS scenes, coalesce(filler, 0) AS filler, coalesce(words, 0) AS words, coalesce(key_panels, 0) AS key_panels, coalesce(panels, 0) AS panels, coalesce(leftover, 0) AS leftover, coalesce(giant, 0) AS giant
-  FROM a FULL JOIN b USING (ch) FULL JOIN c USING (ch)"""))
+  u AS (SELECT DISTINCT ch, panel AS idx FROM scene_panels WHERE heavy), b AS (SELECT ch, count(*) AS key_panels, min(idx) AS fp, max(idx) AS lp FROM u GROUP BY ch),
+  c AS (SELECT p.ch, count(*) AS panels, count(*) FILTER (u.idx IS NULL) AS leftover, count(*) FILTER (height > 1500) AS giant FROM panels p LEFT JOIN u ON u.ch = p.ch AND u.idx = p.idx GROUP BY p.ch),
+  t AS (SELECT user_id AS ch, count(*) AS calls, CAST(sum(length(props)) AS BIGINT) AS pt, CAST(sum(event_id % 50) AS BIGINT) AS ot, CAST(coalesce(sum(CASE WHEN event_id % 3 = 0 THEN 7 END), 0) AS BIGINT) AS tt FROM events GROUP BY user_id)
+  SELECT ch, coalesce(scenes, 0) AS scenes, coalesce(filler, 0) AS filler, coalesce(words, 0) AS words, coalesce(key_panels, 0) AS key_panels, coalesce(fp, -1) AS first_panel, coalesce(lp, -1) AS last_panel, coalesce(panels, 0) AS panels, coalesce(leftover, 0) AS leftover, coalesce(giant, 0) AS giant,
+    coalesce(calls, 0) AS calls, coalesce(pt, 0) AS prompt_tokens, coalesce(ot, 0) AS output_tokens, coalesce(tt, 0) AS thinking_tokens
+  FROM a FULL JOIN b USING (ch) FULL JOIN c USING (ch) FULL JOIN t USING (ch)"""))
 def f9(spark, d):
-    return pt.coverage(v.scenes(spark, d), v.scene_panels(spark, d).filter("heavy"), v.panels(spark, d))
+    """Calls are the events, billed to the chapter of their user's number."""
+    calls = v.table(spark, d, "events").select(F.col("user_id").cast("long").alias("ch"), F.length("props").alias("prompt_tokens"), (F.col("event_id") % 50).alias("output_tokens"), F.when(F.col("event_id") % 3 == 0, 7).alias("thinking_tokens"))
+    return pt.coverage(v.scenes(spark, d), v.scene_panels(spark, d).filter("heavy"), v.panels(spark, d), calls=calls).fillna(-1, ["first_panel", "last_panel"])
+
+
+@query("f9_covered_panels", v.sql("scene_panels", "SELECT DISTINCT ch, panel FROM scene_panels WHERE heavy"))
+def f9b(spark, d):
+    return pt.covered_panels(v.scene_panels(spark, d).filter("heavy"))
 
 
 CALL, INTRO = r"\b(?:das|pour|with)\b", [r"^\s*(?:the|les|der)\b"]
@@ -158,6 +167,27 @@ def f10(spark, d):
     return pt.script_conventions(s, CALL, INTRO, hot=v.hot_talks(spark, d))
 
 
+def _own_call(sentence: str) -> str:
+    """The text above where the caller gives the sentence, an empty one for none."""
+    text = SQL["f10_script_conventions"]
+    at = text.index("total = 1 AND"), text.index(" AS well")
+    text = text[: at[0]] + "false" + text[at[1] :]
+    text = text.replace("'If you''re enjoying this recap, subscribe so you never miss the next chapter.'", f"'{sentence}'")
+    return text if sentence else text.replace("WHEN idx = kk THEN", "WHEN false THEN")
+
+
+@query("f10_own_call", _own_call("Come back soon."))
+def f10b(spark, d):
+    s = v.scenes(spark, d).select("ch", "idx", F.col("narration").alias("text"))
+    return pt.script_conventions(s, CALL, INTRO, hot=v.hot_talks(spark, d), own=" Come back soon. ")
+
+
+@query("f10_no_call", _own_call(""))
+def f10c(spark, d):
+    s = v.scenes(spark, d).select("ch", "idx", F.col("narration").alias("text"))
+    return pt.script_conventions(s, CALL, INTRO, hot=v.hot_talks(spark, d), own="")
+
+
 @query("f11_first_fitting_rung", v.sql("panels", """WITH s AS (SELECT ch, r AS rung, sum(height * (6 - r) * 100) AS b FROM panels, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS r) GROUP BY ch, r)
   SELECT ch, coalesce(min(CASE WHEN b <= 1000000 THEN rung END), -1) AS rung FROM s GROUP BY ch"""))
 def f11(spark, d):
