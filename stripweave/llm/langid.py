@@ -43,6 +43,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 RESULT = "struct<lang: string, score: double, spans: array<struct<first: int, last: int, lang: string>>>"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; other characters that count as part of a word, such as fractions and raised digits, end a run."""
+    out = []
+    for w in _WORD.findall(text):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def script_of(word: str) -> str:
     c = ord(word[-1])
     return "latin" if c < _STARTS[0] else SCRIPTS[bisect_right(_STARTS, c) - 1][1]
@@ -67,13 +78,17 @@ class Languages:
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log score of each language for each word, relative to the word's best; -60 where the script rules it out."""
+        return self.rows(words)[:, : len(self.langs)]
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The scores, and a last column that is 1 where there is evidence: a known n-gram in a known script."""
         cache, n = self.cache, len(self.langs)
         if len(cache) > 150_000:
             cache.clear()
         new = [w for w in dict.fromkeys(words) if w not in cache]
         if new:
             if not cache:
-                self.table[:] = [np.zeros((0, n), np.float32)]
+                self.table[:] = [np.zeros((0, n + 1), np.float32)]
             get, rows, counts = self.row.get, [], []
             for w in new:
                 own = [r for g in grams_of(w) if (r := get(g)) is not None]
@@ -87,27 +102,30 @@ class Languages:
             kind = [script_of(w) for w in new]
             s[~np.array([self.scripts.get(k, everyone) for k in kind])] = -np.inf
             s = np.maximum(s - s.max(axis=1, keepdims=True), -60).astype(np.float32)
-            s[[i for i, k in enumerate(kind) if k not in self.scripts]] = 0
+            strange = np.array([k not in self.scripts for k in kind])
+            s[strange] = 0
+            told = ((np.array(counts) > 0) & ~strange).astype(np.float32)
             base = len(self.table[0])
-            self.table[0] = np.concatenate([self.table[0], s])
+            self.table[0] = np.concatenate([self.table[0], np.column_stack([s, told])])
             cache.update(zip(new, range(base, base + len(new))))
         return self.table[0][[cache[w] for w in words]]
 
-    def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """The words of each text and their labels, by exact Viterbi.
+    def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """The words of each text, their labels by exact Viterbi, and whether there is evidence for them.
 
         Texts are cut into segments that advance together, whatever their text's length: a first pass finds what
         each segment adds between every two states, those sums are chained along each text, and a second pass
         from the values so known notes where the best path to each state switches. The path is then read back
         from switch to switch.
         """
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t.lower()) if t else [] for t in texts]
         flat = [w for ws in words for w in ws]
         if not flat:
-            return [(w, np.zeros(0, np.int16)) for w in words]
+            return [(w, np.zeros(0, np.int16), np.zeros(0)) for w in words]
         counts, n = np.array([len(w) for w in words]), len(self.langs)
         begin = bounds(counts)
-        score = self.score(flat)
+        score = self.rows(flat)
+        score, told = score[:, :-1], score[:, -1]
         pieces = -(-counts // SEGMENT)
         of = bounds(pieces)
         text = np.repeat(np.arange(len(texts)), pieces)
@@ -154,7 +172,7 @@ class Languages:
                 label[p:hi] = state
                 hi, state = p, int(source[p])
             label[lo:hi] = state
-        return [(w, label[begin[d] : begin[d + 1]]) for d, w in enumerate(words)]
+        return [(w, label[begin[d] : begin[d + 1]], told[begin[d] : begin[d + 1]]) for d, w in enumerate(words)]
 
 
 def fit(docs: DataFrame, *, per_lang: int = PER_LANG, grams: int = GRAMS, switch: float = SWITCH) -> Languages:
@@ -172,7 +190,7 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, grams: int = GRAMS, switch
         tally: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = Counter(_WORD.findall(text.lower()))
+                words = Counter(words_of(text.lower()))
                 own = tally.setdefault(lang, Counter())
                 for w, n in words.items():
                     own["\x00" + script_of(w)] += n
@@ -200,20 +218,24 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, grams: int = GRAMS, switch
 
 def _judge(model: Languages, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, int]]]]:
     out = []
-    for words, label in model.label(texts) if model.langs else []:
+    for words, label, told in model.label(texts) if model.langs else []:
         if not words:
             out.append(("und", 0.0, []))
             continue
-        letters = np.bincount(label, weights=[len(w) for w in words], minlength=len(model.langs))
+        size = np.array([len(w) for w in words])
+        letters = np.bincount(label, weights=size * told, minlength=len(model.langs))
         turn = np.flatnonzero(np.diff(label)) + 1
         edges = [0, *turn.tolist(), len(words)]
-        best = int(letters.argmax())
-        out.append((model.langs[best], float(letters[best] / letters.sum()), [(a, b, int(label[a])) for a, b in zip(edges, edges[1:])]))
+        best = int((letters if letters.any() else np.bincount(label, weights=size, minlength=len(model.langs))).argmax())
+        out.append((model.langs[best], float(letters[best] / size.sum()), [(a, b, int(label[a])) for a, b in zip(edges, edges[1:])]))
     return out or [("und", 0.0, []) for _ in texts]
 
 
 def label_spans(docs: DataFrame, model: Languages, *, text: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with a struct ``into``: lang, score (its share of the letters) and spans of words [first, last)."""
+    """``docs`` with a struct ``into``: lang, score (the share of the letters that speak for it) and spans of words [first, last).
+
+    Words of a script or of n-grams that were never learned speak for no language, so a text of those alone has score 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf(RESULT)
@@ -253,14 +275,14 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents with a span in a learned language, in however many languages; where none was learned, those with a letter."""
+    """The documents with a word that speaks for a learned language, in however many languages; where none was learned, those with a letter."""
     model = fit(docs)
     if not model.langs:
 
         @arrow_udf("boolean")
         def lettered(column: pa.Array) -> pa.Array:
-            return pa.array([t is not None and _WORD.search(t) is not None for t in column.to_pylist()], pa.bool_())
+            return pa.array([t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()], pa.bool_())
 
         return docs.where(lettered(F.col("text").cast("string")))
     judged = label_spans(docs, model, into="__language")
-    return judged.where(F.size(F.col("__language")["spans"]) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.where(F.col("__language")["score"] > 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,9 +13,9 @@ def test_viterbi_is_brute_force(monkeypatch):
     for _ in range(150):
         m = L.Languages(["a", "b", "c"], {"latin": [True] * 3}, {}, np.zeros((0, 3)), 2.0)
         score = -rng.random((10, 3)).astype(np.float32) * 4
-        m.cache, m.table = {w: i for i, w in enumerate(vocab)}, [score]
+        m.cache, m.table = {w: i for i, w in enumerate(vocab)}, [np.column_stack([score, np.ones(10, np.float32)])]
         texts = [" ".join(rng.choice(vocab, size=rng.integers(0, 23))) for _ in range(6)] + [None]
-        for t, (_, label) in zip(texts, m.label(texts)):
+        for t, (_, label, _) in zip(texts, m.label(texts)):
             s = np.array([score[vocab.index(x)] for x in (t or "").split()], float).reshape(-1, 3)
             if len(s):
                 best = s[0]
