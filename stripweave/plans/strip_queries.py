@@ -136,7 +136,15 @@ def _means(spark, d):
     return rows.select("strip", *[m.alias(c) for m, c in zip(mean, "rgb")], F.lit(1.0).alias("std"))
 
 
-@query("d9_background_palette")
+LEVEL = "least(255, greatest(0, CAST(round_even(list_avg(list_filter(px, lambda x, i: i % 3 = {}) ) / 16, 0) * 16 AS INT))) AS {}"
+
+
+@query("d9_background_palette", v.sql("strip_rows", f"""WITH m AS (SELECT strip, {LEVEL.format(1, 'r')}, {LEVEL.format(2, 'g')}, {LEVEL.format(0, 'b')} FROM strip_rows),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY strip) AS every FROM (SELECT strip, r, g, b, count(*) AS n FROM m GROUP BY ALL)),
+  l AS (SELECT strip, list({{'r': r, 'g': g, 'b': b}} ORDER BY n DESC, r, g, b) FILTER (n >= greatest(2, every * 0.02)) AS l FROM c GROUP BY strip),
+  k AS (SELECT strip, list_reduce(coalesce(l, []), lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: greatest(abs(q.r - x.r), abs(q.g - x.g), abs(q.b - x.b)) <= 24)) > 0 THEN acc ELSE list_append(acc, x) END,
+    [CAST({{'r': 255, 'g': 255, 'b': 255}} AS STRUCT(r INT, g INT, b INT)), CAST({{'r': 0, 'g': 0, 'b': 0}} AS STRUCT(r INT, g INT, b INT))]) AS k FROM l)
+  SELECT strip, CAST(pos - 1 AS INT) AS pos, q.r AS r, q.g AS g, q.b AS b FROM (SELECT strip, unnest(k) AS q, generate_subscripts(k, 1) AS pos FROM k)"""))
 def d9(spark, d):
     return strips.background_palette(_means(spark, d), min_count=2, min_share=0.02)
 
