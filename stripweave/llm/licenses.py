@@ -217,17 +217,38 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
 
 
+#: Lines and windows as ``scan_blocks`` takes them, by plain sets: every window of a template's span that starts at one of its words.
 REPORT_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+w AS MATERIALIZED (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_values(PHRASES.items())}) x(phrase, label)),
 pl AS (SELECT r, i, label FROM (SELECT r, w, unnest(range(0, len(w))) AS i FROM w), p WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM pl GROUP BY r),
-tp AS (SELECT label, list_distinct(string_split(words, ' ')) AS s FROM (VALUES {_values(TEMPLATES)}) x(label, words)),
-bl AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM w),
-hit AS (SELECT r, label, len(list_intersect(bl.s, tp.s)) / len(tp.s) AS c FROM bl, tp WHERE 100 * len(list_intersect(bl.s, tp.s)) >= {PERCENT} * len(tp.s)),
-own AS (SELECT r, list_distinct(list(label)) AS labels, max(c) AS best, count(*) AS n_blocks FROM hit GROUP BY r)
+tp AS (
+  SELECT row_number() OVER () AS k, label, list_distinct(string_split(words, ' ')) AS s, {SPREAD} * len(string_split(words, ' ')) AS span
+  FROM (VALUES {_values(TEMPLATES)}) x(label, words)),
+ln AS (SELECT r, line, regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM (
+  SELECT r, generate_subscripts(ls, 1) AS line, unnest(ls) AS l FROM (SELECT r, string_split(t, chr(10)) AS ls FROM w))),
+laid AS (SELECT r, l, coalesce(sum(len(l)) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM ln),
+near AS (
+  SELECT r, k, label, a, a + len(l) - 1 AS b, len(list_intersect(list_distinct(l), s)) / len(s) AS c
+  FROM laid, tp WHERE len(l) <= span AND 100 * len(list_intersect(list_distinct(l), s)) >= {PERCENT} * len(s)),
+tw AS (SELECT k, label, span, len(s) AS n, unnest(s) AS word FROM tp),
+hit AS (
+  SELECT r, i, k, label, span, n, tw.word FROM (SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM w) x JOIN tw ON x.word = tw.word
+  QUALIFY 100 * count(DISTINCT tw.word) OVER (PARTITION BY r, k) >= {PERCENT} * n),
+win AS (
+  SELECT a.r, a.k, a.label, a.i AS a, max(b.i) AS b, count(DISTINCT b.word) / a.n AS c
+  FROM hit a JOIN hit b ON a.r = b.r AND a.k = b.k AND b.i BETWEEN a.i AND a.i + a.span - 1
+  GROUP BY a.r, a.k, a.label, a.i, a.n HAVING 100 * count(DISTINCT b.word) >= {PERCENT} * a.n),
+mark AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY r, k ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM win),
+part AS (SELECT *, sum(new) OVER (PARTITION BY r, k ORDER BY a) AS run FROM mark),
+run AS (SELECT r, k, any_value(label) AS label, min(a) AS a, max(b) AS b, max(c) AS c FROM part GROUP BY r, k, run),
+notice AS (
+  SELECT r, label, c FROM near UNION ALL
+  SELECT r, label, c FROM run WHERE c > coalesce((SELECT max(near.c) FROM near WHERE near.r = run.r AND near.k = run.k AND near.a <= run.b AND run.a <= near.b), 0)),
+own AS (SELECT r, list_distinct(list(label)) AS labels, max(c) AS best, count(*) AS n_blocks FROM notice GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,

@@ -1,7 +1,10 @@
 import random
 
+import duckdb
+
 from stripweave.llm import licenses as L
-from tests.llm.nasty import documents
+from tests.harness import compare
+from tests.llm.nasty import awkward, documents
 
 MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files (the \"Software\"),\n"
        "to deal in the Software without restriction")
@@ -38,3 +41,12 @@ def test_runs_are_every_window():
                 runs = index.runs(t, words)
                 assert {p for a, b, _ in runs for p in range(a, b + 1)} == hit and max((c for *_, c in runs), default=0) == best
                 assert bool(runs) <= (t in passed)
+
+
+def test_sql_takes_windows_too(spark):
+    scattered = " ".join(["all"] + ["word"] * 40 + ["rights"] + ["word"] * 40 + ["reserved"])
+    twice = MIT + "\n" + "x " * 80 + "\n" + MIT.replace("\n", " ") + "\nreleased under\nthe mit license released under the mit license"
+    docs = awkward(spark, [(40, MIT), (41, BSD), (42, scattered), (43, twice), (44, "all\nrights all rights\nreserved rights"), (45, "released under the mit license\nunder the mit license released")])
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    assert compare(L.license_report(docs), con, L.REPORT_SQL) == docs.count()
