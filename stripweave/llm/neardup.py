@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import U64, HashedWords, binary, bounds, lists, mix, saved
 from .graph import components, find, unite
@@ -206,8 +207,8 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
     return tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def _classes(docs: DataFrame, size: int, bands: int, rows: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, node), and per node its class: component_id and the node that stands for it."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = saved(signatures(texts, size, bands, rows))
     nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
@@ -221,21 +222,52 @@ def near_duplicates(docs: DataFrame, *, size: int = WORDS, bands: int = BANDS, r
     wanted = clusters.join(sizes, "cluster").join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "cluster", "n_blocks")
     links = components(_verified(_sets_of(texts, wanted, size).dropDuplicates(["node"]), percent))
     joined = nodes.select("node", "doc_id").join(links.select(F.col("u").alias("node"), F.col("v").alias("top")), "node", "left").withColumn("top", F.coalesce("top", "node"))
-    smallest = joined.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    classes = joined.join(smallest, "top").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+    smallest = joined.groupBy("top").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    classes = joined.join(smallest, "top").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("stands"))
+    return signed.select("doc_id", "n_shingles", "node"), classes
+
+
+def near_duplicates(docs: DataFrame, *, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
+    signed, classes = _classes(docs, size, bands, rows, percent, block)
+    out = signed.join(classes, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+def _node_of(size: int):
+    """The node of each text, as ``signatures`` gives it."""
+
+    @arrow_udf("binary")
+    def node(column: pa.Array) -> pa.Array:
+        words, out = HashedWords(), []
+        for t in binary(column):
+            own = shingle_sets([t], words, size)[0]
+            out.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+        return pa.array(out, pa.binary())
+
+    return node
+
+
+def drop_near_duplicates(docs: DataFrame, *, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One document of each class, the one with the smallest id, columns as they were; rows with a null id stay.
 
-    Of several rows with that id one stays.
+    Rows are judged, not ids: where several rows share an id each row stays or goes by its own text, so unlike texts under one id all
+    stay. Of a class whose smallest id is on several rows one row stays. Rows without shingles are linked with nothing; of those
+    with the same id and text one stays.
     """
-    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    judged = docs.join(kept, docs["doc_id"].cast("bigint") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return judged.unionByName(docs.where("doc_id is null"))
+    signed, classes = _classes(docs, size, bands, rows, percent, block)
+    signed = signed.where("doc_id is not null").withColumnRenamed("doc_id", "__id")
+    stays = signed.join(classes, "node", "left").where("component_id is null or (__id = component_id and node = stands)")
+    stays = saved(stays.select("__id", F.col("node").alias("__node")).distinct())
+    often = saved(signed.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    key, own = docs["doc_id"].cast("bigint"), [F.col(f"`{c}`") for c in docs.columns]
+    alone = stays.join(often, "__id", "left_anti")
+    once = docs.join(alone, key == alone["__id"], "left_semi")
+    again = docs.join(often, key == often["__id"], "left_semi").withColumns({"__id": key, "__node": _node_of(size)(F.col("text").cast("string"))})
+    again = again.join(stays, (again["__id"] == stays["__id"]) & again["__node"].eqNullSafe(stays["__node"]), "left_semi")
+    again = again.withColumn("__same", F.when(F.col("__node").isNull(), F.xxhash64("text"))).dropDuplicates(["__id", "__node", "__same"])
+    return once.unionByName(again.select(*own)).unionByName(docs.where("doc_id is null"))
 
 
 REPORT_SQL = r"""

@@ -85,6 +85,16 @@ def test_awkward_rows(spark):
     assert N.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_each(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    near, other = base + " tail", " ".join(f"z{i}" for i in range(50))
+    rows = [(1, base), (1, other), (1, near), (2, near), (2, "quite unlike all of the others here"), (3, other), (4, ""), (4, None), (4, ""), (5, base), (6, "one more text of its own"), (6, "one more text of its own")]
+    kept = [(r["doc_id"], r["text"]) for r in N.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert len([t for i, t in kept if t in (base, near)]) == 1 and (1, other) in kept and (3, other) not in kept
+    assert sorted(i for i, _ in kept) == [1, 1, 2, 4, 4, 6]
+    assert {t for i, t in kept if i == 4} == {"", None} and (2, "quite unlike all of the others here") in kept
+
+
 def test_components(spark):
     random.seed(9)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
