@@ -45,6 +45,30 @@ def test_shards_are_even_and_slots_gapless(spark, power):
     assert abs(sum(r["size"] for r in rows if r["moved"]) - least) <= 24 * 308
 
 
+@pytest.mark.parametrize("power", [12, 3])
+def test_placement_against_plain_loops(spark, power):
+    """Each old shard's rows laid end to end; a row goes where its middle byte lies, and slots follow old shard and row."""
+    random.seed(8)
+    docs = documents(spark, ["y" * random.randint(0, 400) for _ in range(700)]).repartition(4).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 5))
+    sized = R.sized(docs, F.crc32(F.col("source").cast("binary")) % 24)
+    rows = sorted(sized.collect(), key=lambda r: (r["old_shard"], r["row"]))
+    sizes = {}
+    for r in rows:
+        sizes[r["old_shard"]] = sizes.get(r["old_shard"], 0) + r["size"]
+    flow = R.min_cost_flow(sizes, R.even(sum(sizes.values()), 24))
+    want, at, slots = {}, dict.fromkeys(sizes, 0), {}
+    for r in rows:
+        old, middle, lo = r["old_shard"], 2 * at[r["old_shard"]] + r["size"], 0
+        for j in sorted((j for i, j in flow if i == old), key=lambda j: (j != old, j)):
+            if 2 * lo <= middle < 2 * (lo + flow[old, j]):
+                want[r["doc_id"]] = (old, j, slots.get(j, 0))
+                slots[j] = slots.get(j, 0) + 1
+            lo += flow[old, j]
+        at[old] += r["size"]
+    got = {r["doc_id"]: (r["old_shard"], r["shard"], r["slot"]) for r in R.reshard(sized, block_power=power).collect()}
+    assert got == want
+
+
 def test_rewrite_touches_only_changed_shards(spark, tmp_path):
     docs = documents(spark, ["abcdefgh"] * 64)
     plan = R.reshard(R.sized(docs, F.when(F.col("doc_id") < 8, 0).when(F.col("doc_id") < 40, 1).otherwise(2)), {0: 16 * 16, 1: 24 * 16, 2: 24 * 16}).cache()
