@@ -2,7 +2,7 @@
 
 * **Lexicon**: words that stand in toxic training documents far more often than in others (log odds with
   their error), counted by Spark over a bounded sample of labelled rows (``SAMPLE`` documents at most, the
-  same ones in every run). At most ``TERMS`` terms are kept.
+  same ones in every run). All that pass the bars of significance are kept; the sample bounds them.
 * **Misspellings**: the Levenshtein automata of all terms, run against the lexicon's trie, are one automaton whose
   states are sets of (trie node, edits so far). Its transitions are worked out when first needed and kept, so
   almost every word of a text dies within a few letters. Short terms must match exactly, longer ones within
@@ -31,8 +31,6 @@ from .common import held, saved, slot
 
 #: Bound on the labelled documents that the lexicon and the model are fitted on.
 SAMPLE = 20_000
-#: Bound on the lexicon.
-TERMS = 400
 WINDOW = 8
 #: Words that report speech, and words that address someone.
 REPORTING = frozenset("said says say called calls quoted quote quotes wrote writes word words term slur insult report reported alleged sagte nannte dit appelé dijo llamó".split())
@@ -165,7 +163,7 @@ def features(text: str | None, matches: _Matches, weight: list[list[float]]) ->
 
 @dataclass
 class Toxicity:
-    """A fitted lexicon and model: at most ``TERMS`` terms, their weights as they are and misspelled, five coefficients."""
+    """A fitted lexicon and model: terms, their weights as they are and misspelled, five coefficients."""
 
     terms: list[str]
     weight: list[list[float]]
@@ -182,7 +180,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return saved(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id").select("text", "toxic"))
 
 
-def _lexicon(sample: DataFrame, n: tuple[int, int], most: int) -> list[tuple[str, float]]:
+def _lexicon(sample: DataFrame, n: tuple[int, int]) -> list[tuple[str, float]]:
     def count(batches):
         seen: dict[str, list[int]] = {}
         for batch in batches:
@@ -191,7 +189,7 @@ def _lexicon(sample: DataFrame, n: tuple[int, int], most: int) -> list[tuple[str
                     seen.setdefault(w, [0, 0])[toxic] += 1
         words: dict[str, list[int]] = {}
         for w, c in seen.items():
-            if 3 <= len(t := w.strip(_EDGE)) <= 40:
+            if t := w.strip(_EDGE):
                 own = words.setdefault(t, [0, 0])
                 own[0] += c[0]
                 own[1] += c[1]
@@ -205,7 +203,7 @@ def _lexicon(sample: DataFrame, n: tuple[int, int], most: int) -> list[tuple[str
         sample.mapInArrow(count, "word string, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where("toxic >= 4").where((a < n[1] + 0.9) & (b < n[0] + 0.9))
         .withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b)).where("z > 2.6 and odds > 3.2")
-        .orderBy(F.desc("z"), "word").limit(most).collect()
+        .orderBy(F.desc("z"), "word").collect()
     )
     return [(r["word"], r["odds"]) for r in rows]
 
@@ -243,14 +241,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, terms: int = TERMS) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Toxicity:
     """Learn lexicon and weights from the training folds' labelled documents; the driver holds ``sample`` feature rows."""
     rows = _sample(docs, labels, sample)
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = (counts.get(0, 0), counts.get(1, 0))
     if not all(n):
         return Toxicity([], [[], []], [30.0 if n[1] else -30.0] + [0.0] * 4)
-    found = _lexicon(rows, n, terms)
+    found = _lexicon(rows, n)
     exact = [min(o, 8.0) / 4 for _, o in found]
     model = Toxicity([t for t, _ in found], [exact, _trusted(rows, [t for t, _ in found], exact, n)], [0.0] * 5)
     x = rows.select(_scan(docs.sparkSession.sparkContext.broadcast(model))("text").alias("x"), "toxic").collect()
