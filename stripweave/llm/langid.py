@@ -29,8 +29,8 @@ from .common import bounds, held, saved, slot
 
 #: About so many training documents of each language are counted.
 PER_LANG = 1_500
-#: Bound on the n-grams kept, by how often they occur.
-GRAMS = 60_000
+#: An n-gram counts from so many occurrences in the sample on; rarer ones tell little.
+LEAST_SEEN = 3
 SWITCH = 12.0
 #: Words of a segment that the Viterbi pass takes at a time; no effect on results.
 SEGMENT = 256
@@ -66,7 +66,7 @@ def grams_of(word: str) -> list[str]:
 
 @dataclass
 class Languages:
-    """Learned languages, the scripts each was seen in, and log probabilities by n-gram (``GRAMS`` rows at most)."""
+    """Learned languages, the scripts each was seen in, and log probabilities by n-gram (those seen ``LEAST_SEEN`` times, however many)."""
 
     langs: list[str]
     scripts: dict[str, list[bool]]
@@ -175,7 +175,7 @@ class Languages:
         return [(w, label[begin[d] : begin[d + 1]], told[begin[d] : begin[d + 1]]) for d, w in enumerate(words)]
 
 
-def fit(docs: DataFrame, *, per_lang: int = PER_LANG, grams: int = GRAMS, switch: float = SWITCH) -> Languages:
+def fit(docs: DataFrame, *, per_lang: int = PER_LANG, least_seen: int = LEAST_SEEN, switch: float = SWITCH) -> Languages:
     """Count n-grams of about ``per_lang`` training documents of each language (those folds whose remainder isn't 1)."""
     own = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held(F.col("doc_id"), 3, 1))
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, grams: int = GRAMS, switch
         .groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_arrays(F.collect_list("lang"), F.collect_list("n")).alias("by"))
     )
     marks = tally.where(F.col("gram").startswith("\x00")).collect()
-    rows = tally.where(~F.col("gram").startswith("\x00")).orderBy(F.desc("total"), "gram").limit(grams).collect()
+    rows = tally.where(~F.col("gram").startswith("\x00")).where(F.col("total") >= least_seen).orderBy(F.desc("total"), "gram").collect()
     n = np.array([[r["by"].get(l, 0) for l in langs] for r in rows], np.float64).reshape(-1, len(langs))
     logp = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(rows))))
     seen = {r["gram"][1:]: r["by"] for r in marks}
