@@ -104,15 +104,22 @@ def rate_admission(requests: DataFrame, n: int, window_s: float, keys: Sequence[
     a running maximum of arrival minus its steps, so it is a window, not a loop. Times are whole
     microseconds.
     """
+    p = requests.select(*keys, "call_id", F.unix_micros("ts").alias("arrival_us"), F.lit(True).alias("fresh"), F.unix_micros("ts").alias("place"))
+    return admissions(p, n, window_s, keys, hot).select(*keys, "call_id", "arrival_us", "start_us", (F.col("start_us") - F.col("arrival_us")).alias("wait_us"))
+
+
+def admissions(p: DataFrame, n: int, window_s: float, keys: Sequence[str], hot: bool | None = None) -> DataFrame:
+    """``p (keys, call_id, arrival_us, fresh, place)`` with ``start_us`` and the number ``k`` of each admission of its key.
+
+    Rows that are not ``fresh`` are admissions already given (arrival = start), at most the last ``n`` of a key; they come first, by ``place``.
+    """
     keys = list(keys)
-    hot = _hot(requests, hot, keys)
+    hot = _hot(p, hot, keys)
     w = int(round(window_s * 1_000_000))
-    p = requests.withColumn("arrival_us", F.unix_micros("ts"))
-    p = number_rows(p, keys, ["arrival_us", "call_id"], "_k", hot=hot)
-    p = p.withColumns({"_lane": F.col("_k") % n, "_j": F.floor(F.col("_k") / n)})
+    p = number_rows(p, keys, ["fresh", "place", "call_id"], "k", hot=hot)
+    p = p.withColumns({"_lane": F.col("k") % n, "_j": F.floor(F.col("k") / n)})
     p = scan(p, [*keys, "_lane"], ["_j"], hot, _m=max_to(F.col("arrival_us") - F.col("_j") * w))
-    p = p.withColumn("start_us", F.col("_m") + F.col("_j") * w)
-    return p.select(*keys, "call_id", "arrival_us", "start_us", (F.col("start_us") - F.col("arrival_us")).alias("wait_us"))
+    return p.withColumn("start_us", F.col("_m") + F.col("_j") * w).drop("_lane", "_j", "_m", "place")
 
 
 def over_limit(requests: DataFrame, window_s: float, keys: Sequence[str] = ("key_id",), hot: bool | None = None) -> DataFrame:

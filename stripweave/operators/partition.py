@@ -88,7 +88,7 @@ def capacity_groups(items: DataFrame, cap: int = 15, hot: bool | None = None) ->
 
 
 def assign_partition(lists: DataFrame, ids: DataFrame, hot: bool | None = None) -> DataFrame:
-    """Every id of ``(ch, id)`` to exactly one element of ``lists (ch, element, pos, id, text)``.
+    """Every id of ``(ch, id)`` to exactly one element of ``lists (ch, element, pos, id, text)``; null in a chapter without a valid one.
 
     Unknown and already claimed ids go, elements without text claim nothing; elements are ordered by
     their first id and take all ids up to the next one's first; ids before all go to the first.
@@ -99,7 +99,7 @@ def assign_partition(lists: DataFrame, ids: DataFrame, hot: bool | None = None)
     starts = claims.groupBy("ch", "element").agg(F.min("id").alias("id"))
     rows = ids.distinct().join(starts, ["ch", "id"], "left")
     near = scan(rows, CH, ["id"], hot, _a=last_to(F.col("element")), _b=first_from(F.col("element")))
-    return near.select("ch", "id", F.coalesce("_a", "_b").alias("element")).filter("element is not null")
+    return near.select("ch", "id", F.coalesce("_a", "_b").alias("element"))
 
 
 def candidates_topk(lists: DataFrame, beats: DataFrame, panels: DataFrame, k: int = 8) -> DataFrame:

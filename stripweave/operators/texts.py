@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stripweave.functions import text as tx
-from stripweave.functions.ordered import first_by, once
+from stripweave.functions.ordered import first_by, join_on, once
 
 # Phrases that describe the picture instead of telling the story.
 FORBIDDEN = [
@@ -105,16 +105,19 @@ def apply_dictionary(text: Column, words: Mapping[str, str]) -> Column:
 
 
 def apply_large_dictionary(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """Single-word dictionary ``(word, value)`` of any size: tokens joined, texts put together again.
+    """Single-word dictionary ``(word, value)`` of any size: the distinct words of each text meet it in a join.
 
-    A text is one row, so what is put together is bounded by it.
+    Only words that it holds come back to their texts, so a word that every text uses costs a row per text, however often it stands
+    there, and a word outside the dictionary costs nothing after the join. A text is one row and holds its own replacements.
+    Rows with a null key and keys that repeat are put together as one text's words.
     """
-    tokens = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?U)(\w+|\W+)"), F.lit(1))).alias("_i", "_t"))
+    cut = F.regexp_extract_all(text, F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
     known = first_by(words.select(F.lower(F.trim("word")).alias("_k"), F.trim("word").alias("word"), "value"), ["_k"], [F.col("word")])
     put = F.when(F.col("value").rlike("^/.+/$"), F.concat(F.lit("["), F.col("word"), F.lit("]("), F.col("value"), F.lit(")"))).otherwise(F.col("value"))
-    hit = tokens.withColumn("_k", F.lower("_t")).join(known, "_k", "left").select(key, "_i", F.coalesce(put, "_t").alias("_t"))
-    parts = hit.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), "").alias(text))
-    return df.drop(text).join(parts, key)
+    asked = df.select(key, F.explode(F.array_distinct(F.transform(cut, F.lower))).alias("_k"))
+    hits = asked.join(known.select("_k", put.alias("_v")).filter("_v is not null"), "_k").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("_k", "_v"))).alias("_put"))
+    out = F.array_join(F.transform(cut, lambda t: F.coalesce(F.element_at("_put", F.lower(t)), t)), "")
+    return join_on(df, hits, [key], "left").withColumn(text, F.when(F.col("_put").isNotNull(), out).otherwise(F.col(text))).drop("_put")
 
 
 def coerce_emotion(label: Column) -> Column:

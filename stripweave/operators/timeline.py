@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stripweave.functions import text as tx
 from stripweave.functions.intervals import on_group, points_in
 from stripweave.functions.ordered import (
-    first_after, is_hot, last_to, next_, once, prev, scan, spread, sum_before, sum_to)
+    first_after, is_hot, last_to, max_to, next_, number_rows, once, prev, scan, spread, sum_before, sum_to)
 from stripweave.session import durable
 
 CH = ["ch"]
@@ -141,25 +141,18 @@ CUE_LOOP = {"action": "心跳", "tension": "颤抖", "fear": "颤抖"}
 def cues(scenes: DataFrame, max_words: int = 4, min_cue: float = 0.25) -> DataFrame:
     """Captions of each scene ``(ch, scene, narration, emotion, start_s, speech_s)``: chunks over the speech by length.
 
-    A caption lasts at least ``min_cue``, never past the speech; once no time is left the rest is dropped.
-    The cursor runs through the chunks of one text, so it is an array fold on the row.
+    A caption lasts at least ``min_cue``, never past the speech; once no time is left the rest is dropped. Chunks are rows; as no
+    caption takes negative time, the cursor is the running sum of what the captions before ask for, capped at the end of
+    the speech. A scene's chunks are those of one text. ``(ch, scene)`` is a key.
     """
     p = once(scenes, _c=tx.balanced_chunks(F.col("narration"), max_words)).filter((F.size("_c") > 0) & (F.col("speech_s") > 0))
-    p = once(p, _all= F.aggregate("_c", F.lit(0), lambda a, x: a + F.length(x)))
-    end = F.col("start_s") + F.col("speech_s")
-    zero = F.struct(F.col("start_s").cast("double").alias("at"), F.lit(0).alias("i"),
-                    F.expr("cast(array() as array<struct<start_s: double, end_s: double, text: string>>)").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        last = acc["i"] == F.size("_c") - 1
-        stop = F.when(last, end).otherwise(F.least(acc["at"] + F.greatest(F.col("speech_s") * F.length(piece) / F.col("_all"), F.lit(min_cue)), end))
-        go = stop > acc["at"]
-        new = F.array(F.struct(acc["at"].alias("start_s"), stop.alias("end_s"), piece.alias("text")))
-        return F.struct(F.when(go, stop).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"),
-                        F.when(go, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
-
-    p = p.withColumn("_o", F.aggregate("_c", zero, step)["out"])
-    out = p.select("ch", "scene", "emotion", F.posexplode("_o").alias("cue", "_q")).select("ch", "scene", "cue", "emotion", "_q.*")
+    p = p.select("ch", "scene", "emotion", F.col("start_s").cast("double").alias("_a"), F.col("speech_s").alias("_l"), (F.size("_c") - 1).alias("_last"),
+                 F.length(F.array_join("_c", "")).alias("_all"), F.posexplode("_c").alias("cue", "text"))
+    p = p.withColumn("_d", F.greatest(F.col("_l") * F.length("text") / F.col("_all"), F.lit(min_cue)))
+    p = scan(p, ["ch", "scene"], ["cue"], False, _s=sum_before(F.col("_d")))
+    end = F.col("_a") + F.col("_l")
+    p = p.withColumns({"start_s": F.least(F.col("_a") + F.col("_s"), end), "end_s": F.when(F.col("cue") == F.col("_last"), end).otherwise(F.least(F.col("_a") + (F.col("_s") + F.col("_d")), end))})
+    out = p.filter("end_s > start_s").select("ch", "scene", "cue", "emotion", "start_s", "end_s", "text")
     budget = (F.col("end_s") - F.col("start_s")) * 0.35
     return out.withColumns({
         "intro_s": F.when(budget >= 0.12, F.bround(F.least(F.lit(0.4), budget), 3)),
@@ -168,24 +161,34 @@ def cues(scenes: DataFrame, max_words: int = 4, min_cue: float = 0.25) -> DataFr
 
 
 def word_times(cue: DataFrame) -> DataFrame:
-    """Words of each caption over its time, by length; the last ends exactly."""
-    p = once(cue, _w=tx.words(F.col("text"))).filter((F.size("_w") > 0) & (F.col("end_s") > F.col("start_s")))
-    p = once(p, _all=F.aggregate("_w", F.lit(0), lambda a, x: a + F.length(x)))
-    span = F.col("end_s") - F.col("start_s")
+    """Words of each caption ``(ch, scene, cue, text, start_s, end_s)`` over its time, by length; the last ends exactly.
 
-    def place(w: Column, i: Column) -> Column:
-        done = F.aggregate(F.slice("_w", 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        lo = F.col("start_s") + span * done / F.col("_all")
-        hi = F.when(i == F.size("_w") - 1, F.col("end_s")).otherwise(F.least("end_s", F.col("start_s") + span * (done + F.length(w)) / F.col("_all")))
-        return F.struct(w.alias("text"), lo.alias("start_s"), F.when(hi <= lo, F.least(F.col("end_s"), lo + 1e-3)).otherwise(hi).alias("end_s"))
+    Words are rows, placed by the running sum of their lengths. ``(ch, scene, cue)`` is a key.
+    """
+    p = once(cue, _w=tx.words(F.col("text"))).filter((F.size("_w") > 0) & (F.col("end_s") > F.col("start_s")))
+    p = p.select("ch", "scene", "cue", F.col("start_s").alias("_a"), F.col("end_s").alias("_b"), (F.size("_w") - 1).alias("_last"),
+                 F.length(F.array_join("_w", "")).alias("_all"), F.posexplode("_w").alias("word", "text"))
+    p = scan(p, ["ch", "scene", "cue"], ["word"], False, _s=sum_before(F.length("text")))
+    span = F.col("_b") - F.col("_a")
+    lo = F.col("_a") + span * F.col("_s") / F.col("_all")
+    hi = F.when(F.col("word") == F.col("_last"), F.col("_b")).otherwise(F.least("_b", F.col("_a") + span * (F.col("_s") + F.length("text")) / F.col("_all")))
+    p = p.withColumns({"start_s": lo, "_hi": hi})
+    end = F.when(F.col("_hi") <= F.col("start_s"), F.least(F.col("_b"), F.col("start_s") + 1e-3)).otherwise(F.col("_hi"))
+    return p.select("ch", "scene", "cue", "word", "text", "start_s", end.alias("end_s"))
 
-    return p.select("ch", "scene", "cue", F.posexplode(F.transform("_w", place)).alias("word", "_q")).select("ch", "scene", "cue", "word", "_q.*")
 
+def word_at(times: DataFrame, t: DataFrame, hot: bool | None = None) -> DataFrame:
+    """Word of each caption at moment ``t (ch, scene, cue, t)``: -1 before the first, the last past the end; moments of captions without words go.
 
-def word_at(times: DataFrame, t: DataFrame) -> DataFrame:
-    """Word of each caption at moment ``t (ch, scene, cue, t)``: -1 before the first, the last past the end."""
-    both = t.join(times, ["ch", "scene", "cue"])
-    return both.groupBy("ch", "scene", "cue", "t").agg(F.coalesce(F.max(F.when(F.col("start_s") <= F.col("t"), F.col("word"))), F.lit(-1)).alias("word"))
+    Starts and moments in one order, each moment with the largest word begun by then.
+    """
+    keys = ["ch", "scene", "cue"]
+    moments = t.select(*keys, "t").distinct().join(times.select(*keys).distinct(), keys, "left_semi")
+    both = moments.select(*keys, "t", F.lit(1).alias("_asks"), F.lit(None).cast("int").alias("word")).unionByName(
+        times.select(*keys, F.col("start_s").alias("t"), F.lit(0).alias("_asks"), "word"))
+    hot = is_hot(both, keys) if hot is None else hot
+    placed = scan(number_rows(both, keys, ["t", "_asks", "word"], "_p", hot=hot), keys, ["_p"], hot, _w=max_to(F.col("word")))
+    return placed.filter("_asks = 1").select(*keys, "t", F.coalesce("_w", F.lit(-1)).alias("word"))
 
 
 # --- H9 - H13 --------------------------------------------------------------------------------

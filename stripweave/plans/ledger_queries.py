@@ -92,7 +92,7 @@ def j5(spark, d):
 @query("j5_rate_admission_stream", ADMIT)
 def j5s(spark, d):
     e = stream_of(spark, d, "events").select((F.col("user_id") % 5).alias("key_id"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return st.append_once(st.rate_admission_stream(e, 3, 600, "1 hour"), st.working_folder(spark))
+    return st.admit_requests(e, 3, 600, st.working_folder(spark))
 
 
 @query("j5_over_limit", v.sql("api_calls", """SELECT key_id, call_id, count(*) OVER (PARTITION BY key_id ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS n FROM api_calls"""))

@@ -54,7 +54,7 @@ def f2(spark, d):
   cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ch, id ORDER BY element, pos) AS rn FROM ok) WHERE rn = 1),
   st AS (SELECT ch, element, min(id) AS start FROM cl GROUP BY ch, element),
   a AS (SELECT s.ch, s.panel AS id, (SELECT max_by(element, start) FROM st WHERE st.ch = s.ch AND st.start <= s.panel) AS e1, (SELECT min_by(element, start) FROM st WHERE st.ch = s.ch) AS e2 FROM scene_panels s)
-  SELECT ch, id, coalesce(e1, e2) AS element FROM a WHERE e2 IS NOT NULL"""))
+  SELECT ch, id, coalesce(e1, e2) AS element FROM a"""))
 def f3(spark, d):
     return pt.assign_partition(faulty(spark, d), v.scene_panels(spark, d).select("ch", F.col("panel").alias("id")), hot(spark, d))
 

@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stripweave.operators.ledger import known_status, latest_columns
+from stripweave.operators.ledger import admissions, known_status, latest_columns
 from stripweave.session import shared_folder
 
 
@@ -39,28 +39,32 @@ def upsert_ledger(stream: DataFrame, folder: str):
     return rows.groupBy("url").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_r")).select("url", "_r.*")
 
 
-def rate_admission_stream(requests: DataFrame, n: int, window_s: float, late: str) -> DataFrame:
-    """Admissions per key over a stream ``(key_id, call_id, ts)``; the last ``n`` starts are the state.
+def admit_requests(requests: DataFrame, n: int, window_s: float, folder: str) -> DataFrame:
+    """Run the available input of a stream ``(key_id, call_id, ts)``; every request's admission, first come, first served.
 
-    ``late`` is how far a request may lag behind the newest one seen; later ones are dropped, so the caller names it. Within a batch requests go by time, so the result
-    equals the batch form when no request comes after a later one of an earlier batch.
+    Each micro-batch goes through the batch rule behind the last ``n`` admissions of every key, so a key of any size is cut into chunks as
+    there, and no task holds a key's requests. Those ``n`` rows a key are kept beside the batch's own in one partition, which a
+    batch that is run again overwrites. Requests of a batch go by time; one that comes after a later one of an earlier batch is
+    admitted behind it. None is dropped.
     """
-    w = int(round(window_s * 1_000_000))
-
-    def admit(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["arrival_us", "call_id"])
-        out = []
-        for call, at in zip(pdf["call_id"], pdf["arrival_us"]):
-            begin = max(int(at), starts[-n] + w) if len(starts) >= n else int(at)
-            starts = [*starts, begin][-n:]
-            out.append((key[0], int(call), int(at), begin, begin - int(at)))
-        state.update((starts,))
-        yield pd.DataFrame(out, columns=["key_id", "call_id", "arrival_us", "start_us", "wait_us"])
-
-    timed = requests.withWatermark("ts", late).select("key_id", "call_id", "ts", F.unix_micros("ts").alias("arrival_us"))
-    return timed.groupBy("key_id").applyInPandasWithState(
-        admit, "key_id long, call_id long, arrival_us long, start_us long, wait_us long", "starts array<long>", "append", GroupStateTimeout.NoTimeout)
+    spark = requests.sparkSession
+    kept = F.col("key_id"), F.col("call_id"), F.col("arrival_us"), F.col("start_us"), F.col("k"), F.col("fresh")
+    last = W.partitionBy("key_id").orderBy(F.desc("k"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(held).parquet(f"{folder}/rows/batch={number - 1}")
+        carried = before.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n)
+        rows = batch.select("key_id", "call_id", F.unix_micros("ts").alias("arrival_us"), F.lit(True).alias("fresh"), F.unix_micros("ts").alias("place")).unionByName(
+            carried.select("key_id", "call_id", F.col("start_us").alias("arrival_us"), F.lit(False).alias("fresh"), F.col("k").alias("place")))
+        admissions(rows, n, window_s, ["key_id"]).select(*kept).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    types = {f.name: f.dataType.simpleString() for f in requests.schema}
+    held = f"key_id {types['key_id']}, call_id {types['call_id']}, arrival_us long, start_us long, k long, fresh boolean"
+    spark.createDataFrame([], held).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+    q = requests.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(held).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").filter("fresh")
+    return rows.select("key_id", "call_id", "arrival_us", "start_us", (F.col("start_us") - F.col("arrival_us")).alias("wait_us"))
 
 
 RELEASED = "url string, previous string, ready_us long, release_us long, has_memory boolean"
