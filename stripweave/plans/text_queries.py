@@ -119,13 +119,19 @@ def _imaged():
                     F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<div id="_imageList"><p><img class="_images" src="/bg_transparency.png" data-url="/a/'), n, F.lit('.png"><img class="_images" src="/bg_transparency.png"><img class="_images" src="http://h/b.png"></p></div>'))).otherwise(""), F.col("html"))
 
 
-@query("b1_page_titles", f"""WITH t AS (SELECT page_id, trim(regexp_replace({UNESCAPE.format(x="regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '\\s+', ' ', 'g')) AS t FROM pages)
-  SELECT page_id, CASE WHEN contains(t, ' - ') THEN trim(split_part(t, ' - ', 1)) ELSE t END AS series, CASE WHEN contains(t, ' - ') THEN trim(substr(t, strpos(t, ' - ') + 3)) ELSE '' END AS episode FROM t""")
+TITLES = f"""WITH t AS (SELECT page_id, trim(regexp_replace({UNESCAPE.format(x="regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '\\s+', ' ', 'g')) AS t FROM pages)
+  SELECT page_id, CASE WHEN contains(t, ' - ') THEN trim(split_part(t, ' - ', 1)) ELSE t END AS series, CASE WHEN contains(t, ' - ') THEN trim(substr(t, strpos(t, ' - ') + 3)) ELSE '' END AS episode FROM t"""
+
+
+@query("b1_page_titles", TITLES)
 def b1(spark, d):
     return web.page_titles(_parsed(spark, d))
 
 
-@query("b2_page_image_urls", f"""SELECT page_id, 0 AS pos, {HOST} || CASE WHEN page_id % 2 = 0 THEN '/a/' || page_id || '.png' ELSE '/out.png' END AS image FROM pages UNION ALL SELECT page_id, 2, 'http://h/b.png' FROM pages WHERE page_id % 2 = 0""")
+IMAGES = f"""SELECT page_id, 0 AS pos, {HOST} || CASE WHEN page_id % 2 = 0 THEN '/a/' || page_id || '.png' ELSE '/out.png' END AS image FROM pages UNION ALL SELECT page_id, 2, 'http://h/b.png' FROM pages WHERE page_id % 2 = 0"""
+
+
+@query("b2_page_image_urls", IMAGES)
 def b2(spark, d):
     return web.page_image_urls(_parsed(spark, d, _imaged()))
 
@@ -174,9 +180,15 @@ def b6(spark, d):
     return web.expand_range(r, e)
 
 
-@query("b7_chapter_meta")
+@query("b7_chapter_meta", f"""WITH ti AS ({TITLES}), im AS (SELECT page_id, string_agg(image, ' ' ORDER BY pos) AS images FROM ({IMAGES}) GROUP BY page_id),
+  n AS (SELECT page_id, url, CASE WHEN page_id % 3 > 0 THEN page_id % 40 END AS title_no, CASE WHEN page_id % 3 = 2 THEN page_id END AS episode_no FROM pages)
+  SELECT page_id, url, title_no, episode_no, series, CASE WHEN episode = '' AND episode_no IS NOT NULL THEN 'Episode ' || episode_no ELSE episode END AS episode, coalesce(images, '') AS images FROM n JOIN ti USING (page_id) LEFT JOIN im USING (page_id)""")
 def b7(spark, d):
-    return web.chapter_meta(_parsed(spark, d, _imaged())).withColumn("images", F.array_join("images", " "))
+    """A third of the addresses lead on to one with both numbers, a third to one with the title alone, the rest nowhere."""
+    i = F.col("page_id")
+    led = v.table(spark, d, "pages").select("page_id", F.when(i % 3 == 2, F.concat(F.lit("https://x.org/viewer?title_no="), (i % 40).cast("string"), F.lit("&episode_no="), i.cast("string")))
+                                            .when(i % 3 == 1, F.concat(F.lit("https://x.org/list?title_no="), (i % 40).cast("string"))).otherwise("https://x.org/").alias("final_url"))
+    return web.chapter_meta(_parsed(spark, d, _imaged()), led).withColumn("images", F.array_join("images", " "))
 
 
 # --- C: texts --------------------------------------------------------------------------------
