@@ -126,23 +126,25 @@ def claim_keyframes(wanted: DataFrame, candidates: DataFrame, k: int = 4, hot: b
 
     Without any: the tallest candidate nobody took, else the lowest candidate. ``wanted (ch, par, pos,
     id)``, ``candidates (ch, par, pos, id, height)``, at most eight per paragraph. A paragraph is one row with its wanted
-    panels and its candidates, both tallest first; only the panels taken so far go from one to the next.
+    panels and its candidates, both tallest first; from one to the next go only the taken panels that a later paragraph still has among its candidates.
     """
     hot = _hot(candidates, hot)
+    ends = candidates.groupBy("ch", "id").agg(F.max("par").alias("par")).groupBy("ch", "par").agg(F.collect_list("id").alias("_gone"))
     # only candidates can be claimed, so the asked list is as short as the candidates
     asked = wanted.groupBy("ch", "par", "id").agg(F.min("pos").alias("pos")).join(candidates.select("ch", "par", "id", "height").distinct(), ["ch", "par", "id"])
     asked = asked.groupBy("ch", "par").agg(F.sort_array(F.collect_list(_by_height())).alias("_w"))
     pool = candidates.groupBy("ch", "par").agg(F.sort_array(F.collect_list(_by_height())).alias("_c"))
-    rows = pool.join(asked, ["ch", "par"], "left").select(
-        "ch", "par", F.transform("_w", lambda x: x["id"]).alias("_want"), F.transform("_c", lambda x: x["id"]).alias("_free"), F.array_min(F.transform("_c", lambda x: x["id"])).alias("_low"))
+    rows = pool.join(asked, ["ch", "par"], "left").join(ends, ["ch", "par"], "left").select(
+        "ch", "par", "_gone", F.transform("_w", lambda x: x["id"]).alias("_want"), F.transform("_c", lambda x: x["id"]).alias("_free"), F.array_min(F.transform("_c", lambda x: x["id"])).alias("_low"))
 
     def step(c, taken):
         taken = set() if taken is None else taken
         out = {"par": [], "id": []}
-        for par, want, free, low in zip(c["par"], c["_want"], c["_free"], c["_low"]):
+        for par, want, free, low, gone in zip(c["par"], c["_want"], c["_free"], c["_low"], c["_gone"]):
             open_ = [] if want is None else [x for x in want if x not in taken][:k]
             own = open_ or [next((x for x in free if x not in taken), low)]
             taken |= set(own)
+            taken -= set() if gone is None else set(gone)
             out["par"] += [par] * len(own)
             out["id"] += sorted(own)
         return out, taken

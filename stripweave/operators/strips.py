@@ -152,7 +152,13 @@ def _coverage(height, width: int, frame_w: int, frame_h: int):
 
 
 def best_cuts(y0: int, y1: int, width: int, borders: list[tuple[int, float]], frame_w: int, frame_h: int, min_piece: int) -> list[int]:
-    """Cut rows (both ends included) with the highest mean piece score; only the ends if whole."""
+    """Cut rows (both ends included) with the highest mean piece score; only the ends if whole.
+
+    A mean is largest where, less that mean for each piece, the best sum is nought: so the best chain for a guessed mean gives a better
+    guess, until it gives itself. Scores are whole hundred-millionths (coarser where a million rows would pass 64 bits), so ties are exact: fewer pieces, then the
+    shorter last piece.
+    Rows closer than ``min_piece`` don't depend on each other and are settled together; memory is a few numbers a node.
+    """
     height = y1 - y0
     if frame_h <= 0 or height < 2 * min_piece or height <= frame_h:
         return [y0, y1]
@@ -164,39 +170,50 @@ def best_cuts(y0: int, y1: int, width: int, borders: list[tuple[int, float]], fr
     at = np.array(sorted({y0, y1, *range(y0, y1, GRID), *strong}))
     pull = np.zeros(len(at))
     if strong:
-        rows = np.array(list(strong))
-        gaps = np.abs(at[:, None] - rows[None, :])
-        near = gaps.argmin(axis=1)
-        far = gaps[np.arange(len(at)), near]
-        force = np.array([strong[int(r)] for r in rows])[near]
-        pull = np.where(far <= SNAP, BONUS * force * (1 - far / SNAP), 0.0)
-    counts = max(1, height // max(min_piece, 1))
-    # score[j, n]: best sum over chains of n pieces that end at node j
-    score = np.full((len(at), counts + 1), -np.inf)
-    back = np.full((len(at), counts + 1), -1)
-    score[0, 0] = 0.0
-    for j in range(1, len(at)):
-        lo, hi = np.searchsorted(at, at[j] - longest, side="left"), np.searchsorted(at, at[j] - min_piece, side="right")
-        if lo >= hi:
-            continue
-        nodes = np.arange(hi - 1, lo - 1, -1)  # nearest first: ties keep the shorter last piece
-        piece = (at[j] - at[nodes]).astype(float)
-        lack = np.maximum(0.0, 1.0 - piece / frame_h)
-        gain = _coverage(piece, width, frame_w, frame_h) - SHORTFALL * lack * lack + np.where(nodes > 0, pull[nodes], 0.0)
-        total = score[nodes, :-1] + gain[:, None]
-        pick = total.argmax(axis=0)
-        score[j, 1:] = total[pick, np.arange(counts)]
-        back[j, 1:] = np.where(np.isfinite(score[j, 1:]), nodes[pick], -1)
-    means = score[-1, 1:] / np.arange(1, counts + 1)
-    if not np.isfinite(means).any():
-        return [y0, y1]
-    n = int(means.argmax()) + 1
-    node, cuts = len(at) - 1, [y1]
-    while n > 0:
-        node = int(back[node, n])
-        cuts.append(int(at[node]))
-        n -= 1
-    return cuts[::-1]
+        rows = np.array(sorted(strong))
+        below = np.clip(np.searchsorted(rows, at, "right") - 1, 0, len(rows) - 1)
+        above = np.minimum(below + 1, len(rows) - 1)
+        near = np.where(np.abs(at - rows[below]) <= np.abs(rows[above] - at), below, above)
+        far = np.abs(at - rows[near])
+        pull = np.where(far <= SNAP, BONUS * np.array([strong[int(r)] for r in rows])[near] * (1 - far / SNAP), 0.0)
+        pull[0] = 0.0
+    most = height // max(min_piece, 1) + 2
+    unit = float(min(10**8, 2**61 // most**3))
+    size = np.maximum(1.0, np.arange(longest + 1))
+    lack = np.maximum(0.0, 1.0 - size / frame_h)
+    worth = np.rint((_coverage(size, width, frame_w, frame_h) - SHORTFALL * lack * lack) * unit).astype(np.int64)
+    pull = np.rint(pull * unit).astype(np.int64)
+    none = np.iinfo(np.int64).min // 2
+
+    def chain(total: int, pieces: int) -> list[int]:
+        # nodes of the best chain when each piece costs total / pieces, in units of 1 / (pieces * most)
+        best, back = np.full(len(at), none), np.full(len(at), -1)
+        best[0] = 0
+        lo = int(np.searchsorted(at, y0 + min_piece))
+        while lo < len(at):
+            hi = int(np.searchsorted(at, at[lo] + min_piece))
+            first, last = int(np.searchsorted(at, at[lo] - longest)), int(np.searchsorted(at, at[hi - 1] - min_piece, "right"))
+            piece = at[lo:hi, None] - at[None, last - 1 : (first - 1 if first else None) : -1]
+            own = best[first:last][::-1]
+            fits = (piece >= min_piece) & (piece <= longest) & (own > none)[None, :]
+            value = np.where(fits, own[None, :] + ((worth[np.clip(piece, 0, longest)] + pull[first:last][::-1][None, :]) * pieces - total) * most - 1, none)
+            pick = value.argmax(axis=1)
+            best[lo:hi] = value[np.arange(hi - lo), pick]
+            back[lo:hi] = np.where(best[lo:hi] > none, last - 1 - pick, -1)
+            lo = hi
+        nodes = [len(at) - 1]
+        while nodes[-1] > 0:
+            nodes.append(int(back[nodes[-1]]))
+        return nodes[::-1]
+
+    nodes = chain(0, 1)
+    while nodes[0] == 0:
+        total, pieces = sum(int(worth[at[b] - at[a]] + pull[a]) for a, b in zip(nodes, nodes[1:])), len(nodes) - 1
+        better = chain(total, pieces)
+        if better == nodes:
+            return [int(y) for y in at[nodes]]
+        nodes = better
+    return [y0, y1]
 
 
 def split_to_frame(segments: DataFrame, borders: DataFrame | None, width: int, frame_w: int = 1920, frame_h: int = 1080,
