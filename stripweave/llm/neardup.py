@@ -263,11 +263,13 @@ def drop_near_duplicates(docs: DataFrame, *, size: int = WORDS, bands: int = BAN
     often = saved(signed.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))
     key, own = docs["doc_id"].cast("bigint"), [F.col(f"`{c}`") for c in docs.columns]
     alone = stays.join(often, "__id", "left_anti")
-    once = docs.join(alone, key == alone["__id"], "left_semi")
+    once = docs.join(alone, key == alone["__id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    if often.isEmpty():  # else the texts would be shuffled a second time to find no row
+        return once
     again = docs.join(often, key == often["__id"], "left_semi").withColumns({"__id": key, "__node": _node_of(size)(F.col("text").cast("string"))})
     again = again.join(stays, (again["__id"] == stays["__id"]) & again["__node"].eqNullSafe(stays["__node"]), "left_semi")
     again = again.withColumn("__same", F.when(F.col("__node").isNull(), F.xxhash64("text"))).dropDuplicates(["__id", "__node", "__same"])
-    return once.unionByName(again.select(*own)).unionByName(docs.where("doc_id is null"))
+    return once.unionByName(again.select(*own))
 
 
 REPORT_SQL = r"""
